@@ -1,0 +1,79 @@
+"""Per-key results where a few keys hold most rows: eager aggregation through joins.
+
+Both inputs of a join are aggregated by join key first, so what is shuffled and joined are compact
+states, one row per key; counts multiply and sums combine algebraically; the roll-up comes last.
+Bases covered need positions: states are kept per key, block and start, the union of the
+intervals is taken per key and block (at most BLOCK starts each, whatever the number of rows), and
+only block sums are rolled up. No step holds a key's rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from strandlake.plans.runtime import join_bounded, key_text
+
+BLOCK = 1 << 16
+
+
+def _reference(c: str):
+    return F.nullif(key_text(c), F.lit("*"))
+
+
+def mapped(alignments: DataFrame) -> DataFrame:
+    """Mapped alignments with reference and sample set; blanks trimmed, empty and * are not set."""
+    return alignments.where("read_mapped").select(_reference("reference_name").alias("reference_name"), _reference("read_group_sample_id").alias("sample_id"), "start_pos", "end_pos", "mapping_quality").where("reference_name is not null and sample_id is not null")
+
+
+def pair_states(alignments: DataFrame) -> DataFrame:
+    """(reference_name, sample_id, n, mapq_sum, mapq_n): one compact state per pair, combined map-side."""
+    return mapped(alignments).groupBy("reference_name", "sample_id").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("mapping_quality").cast("long")), F.lit(0)).alias("mapq_sum"), F.count("mapping_quality").alias("mapq_n"))
+
+
+def bases_covered(alignments: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(reference_name, sample_id, bases_covered): positions under at least one interval.
+
+    Intervals with null bounds or end <= start cover nothing; start is clamped at 0 by no one, so
+    negative starts count as they are. Rows sharing pair and start are reduced to the longest one
+    before the shuffle; an interval over several blocks is cut at their borders.
+    """
+    m = mapped(alignments).where("start_pos is not null and end_pos > start_pos")
+    keys = ["reference_name", "sample_id"]
+    m = m.groupBy(*keys, "start_pos").agg(F.max("end_pos").alias("end_pos"))
+    first, last = F.floor(F.col("start_pos") / F.lit(block)), F.floor((F.col("end_pos") - 1) / F.lit(block))
+    m = m.withColumn("block", F.explode(F.sequence(first, last)))
+    m = m.withColumn("s", F.greatest("start_pos", F.col("block") * block)).withColumn("e", F.least("end_pos", (F.col("block") + 1) * block))
+    before = Window.partitionBy(*keys, "block").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    new = F.greatest(F.lit(0).cast("long"), F.col("e") - F.greatest("s", F.coalesce(F.max("e").over(before), F.col("s"))))
+    return m.withColumn("new", new).groupBy(*keys, "block").agg(F.sum("new").alias("new")).groupBy(*keys).agg(F.sum("new").alias("bases_covered"))
+
+
+def pair_results(alignments: DataFrame) -> DataFrame:
+    """(reference_name, sample_id, n, mean_mapq, bases_covered) of every pair; 0 bases if none has bounds."""
+    s, b = pair_states(alignments), bases_covered(alignments)
+    return s.join(b, ["reference_name", "sample_id"], "left").select(
+        "reference_name", "sample_id", "n", F.try_divide(F.col("mapq_sum").cast("double"), F.col("mapq_n")).alias("mean_mapq"), F.coalesce("bases_covered", F.lit(0)).cast("long").alias("bases_covered")
+    )
+
+
+def heavy_pairs(alignments: DataFrame, share: float = 0.03) -> DataFrame:
+    """The pair states that hold at least `share` of all rows, with their share. The total is the
+    sum of the states: at most one row per pair is summed and one row sent around."""
+    s = pair_states(alignments)
+    total = s.agg(F.sum("n").alias("total"))
+    return s.crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= share).drop("total")
+
+
+def eager_join(alignments: DataFrame, sequences: DataFrame, groups: DataFrame) -> DataFrame:
+    """Alignments joined with all sequence_records of their reference and all read_groups of their sample,
+    rolled up per assembly and library: (assembly, library, pairs, mapq_sum).
+
+    Equal to aggregating the three-way join, whose rows are never made: each input is reduced to
+    one state per join key, counts are multiplied, sums are scaled by the other sides' counts.
+    """
+    s = sequences.select(_reference("seq_name").alias("reference_name"), key_text("assembly").alias("assembly")).where("reference_name is not null").groupBy("reference_name", "assembly").agg(F.count("*").alias("n_seq"))
+    g = groups.select(_reference("sample_id").alias("sample_id"), key_text("library").alias("library")).where("sample_id is not null").groupBy("sample_id", "library").agg(F.count("*").alias("n_group"))
+    j = join_bounded(pair_states(alignments), s, ["reference_name"], "inner").groupBy("sample_id", "assembly").agg(F.sum(F.col("n") * F.col("n_seq")).alias("n"), F.sum(F.col("mapq_sum") * F.col("n_seq")).alias("mapq_sum"))
+    j = join_bounded(j, g, ["sample_id"], "inner")
+    return j.groupBy("assembly", "library").agg(F.sum(F.col("n") * F.col("n_group")).alias("pairs"), F.sum(F.col("mapq_sum") * F.col("n_group")).alias("mapq_sum"))

@@ -1,0 +1,107 @@
+"""Rows that fail to parse: all columns as nullable text, rules as error arrays, rows split by empty arrays.
+
+Every rule is a boolean Column; the reasons of the rules that fire make the array `errors`, in
+the order of the rules. A row is valid if the array is empty. The whole operator is one narrow
+projection: no shuffle, no Python, and it holds for any number of rows and any line length
+(the only pattern applied to a whole line is a non-nested one, so nothing recurses).
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+@dataclass(frozen=True)
+class Rule:
+    """`broken` is true for rows that break the rule; null counts as not broken."""
+
+    reason: str
+    broken: Column
+
+
+def with_errors(df: DataFrame, rules: list[Rule], out: str = "errors") -> DataFrame:
+    """df with the array of the reasons of all rules a row breaks, in the order given, each once."""
+    fired = F.array(*[F.when(r.broken, F.lit(r.reason)) for r in rules])
+    return df.withColumn(out, F.array_distinct(F.filter(fired, lambda x: x.isNotNull())))
+
+
+#: The columns of a GTF line, and the signs that count as quotes.
+GTF_COLUMNS = ("seqname", "source", "feature_type", "start", "end", "score", "strand", "frame", "attributes")
+QUOTES = "\"'`´“”„‟‘’‚‛«»‹›＂＇"
+
+_KEY = f"[^\\s;{QUOTES}]+"
+_ITEM = f'^\\s*({_KEY}\\s+(""|{_KEY}))?\\s*$'
+_NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def _digits(c: Column) -> Column:
+    """Plain digits without leading zeros, else null. Compared as (length, text): no overflow."""
+    return F.when(c.rlike("^[0-9]+$"), F.regexp_replace(c, "^0+", ""))
+
+
+def attributes_ok(c: Column) -> Column:
+    """Whether column 9 is a list of empty items or key, blanks and a quoted text or bare word.
+
+    Quoted texts are first reduced to "" so that semicolons inside them are gone; then every
+    item between semicolons is matched on its own.
+    """
+    return F.forall(F.split(F.regexp_replace(c, '"[^"]*"', '""'), ";"), lambda x: x.rlike(_ITEM))
+
+
+def split_gtf(df: DataFrame, raw: str = "raw_line") -> DataFrame:
+    """GTF lines as nullable text columns with their error array.
+
+    Adds the columns of GTF_COLUMNS (prefixed gtf_), `kind` (record, comment, blank) and
+    `errors` (of column_count, quoting, invalid_value; empty for valid records and for lines
+    that are none). Defined cases: a null line is blank; one carriage return at the end is not
+    part of the line; repeated lines are judged each; extra columns are kept, and columns of
+    these names that df already has are replaced. A line without column 9 has no attributes to judge.
+    """
+    line = F.regexp_replace(F.coalesce(F.col(raw), F.lit("")), "\r$", "")
+    out = df.withColumn("_line", line).withColumn("_parts", F.split("_line", "\t", -1)).withColumn("_n", F.size("_parts"))
+    out = out.withColumns({f"gtf_{c}": F.when(F.col("_n") > i, F.col("_parts")[i]) for i, c in enumerate(GTF_COLUMNS)})
+    g = {c: F.col(f"gtf_{c}") for c in GTF_COLUMNS}
+    s, e = _digits(g["start"]), _digits(g["end"])
+    ordered = (F.length(s) < F.length(e)) | ((F.length(s) == F.length(e)) & (s <= e))
+    named = lambda c: (c == "") | (c == ".") | c.rlike("\\s")
+    counted = F.col("_n").isin(8, 9)
+    rules = [
+        Rule("column_count", ~counted),
+        Rule("quoting", counted & g["attributes"].isNotNull() & ~attributes_ok(g["attributes"])),
+        Rule("invalid_value", counted & (named(g["seqname"]) | named(g["feature_type"]))),
+        Rule("invalid_value", counted & ~F.coalesce((s != "") & (e != "") & ordered, F.lit(False))),
+        Rule("invalid_value", counted & (g["score"] != ".") & ~g["score"].rlike(_NUMBER)),
+        Rule("invalid_value", counted & ~g["strand"].isin("+", "-", ".")),
+        Rule("invalid_value", counted & ~g["frame"].isin(".", "0", "1", "2")),
+    ]
+    kind = F.when(F.trim(F.regexp_replace("_line", "\\s", "")) == "", "blank").when(F.col("_line").startswith("#"), "comment").otherwise("record")
+    out = with_errors(out.withColumn("kind", kind), rules)
+    out = out.withColumn("errors", F.when(F.col("kind") == "record", F.col("errors")).otherwise(F.array().cast("array<string>")))
+    return out.drop("_line", "_parts", "_n")
+
+
+def rejected(df: DataFrame, raw: str = "raw_line") -> DataFrame:
+    """The records that are not valid, with `reason` (the first that applies) and all `errors`."""
+    return split_gtf(df, raw).where((F.col("kind") == "record") & (F.size("errors") > 0)).withColumn("reason", F.col("errors")[0])
+
+
+def features(df: DataFrame, raw: str = "raw_line") -> DataFrame:
+    """The valid records, cast: start_pos 0-based, half-open; score null for '.'; attributes as a
+    map in which of a repeated key the last value holds."""
+    v = split_gtf(df, raw).where((F.col("kind") == "record") & (F.size("errors") == 0))
+    at = F.coalesce(F.col("gtf_attributes"), F.lit(""))
+    pair = '([^\\s;"]+)\\s+(?:"([^"]*)"|([^\\s;"]+))'
+    keys, quoted, bare = (F.regexp_extract_all(at, F.lit(pair), F.lit(i)) for i in (1, 2, 3))
+    v = v.withColumn("_e", F.arrays_zip(keys.alias("k"), quoted.alias("q"), bare.alias("b")))
+    v = v.withColumn("_e", F.transform("_e", lambda x: F.struct(x["k"].alias("key"), F.concat(x["q"], x["b"]).alias("value"))))
+    last = F.filter("_e", lambda x, i: F.array_position(F.transform(F.slice(F.col("_e"), i + 2, F.greatest(F.size("_e"), F.lit(1))), lambda y: y["key"]), x["key"]) == 0)
+    v = v.withColumn("attributes", F.map_from_entries(last))
+    return v.select(
+        *[c for c in df.columns if c not in ("seqname", "source", "feature_type", "start_pos", "end_pos", "score", "strand", "frame", "attributes") and c != raw],
+        F.col("gtf_seqname").alias("seqname"), F.nullif(F.col("gtf_source"), F.lit(".")).alias("source"), F.col("gtf_feature_type").alias("feature_type"),
+        (F.try_to_number("gtf_start", F.lit("9" * 18)).cast("long") - 1).alias("start_pos"), F.try_to_number("gtf_end", F.lit("9" * 18)).cast("long").alias("end_pos"),
+        F.when(F.col("gtf_score") != ".", F.col("gtf_score").try_cast("double")).alias("score"), "gtf_strand", F.nullif(F.col("gtf_frame"), F.lit(".")).alias("frame"), "attributes",
+    ).withColumnRenamed("gtf_strand", "strand")
