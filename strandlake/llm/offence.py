@@ -26,14 +26,15 @@ from pyspark.sql import functions as F
 from strandlake.llm.textnorm import _fold, plain
 
 #: Labelled documents an index may hold, and their characters; more are thinned by the hash of their id.
-MAX_LABELLED = 12_000
-MAX_CHARS = 40_000_000
+MAX_LABELLED = 6_000
+MAX_CHARS = 20_000_000
 BLOCK = 64
 #: Signs written in place of letters.
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "+": "t", "|": "l", "€": "e"})
 
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"')\]]*\s+|[\r\n]+")
 _SPACED = re.compile(r"(?<!\w)(?:\w[ .\-_*]){2,}\w(?!\w)")
+_GAP = re.compile(r"[ .\-_*]")
 _MASKED = re.compile(r"^([^\W\d_])\*{2,}([^\W\d_])?$")
 _PURE = re.compile(r"^[^\W\d_]+$")
 _WORD = re.compile(r"[^\W_]+")
@@ -45,13 +46,10 @@ _EDGE = "\"'.,;:?!()[]{}<>«»“”‘’…`~#"
 
 
 def tokens(passage: str) -> list[str]:
-    """Words of a plain, folded passage: spaced-out letters joined, letter-like signs read as letters,
-    repeated letters as one, masked words (w***d) as w*length*d, pictographs as words."""
-    s = passage
-    if _SPACED.search(s):
-        s = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m.group()), s)
+    """Words of a plain, folded passage: letter-like signs read as letters, repeated letters as one,
+    masked words (w***d) as w*length*d, pictographs as words."""
     out = []
-    for t in s.split():
+    for t in passage.split():
         if not t.isascii():
             out += _SIGN.findall(t)
         t = t.strip(_EDGE)
@@ -72,9 +70,11 @@ def tokens(passage: str) -> list[str]:
 
 def passages(text: str, most: int = 40, overlap: int = 10) -> list[list[str]]:
     """Sentences and lines as token lists; longer ones as windows of `most` tokens. The whole text.
-    Code names and addresses count as one word, numbers as another: they are no words to compare by."""
+    Spaced-out letters (w o r d) are joined. Code names and addresses count as one word, numbers as
+    another: they are no words to compare by."""
     out = []
     for s in _SENTENCE.split(plain(text, emphasis=True)):
+        s = _SPACED.sub(lambda m: _GAP.sub("", m.group()), s)
         w = tokens(_fold(_NUMBER.sub("0", _CODE.sub(" idf ", s))))
         if len(w) <= most:
             if w:
