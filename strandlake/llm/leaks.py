@@ -15,8 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.textnorm import plain, words, words_with_offsets
-from strandlake.llm.textnorm import _fold, _WORD  # the two halves of words()
+from strandlake.llm.textnorm import _WORD, _fold, plain, words, words_with_offsets
+from strandlake.plans.runtime import spread
 
 #: Characters of items that one automaton may hold, about 1 GB of nodes at the most; more items are scanned in further passes.
 MAX_ITEM_CHARS = 4_000_000
@@ -97,6 +97,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
                             out += [(d, *hit) for hit in scan(a, t, window)]
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "words", "start_offset", "end_offset"])
 
-        one = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).where("t is not null").mapInPandas(kernel, LEAKS)
+        rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).where("t is not null")
+        one = spread(rows).mapInPandas(kernel, LEAKS)
         found = one if found is None else found.unionByName(one)
     return found

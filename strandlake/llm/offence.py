@@ -1,22 +1,24 @@
 """Abusive, hateful or sexual content: nearest labelled examples by exact TF-IDF cosine.
 
-Index (driver, from at most `max_labelled` labelled documents): passages of clean documents are
+Index (driver, from at most MAX_LABELLED labelled documents): passages of clean documents are
 clean examples; of an offending document the passages that set it apart from clean documents are
 offending examples. Postings are kept per block of examples with the greatest weight of each
 feature (block maxima), offending and clean examples in separate blocks.
 
-Scoring (executors, one Arrow pass, no shuffle): every passage of every text is bounded by the
-block maxima; only where an offending block may reach `min_sim` are its postings and the clean
-ones read and the k nearest examples found, exactly. Their votes, weighted by similarity, are the
-passage's score; a document has that of its worst passage, with that passage's nearest example.
+Scoring (executors, one Arrow pass): every passage of every text is bounded by the block maxima;
+only where an offending block may reach `min_sim` are its postings and the clean ones read and the
+k nearest examples found, exactly. Their votes, weighted by similarity, are the passage's score; a
+document has that of its worst passage, with that passage's nearest example as evidence.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -24,11 +26,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm.textnorm import _fold, plain
+from strandlake.plans.runtime import spread
 
 #: Labelled documents an index may hold, and their characters; more are thinned by the hash of their id.
-MAX_LABELLED = 6_000
+MAX_LABELLED = 4_000
 MAX_CHARS = 20_000_000
 BLOCK = 64
+#: Results of sentences that a worker keeps, as many sentences return.
+CACHED = 200_000
+KINDS = ("clean", "abuse", "hate", "sexual")
 #: Signs written in place of letters.
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "+": "t", "|": "l", "€": "e"})
 
@@ -39,132 +45,139 @@ _MASKED = re.compile(r"^([^\W\d_])\*{2,}([^\W\d_])?$")
 _PURE = re.compile(r"^[^\W\d_]+$")
 _WORD = re.compile(r"[^\W_]+")
 _REPEAT = re.compile(r"(.)\1+")
-_CODE = re.compile(r"(?<![\w@])(?:[a-z]{3,}(?:[A-Z][a-z]{2,}\d*)+|\w*[^\W\d]_\w+|\w+[.:>-]*(?:\.|->|::)\w+|0x\w+)(?!\w)|(?:https?|ftp)://\S+")
-_NUMBER = re.compile(r"(?<!\w)[\d][\d.:,]*(?!\w)")
+_CODE = re.compile(r"(?<![\w@])(?:[a-z]{3,}(?:[A-Z][a-z]{2,}\d*)+|\w*[^\W\d]_\w+|\w+(?:\.|->|::)\w+|0x\w+)(?!\w)|(?:https?|ftp)://\S+")
+_NUMBER = re.compile(r"(?<!\w)\d[\d.:,]*(?!\w)")
 _SIGN = re.compile("[\U0001f300-\U0001faff☀-➿]")
 _EDGE = "\"'.,;:?!()[]{}<>«»“”‘’…`~#"
 
 
-def tokens(passage: str) -> list[str]:
-    """Words of a plain, folded passage: letter-like signs read as letters, repeated letters as one,
-    masked words (w***d) as w*length*d, pictographs as words."""
-    out = []
-    for t in passage.split():
-        if not t.isascii():
-            out += _SIGN.findall(t)
-        t = t.strip(_EDGE)
-        if not t:
-            continue
-        if t[0] == "@":
-            t = t[1:]
-        if _PURE.match(t):
-            out.append(_REPEAT.sub(r"\1", t))
-        elif m := _MASKED.match(t):
-            out.append(f"{m.group(1)}*{len(t)}*{m.group(2) or ''}")
-        elif "_" not in t and _PURE.match(u := t.translate(LEET)):
-            out.append(_REPEAT.sub(r"\1", u))
-        else:
-            out += ["0" if any(map(str.isdigit, w)) else _REPEAT.sub(r"\1", w) for w in _WORD.findall(t)]
-    return out
-
-
-def passages(text: str, most: int = 40, overlap: int = 10) -> list[list[str]]:
-    """Sentences and lines as token lists; longer ones as windows of `most` tokens. The whole text.
-    Spaced-out letters (w o r d) are joined. Code names and addresses count as one word, numbers as
-    another: they are no words to compare by."""
-    out = []
-    for s in _SENTENCE.split(plain(text, emphasis=True)):
-        s = _SPACED.sub(lambda m: _GAP.sub("", m.group()), s)
-        w = tokens(_fold(_NUMBER.sub("0", _CODE.sub(" idf ", s))))
-        if len(w) <= most:
-            if w:
-                out.append(w)
-        else:
-            out += [w[i : i + most] for i in range(0, len(w) - overlap, most - overlap)]
-    return out
-
-
-def features(w: list[str]) -> list[str]:
-    return [*w, *(f"{a} {b}" for a, b in zip(["^", *w], [*w, "$"]))]
+@functools.lru_cache(maxsize=CACHED)
+def token(t: str) -> tuple[str, ...]:
+    """The words that a blank-separated token of a plain, folded text stands for: letter-like signs
+    read as letters, repeated letters as one, a masked word (w***d) as w*length*d, pictographs as words."""
+    out = [] if t.isascii() else _SIGN.findall(t)
+    t = t.strip(_EDGE)
+    if t[:1] == "@":
+        t = t[1:]
+    if not t:
+        pass
+    elif _PURE.match(t):
+        out.append(_REPEAT.sub(r"\1", t))
+    elif m := _MASKED.match(t):
+        out.append(f"{m.group(1)}*{len(t)}*{m.group(2) or ''}")
+    elif "_" not in t and _PURE.match(u := t.translate(LEET)):
+        out.append(_REPEAT.sub(r"\1", u))
+    else:
+        out += ["0" if any(map(str.isdigit, w)) else _REPEAT.sub(r"\1", w) for w in _WORD.findall(t)]
+    return tuple(out)
+
+
+def sentences(text: str) -> list[str]:
+    """Sentences and lines of the whole plain, folded text. Spaced-out letters (w o r d) are joined; code
+    names and addresses count as one word, numbers as another: they are no words to compare by."""
+    s = _SPACED.sub(lambda m: _GAP.sub("", m.group()), plain(text, emphasis=True))
+    return _SENTENCE.split(_fold(_NUMBER.sub("0", _CODE.sub(" idf ", s))))
+
+
+def split(sentence: str, most: int = 40, overlap: int = 10) -> list[list[str]]:
+    """A sentence as token lists: one, or windows of `most` tokens if it is longer."""
+    w = [x for t in sentence.split() for x in token(t)]
+    if len(w) <= most:
+        return [w] if w else []
+    return [w[i : i + most] for i in range(0, len(w) - overlap, most - overlap)]
+
+
+def features(w: list[str]) -> list:
+    """Words and pairs of neighbours, with the borders of the passage."""
+    return [*w, *zip(["^", *w], [*w, "$"])]
 
 
 class Index:
-    """Labelled passages as unit TF-IDF vectors in blocks, with postings and block maxima."""
+    """Labelled passages as unit TF-IDF vectors in blocks, with postings and block maxima.
 
-    def __init__(self, examples: list[tuple[list[str], float, str]], df: Counter, n: int, min_sim: float, k: int, strong: dict[str, float]):
-        # strong: words of offending examples and their weight of evidence, which masked words are read as.
-        self.min_sim, self.k = min_sim, k
+    examples: (tokens, share of raters who found offence, kind, doc_id); df: passages that hold a
+    feature, of n; strong: words of offending examples, which masked words are read as, and their
+    weight; held: vectors by tokens, shared between indexes with the same df.
+    """
+
+    def __init__(self, examples: list[tuple], df: Counter, n: int, min_sim: float, k: int, strong: dict[str, float], held: dict):
+        self.min_sim, self.k, self.cache = min_sim, k, {}
         self.masks: dict[str, str] = {}
         for w in sorted(strong, key=lambda x: (strong[x], x)):
-            if len(w) > 2:
-                # Words are kept with doubled letters as one, so the mask may be a little longer.
-                for more in (2, 1, 0):
-                    self.masks[f"{w[0]}*{len(w) + more}*{w[-1]}"] = w
+            # Words are kept with doubled letters as one, so the mask may be a little longer.
+            for more in (2, 1, 0) if len(w) > 2 else ():
+                self.masks[f"{w[0]}*{len(w) + more}*{w[-1]}"] = w
         self.idf = {f: math.log((n + 1) / (c + 0.5)) for f, c in df.items()}
         self.unseen = math.log((n + 1) / 0.5)
-        examples = sorted(examples, key=lambda e: (e[1] < 0.5, e[2], e[0]))
-        self.label = np.array([e[1] for e in examples])
+        examples = sorted(examples, key=lambda e: (e[1] < 0.5, e[2], e[0], e[3]))
+        self.label = np.array([e[1] for e in examples], dtype="float64")
         self.kind = [e[2] for e in examples]
         self.text = [" ".join(e[0]) for e in examples]
         self.n_bad = int((self.label >= 0.5).sum())
-        post = defaultdict(list)
-        for i, (w, _, _) in enumerate(examples):
-            v = self.vector(w)
-            for f, x in v.items():
-                post[f].append((i, x))
-        self.ids = {f: j for j, f in enumerate(post)}
-        self.rows = [np.array([i for i, _ in p], dtype="int32") for p in post.values()]
-        self.weights = [np.array([x for _, x in p], dtype="float32") for p in post.values()]
+        self.of_doc = defaultdict(list)
+        post_rows, post_weights = defaultdict(list), defaultdict(list)
+        for i, (w, _, _, d) in enumerate(examples):
+            if i < self.n_bad:
+                self.of_doc[d].append(i)
+            key = tuple(w)
+            if (v := held.get(key)) is None:
+                v = held[key] = self.vector(w)
+            for f, x in v:
+                post_rows[f].append(i)
+                post_weights[f].append(x)
+        self.of_doc = dict(self.of_doc)
+        self.ids = {f: j for j, f in enumerate(post_rows)}
+        self.rows = [np.array(r, dtype="int32") for r in post_rows.values()]
+        self.weights = [np.array(x, dtype="float32") for x in post_weights.values()]
         self.cut = [int(np.searchsorted(r, self.n_bad)) for r in self.rows]
-        # Block maxima of the offending blocks, and over all of them.
-        self.block_ids, self.block_max, self.top = [], [], np.zeros(len(post), dtype="float32")
-        for j, (r, x, c) in enumerate(zip(self.rows, self.weights, self.cut)):
+        # Block maxima of the offending blocks; gain: what a feature may add to the product with any of them.
+        self.block_ids, self.block_max, self.gain = [], [], {}
+        for f, r, x, c in zip(self.ids, self.rows, self.weights, self.cut):
             b = r[:c] // BLOCK
-            at = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if c else np.array([], dtype=int)
-            self.block_ids.append(b[at] if c else b)
+            at = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if c else b
+            self.block_ids.append(b[at])
             self.block_max.append(np.maximum.reduceat(x[:c], at) if c else x[:0])
-            self.top[j] = x[:c].max() if c else 0
+            if c:
+                self.gain[f] = self.idf.get(f, self.unseen) * float(x[:c].max())
         self.n_blocks = -(-self.n_bad // BLOCK)
+        self.square = {f: x * x for f, x in self.idf.items()}
 
-    def read(self, w: list[str]) -> list[str]:
-        return [self.masks.get(t, t) if "*" in t else t for t in w]
-
-    def vector(self, w: list[str]) -> dict[str, float]:
-        tf = Counter(features(w))
-        v = {f: (1 + math.log(c)) * self.idf.get(f, self.unseen) for f, c in tf.items()}
-        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
-        return {f: x / norm for f, x in v.items()}
+    def vector(self, w: list[str]) -> list[tuple]:
+        v = [(f, (1 + math.log(c)) * self.idf.get(f, self.unseen)) for f, c in Counter(features(w)).items()]
+        norm = math.sqrt(sum(x * x for _, x in v)) or 1.0
+        return [(f, x / norm) for f, x in v]
 
-    def nearest(self, w: list[str], skip: np.ndarray | None = None, alone: bool = False) -> tuple[float, int, float]:
+    def nearest(self, w: list[str], skip: list[int] = (), alone: bool = False) -> tuple[float, int, float]:
         """(score, nearest offending example or -1, its similarity). skip: offending examples that
         don't count. alone: a passage near to no example at all scores 1 instead of 0."""
-        ids, idf, unseen = self.ids, self.idf, self.unseen
-        tf = Counter(features(self.read(w)))
-        q, norm, bound = [], 0.0, 0.0  # the bound holds for any offending example
-        for f, c in tf.items():
-            x = idf.get(f, unseen) * (1 + math.log(c) if c > 1 else 1)
+        none = (0.0, -1, 0.0)
+        if not self.n_bad:
+            return none
+        fs = features([self.masks.get(t, t) if "*" in t else t for t in w])
+        # Each occurrence counted in full in the product, each feature once in the norm: above the cosine.
+        if not alone and sum(map(self.gain.get, fs, repeat(0.0))) < self.min_sim * math.sqrt(sum(map(self.square.get, set(fs), repeat(self.unseen**2)))):
+            return none
+        q, norm = [], 0.0
+        for f, c in Counter(fs).items():
+            x = self.idf.get(f, self.unseen) * (1 + math.log(c) if c > 1 else 1)
             norm += x * x
-            j = ids.get(f)
-            if j is not None:
+            if (j := self.ids.get(f)) is not None:
                 q.append((j, x))
-                bound += x * self.top[j]
         norm = math.sqrt(norm)
-        if not q or bound < self.min_sim * norm:
-            return 0.0, -1, 0.0
         reach = np.zeros(self.n_blocks, dtype="float32")
         for j, x in q:
             reach[self.block_ids[j]] += x * self.block_max[j]
-        if reach.max() < self.min_sim * norm:
-            return 0.0, -1, 0.0
+        live = reach >= self.min_sim * norm * (1 - 1e-5)
+        if not alone and not live.any():
+            return none
         bad = np.zeros(self.n_bad, dtype="float32")
-        live = np.repeat(reach >= self.min_sim * norm, BLOCK)[: self.n_bad]
         for j, x in q:
             bad[self.rows[j][: self.cut[j]]] += x * self.weights[j][: self.cut[j]]
-        bad = np.where(live, bad, 0) / norm
-        if skip is not None:
+        bad = np.where(np.repeat(live, BLOCK)[: self.n_bad], bad, 0) / norm
+        if len(skip):
             bad[skip] = 0
-        if bad.max() < self.min_sim and not alone:
-            return 0.0, -1, 0.0
+        if not alone and bad.max() < self.min_sim:
+            return none
         clean = np.zeros(len(self.label) - self.n_bad, dtype="float32")
         for j, x in q:
             clean[self.rows[j][self.cut[j] :] - self.n_bad] += x * self.weights[j][self.cut[j] :]
@@ -173,21 +186,19 @@ class Index:
         near = near[sims[near] >= self.min_sim]
         if not len(near):
             return 1.0, -1, 0.0
-        v = sims[near] ** 2
-        score = float((v * self.label[near]).sum() / v.sum())
+        v = sims[near].astype("float64") ** 2
         best = int(bad.argmax())
-        return score, best, float(bad[best])
+        return float((v * self.label[near]).sum() / v.sum()), best, float(bad[best])
 
 
 def majority(labels: dict[str, int]) -> tuple[float, str]:
     """(share of raters who found offence, their most frequent label)."""
     bad = {x: n for x, n in labels.items() if x != "clean" and n}
-    share = sum(bad.values()) / max(1, sum(labels.values()))
-    return share, min(bad, key=lambda x: (-bad[x], x)) if bad else "clean"
+    return sum(bad.values()) / max(1, sum(labels.values())), min(bad, key=lambda x: (-bad[x], x)) if bad else "clean"
 
 
 def fit(labelled: list[tuple[int, str, dict[str, int]]], min_sim: float = 0.35, k: int = 12) -> Index:
-    """The index of labelled (doc_id, text, labels).
+    """The index of labelled (doc_id, text, count of each label).
 
     A passage's evidence is the sum of the log odds, between offending and clean documents, of its
     words, and of its pairs of words that three offending documents have. Of an offending document
@@ -197,70 +208,73 @@ def fit(labelled: list[tuple[int, str, dict[str, int]]], min_sim: float = 0.35,
     beside the point, and is dropped, as is one near to none whose words are all known from clean
     documents.
     """
-    docs = [(d, *majority(ls), passages(t)) for d, t, ls in labelled]
-    bad, clean, df = Counter(), Counter(), Counter()
-    n_bad = sum(s >= 0.5 for _, s, _, _ in docs)
+    docs = [(d, *majority(ls), [p for s in sentences(t) for p in split(s)]) for d, t, ls in labelled]
+    bad, clean, df, n = Counter(), Counter(), Counter(), 0
+    n_bad = sum(share >= 0.5 for _, share, _, _ in docs)
     for _, share, _, ps in docs:
-        seen = [set(features(p)) for p in ps]
-        for s in seen:
-            df.update(s)
-        (bad if share >= 0.5 else clean).update(set().union(*seen))
+        seen: set = set()
+        for p in ps:
+            own = set(features(p))
+            df.update(own)
+            seen |= own
+        (bad if share >= 0.5 else clean).update(seen)
+        n += len(ps)
     n_clean = len(docs) - n_bad
     odds = {f: math.log((c + 0.3) / (n_bad + 0.6)) - math.log((clean[f] + 0.3) / (n_clean + 0.6)) for f, c in bad.items()}
 
     def evidence(p: list[str]) -> float:
-        telling = {f: odds[f] for f in set(features(p)) if odds.get(f, 0) > 1 and (" " not in f or bad[f] > 2)}
-        if all(" " in f for f in telling) and len(telling) < 2:
+        telling = {f: odds[f] for f in set(features(p)) if odds.get(f, 0) > 1 and (isinstance(f, str) or bad[f] > 2)}
+        if len(telling) < 2 and not any(isinstance(f, str) for f in telling):
             return 0.0
         return sum(sorted(telling.values(), reverse=True)[:8])
 
-    n = sum(len(ps) for *_, ps in docs)
-    chosen, seen_clean = [], {}
+    chosen, calm = [], set()
     for d, share, kind, ps in docs:
         if share < 0.5:
-            seen_clean |= {tuple(p): d for p in ps}
+            calm.update(map(tuple, ps))
             continue
         e = [evidence(p) for p in ps]
         most = max(e, default=0)
-        chosen += [(d, p, share, kind) for p, x in zip(ps, e) if x > 2 and x >= most / 2]
-    calm = [(list(p), 0.0, "clean") for p in seen_clean]
+        chosen += [(p, share, kind, d) for p, x in zip(ps, e) if x > 2 and x >= most / 2]
+    quiet, held = [(list(p), 0.0, "clean", 0) for p in calm], {}
 
-    def build(rows) -> Index:
-        strong = {w: odds[w] for _, p, _, _ in rows for w in p if odds.get(w, 0) > 1}
-        return Index([(p, s, kind) for _, p, s, kind in rows] + calm, df, max(1, n), min_sim, k, strong)
+    def build(rows: list[tuple]) -> Index:
+        return Index(rows + quiet, df, max(1, n), min_sim, k, {w: odds[w] for p, *_ in rows for w in p if odds.get(w, 0) > 1}, held)
 
-    if not chosen:
-        return build(chosen)
     first = build(chosen)
-    at = defaultdict(list)
-    for i in range(first.n_bad):
-        at[first.text[i]].append(i)
-    by_doc = defaultdict(set)
-    for d, p, _, _ in chosen:
-        by_doc[d].update(at[" ".join(p)])
     kept = []
-    for d, p, share, kind in chosen:
-        score, near, sim = first.nearest(p, skip=np.array(sorted(by_doc[d]), dtype=int), alone=True)
-        if score >= 0.5 and (near >= 0 or any(not clean[w] and bad[w] for w in p if w.isalpha())):
-            kept.append((d, p, share, kind))
+    for row in chosen:
+        score, near, _ = first.nearest(row[0], first.of_doc[row[3]], alone=True)
+        if score >= 0.5 and (near >= 0 or any(not clean[w] for w in row[0] if w.isalpha())):
+            kept.append(row)
     return build(kept)
 
 
-def worst(ix: Index, text: str) -> tuple[float, str, float, str, str]:
+def worst(ix: Index, text: str, skip: list[int] | None = None) -> tuple[float, str, float, str, str]:
     """(score, kind, similarity, passage, nearest example) of the passage that scores highest, of equals the first."""
     top = (0.0, "clean", 0.0, "", "")
-    for p in passages(text):
-        score, i, sim = ix.nearest(p)
-        if score > top[0]:
-            top = (score, ix.kind[i], sim, " ".join(p), ix.text[i])
+    for s in sentences(text):
+        hit = ix.cache.get(s) if skip is None else None
+        if hit is None:
+            hit = (0.0, "clean", 0.0, "", "")
+            for p in split(s):
+                score, i, sim = ix.nearest(p, skip or ())
+                if score > hit[0]:
+                    hit = (score, ix.kind[i], sim, " ".join(p), ix.text[i])
+            if skip is None:
+                if len(ix.cache) >= CACHED:
+                    ix.cache.clear()
+                if len(s) < 500:
+                    ix.cache[s] = hit
+        if hit[0] > top[0]:
+            top = hit
     return top
 
 
 def calibrate(scores: list[float], truth: list[bool], rounds: int = 50) -> tuple[float, float]:
     """(a, b) such that 1 / (1 + exp(-a - b * score)) is the chance of offence, by penalised maximum likelihood."""
-    s, y = np.array(scores), np.array(truth, dtype=float)
-    t = np.array([0.0, 0.0])
-    x = np.stack([np.ones_like(s), s], axis=1)
+    y, t = np.array(truth, dtype=float), np.zeros(2)
+    x = np.stack([np.ones(len(scores)), np.array(scores)], axis=1)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ t, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
@@ -270,15 +284,14 @@ def calibrate(scores: list[float], truth: list[bool], rounds: int = 50) -> tuple
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str, dict[str, int]]]:
     """At most MAX_LABELLED labelled documents with text and label counts, those of the least hash of their id."""
-    kinds = ("clean", "abuse", "hate", "sexual")
-    l = labels.select("doc_id", F.lower(F.trim("label")).alias("label")).where(F.col("label").isin(*kinds))
-    l = l.groupBy("doc_id").agg(*[F.count(F.when(F.col("label") == k, 1)).alias(k) for k in kinds])
+    l = labels.select("doc_id", F.lower(F.trim("label")).alias("label")).where(F.col("label").isin(*KINDS))
+    l = l.groupBy("doc_id").agg(*[F.count(F.when(F.col("label") == k, 1)).alias(k) for k in KINDS])
     l = l.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(l), "doc_id")
     # The running number of characters decides alike on every run; ids may repeat, texts tell them apart.
     upto = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))
-    rows = rows.withColumn("upto", upto).where(F.col("upto") <= MAX_CHARS).select("doc_id", "text", *kinds)
-    return [(r[0], r[1], dict(zip(kinds, r[2:]))) for r in rows.toLocalIterator()]
+    rows = rows.withColumn("upto", upto).where(F.col("upto") <= MAX_CHARS).select("doc_id", "text", *KINDS)
+    return [(r[0], r[1], dict(zip(KINDS, r[2:]))) for r in rows.toLocalIterator()]
 
 
 SCORES = "doc_id long, source string, raw_score double, score double, kind string, similarity double, passage string, example string"
@@ -288,22 +301,19 @@ def score_offence(docs: DataFrame, labels: DataFrame, min_sim: float = 0.35, k:
     """(doc_id, source, raw_score, score, kind, similarity, passage, example), one row per row of docs.
 
     score is the calibrated chance of offence: raw_score is the share of votes for the worst passage,
-    the calibration is fitted on every held_out-th labelled document with an index of the others
+    the calibration is fitted on every held_out-th labelled document, scored without its own examples
     (with fewer than 50 of them, or of one kind only, score is raw_score). Null and empty texts
     score as texts without offence. Without labels every raw_score is 0. Labels that are null or
-    none of clean, abuse, hate, sexual are ignored; a document counts as offending if at least half
-    of its labels say so.
+    none of KINDS are ignored; a document counts as offending if at least half of its labels say so.
     """
     sample = sorted(labelled_sample(docs, labels), key=lambda r: (r[0], r[1]))
+    ix = fit(sample, min_sim, k)
     a = b = None
-    test = [r for i, r in enumerate(sample) if i % held_out == 0]
+    test = sample[::held_out]
     truth = [majority(r[2])[0] >= 0.5 for r in test]
     if len(test) >= 50 and len(set(truth)) == 2:
-        part = fit([r for i, r in enumerate(sample) if i % held_out], min_sim, k)
-        a, b = calibrate([worst(part, r[1])[0] for r in test], truth)
-        del part
-    sent = docs.sparkSession.sparkContext.broadcast((fit(sample, min_sim, k), a, b))
-    del sample, test
+        a, b = calibrate([worst(ix, r[1], ix.of_doc.get(r[0], []))[0] for r in test], truth)
+    sent = docs.sparkSession.sparkContext.broadcast((ix, a, b))
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix, a, b = sent.value
@@ -315,7 +325,8 @@ def score_offence(docs: DataFrame, labels: DataFrame, min_sim: float = 0.35, k:
                 | {c: [r[i] for r in rows] for i, c in enumerate(("kind", "similarity", "passage", "example"), 1)}
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source")).mapInPandas(kernel, SCORES)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"))
+    return spread(rows).mapInPandas(kernel, SCORES)
 
 
 def rates(scored: DataFrame, threshold: float = 0.5) -> DataFrame:

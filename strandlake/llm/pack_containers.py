@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.plans.runtime import cut_lineage
+from strandlake.plans.runtime import cut_lineage, spread
 
 DIMS, BITS = 3, 5
 LOOK = 4096
@@ -103,7 +103,7 @@ def measure(docs: DataFrame, doc_id: str, text: str, tokenizer: str) -> DataFram
             x = np.array([project(t) for t in texts]).reshape(len(texts), DIMS)
             yield pd.DataFrame({"doc_id": b["d"], "tokens": n} | {f"x{i}": x[:, i] for i in range(DIMS)})
 
-    return docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).mapInPandas(kernel, schema)
+    return spread(docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))).mapInPandas(kernel, schema)
 
 
 def curve_key(measured: DataFrame) -> DataFrame:
