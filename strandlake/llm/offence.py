@@ -18,7 +18,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -51,10 +51,7 @@ _SIGN = re.compile("[\U0001f300-\U0001faff☀-➿]")
 _EDGE = "\"'.,;:?!()[]{}<>«»“”‘’…`~#"
 
 
-@functools.lru_cache(maxsize=CACHED)
-def token(t: str) -> tuple[str, ...]:
-    """The words that a blank-separated token of a plain, folded text stands for: letter-like signs
-    read as letters, repeated letters as one, a masked word (w***d) as w*length*d, pictographs as words."""
+def _word(t: str) -> list[str]:
     out = [] if t.isascii() else _SIGN.findall(t)
     t = t.strip(_EDGE)
     if t[:1] == "@":
@@ -69,19 +66,25 @@ def token(t: str) -> tuple[str, ...]:
         out.append(_REPEAT.sub(r"\1", u))
     else:
         out += ["0" if any(map(str.isdigit, w)) else _REPEAT.sub(r"\1", w) for w in _WORD.findall(t)]
-    return tuple(out)
+    return out
+
+
+@functools.lru_cache(maxsize=CACHED)
+def token(t: str) -> tuple[str, ...]:
+    """The words that a blank-separated token of a plain text stands for, folded: letter-like signs
+    read as letters, repeated letters as one, a masked word (w***d) as w*length*d, pictographs as
+    words. Code names and addresses count as one word, numbers as another: they are no words to compare by."""
+    return tuple(w for x in _fold(_NUMBER.sub("0", _CODE.sub(" idf ", t))).split() for w in _word(x))
 
 
 def sentences(text: str) -> list[str]:
-    """Sentences and lines of the whole plain, folded text. Spaced-out letters (w o r d) are joined; code
-    names and addresses count as one word, numbers as another: they are no words to compare by."""
-    s = _SPACED.sub(lambda m: _GAP.sub("", m.group()), plain(text, emphasis=True))
-    return _SENTENCE.split(_fold(_NUMBER.sub("0", _CODE.sub(" idf ", s))))
+    """Sentences and lines of the whole plain text, spaced-out letters (w o r d) joined."""
+    return _SENTENCE.split(_SPACED.sub(lambda m: _GAP.sub("", m.group()), plain(text, emphasis=True)))
 
 
 def split(sentence: str, most: int = 40, overlap: int = 10) -> list[list[str]]:
     """A sentence as token lists: one, or windows of `most` tokens if it is longer."""
-    w = [x for t in sentence.split() for x in token(t)]
+    w = list(chain.from_iterable(map(token, sentence.split())))
     if len(w) <= most:
         return [w] if w else []
     return [w[i : i + most] for i in range(0, len(w) - overlap, most - overlap)]
@@ -130,17 +133,17 @@ class Index:
         self.rows = [np.array(r, dtype="int32") for r in post_rows.values()]
         self.weights = [np.array(x, dtype="float32") for x in post_weights.values()]
         self.cut = [int(np.searchsorted(r, self.n_bad)) for r in self.rows]
-        # Block maxima of the offending blocks; gain: what a feature may add to the product with any of them.
-        self.block_ids, self.block_max, self.gain = [], [], {}
-        for f, r, x, c in zip(self.ids, self.rows, self.weights, self.cut):
-            b = r[:c] // BLOCK
-            at = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if c else b
-            self.block_ids.append(b[at])
-            self.block_max.append(np.maximum.reduceat(x[:c], at) if c else x[:0])
-            if c:
-                self.gain[f] = self.idf.get(f, self.unseen) * float(x[:c].max())
+        # Block maxima of the offending blocks, a row per feature that any of them has; gain: what a
+        # feature may add to the product with any of them.
         self.n_blocks = -(-self.n_bad // BLOCK)
+        own = [(f, r[:c] // BLOCK, x[:c]) for f, r, x, c in zip(self.ids, self.rows, self.weights, self.cut) if c]
+        self.bad_row = {f: j for j, (f, _, _) in enumerate(own)}
+        self.block_max = np.zeros((len(own), self.n_blocks), dtype="float32")
+        for j, (_, b, x) in enumerate(own):
+            np.maximum.at(self.block_max[j], b, x)
+        self.gain = {f: self.idf.get(f, self.unseen) * float(x.max()) for f, _, x in own}
         self.square = {f: x * x for f, x in self.idf.items()}
+        self.reach = {f: self.idf.get(f, self.unseen) * m for f, m in zip(self.bad_row, self.block_max)}
 
     def vector(self, w: list[str]) -> list[tuple]:
         v = [(f, (1 + math.log(c)) * self.idf.get(f, self.unseen)) for f, c in Counter(features(w)).items()]
@@ -154,26 +157,26 @@ class Index:
         if not self.n_bad:
             return none
         fs = features([self.masks.get(t, t) if "*" in t else t for t in w])
-        # Each occurrence counted in full in the product, each feature once in the norm: above the cosine.
-        if not alone and sum(map(self.gain.get, fs, repeat(0.0))) < self.min_sim * math.sqrt(sum(map(self.square.get, set(fs), repeat(self.unseen**2)))):
-            return none
-        q, norm = [], 0.0
-        for f, c in Counter(fs).items():
-            x = self.idf.get(f, self.unseen) * (1 + math.log(c) if c > 1 else 1)
-            norm += x * x
-            if (j := self.ids.get(f)) is not None:
-                q.append((j, x))
-        norm = math.sqrt(norm)
-        reach = np.zeros(self.n_blocks, dtype="float32")
-        for j, x in q:
-            reach[self.block_ids[j]] += x * self.block_max[j]
-        live = reach >= self.min_sim * norm * (1 - 1e-5)
-        if not alone and not live.any():
-            return none
+        live = None
+        if not alone:
+            # Each occurrence counted in full in the product, each feature once in the norm: above the
+            # cosine, first of all blocks together, then of each.
+            least = self.min_sim * math.sqrt(sum(map(self.square.get, set(fs), repeat(self.unseen**2))))
+            if sum(map(self.gain.get, fs, repeat(0.0))) < least:
+                return none
+            live = np.add.reduce([self.reach[f] for f in fs if f in self.reach]) >= least * (1 - 1e-5)
+            if not live.any():
+                return none
+        q = [(f, self.idf.get(f, self.unseen) * (1 + math.log(c) if c > 1 else 1)) for f, c in Counter(fs).items()]
+        norm = math.sqrt(sum(x * x for _, x in q))
+        q = [(self.ids[f], x) for f, x in q if f in self.ids]
         bad = np.zeros(self.n_bad, dtype="float32")
         for j, x in q:
-            bad[self.rows[j][: self.cut[j]]] += x * self.weights[j][: self.cut[j]]
-        bad = np.where(np.repeat(live, BLOCK)[: self.n_bad], bad, 0) / norm
+            if c := self.cut[j]:
+                bad[self.rows[j][:c]] += x * self.weights[j][:c]
+        bad /= norm
+        if live is not None:
+            bad[~np.repeat(live, BLOCK)[: self.n_bad]] = 0
         if len(skip):
             bad[skip] = 0
         if not alone and bad.max() < self.min_sim:
@@ -254,20 +257,18 @@ def worst(ix: Index, text: str, skip: list[int] | None = None) -> tuple[float, s
     """(score, kind, similarity, passage, nearest example) of the passage that scores highest, of equals the first."""
     top = (0.0, "clean", 0.0, "", "")
     for s in sentences(text):
-        hit = ix.cache.get(s) if skip is None else None
-        if hit is None:
-            hit = (0.0, "clean", 0.0, "", "")
-            for p in split(s):
+        for p in split(s):
+            key = tuple(p)
+            hit = ix.cache.get(key) if skip is None else None
+            if hit is None:
                 score, i, sim = ix.nearest(p, skip or ())
-                if score > hit[0]:
-                    hit = (score, ix.kind[i], sim, " ".join(p), ix.text[i])
-            if skip is None:
-                if len(ix.cache) >= CACHED:
-                    ix.cache.clear()
-                if len(s) < 500:
-                    ix.cache[s] = hit
-        if hit[0] > top[0]:
-            top = hit
+                hit = (score, ix.kind[i], sim, " ".join(p), ix.text[i]) if score else (0.0,)
+                if skip is None:
+                    if len(ix.cache) >= CACHED:
+                        ix.cache.clear()
+                    ix.cache[key] = hit
+            if hit[0] > top[0]:
+                top = hit
     return top
 
 
