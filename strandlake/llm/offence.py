@@ -51,7 +51,8 @@ _SIGN = re.compile("[\U0001f300-\U0001faff☀-➿]")
 _EDGE = "\"'.,;:?!()[]{}<>«»“”‘’…`~#"
 
 
-def _word(t: str) -> list[str]:
+@functools.lru_cache(maxsize=CACHED)
+def _word(t: str) -> tuple[str, ...]:
     out = [] if t.isascii() else _SIGN.findall(t)
     t = t.strip(_EDGE)
     if t[:1] == "@":
@@ -66,7 +67,7 @@ def _word(t: str) -> list[str]:
         out.append(_REPEAT.sub(r"\1", u))
     else:
         out += ["0" if any(map(str.isdigit, w)) else _REPEAT.sub(r"\1", w) for w in _WORD.findall(t)]
-    return out
+    return tuple(out)
 
 
 @functools.lru_cache(maxsize=CACHED)
