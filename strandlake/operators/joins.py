@@ -31,6 +31,10 @@ class Fields:
     strand: str | None = None
 
 
+def _placed(level):
+    return lambda b: F.struct(level, b.alias("bin"))
+
+
 def _binned(df: DataFrame, f: Fields, pad: int, width: int, levels: int, side: str, row_id: str | None) -> DataFrame:
     s, e = F.col(f.start).cast("long"), F.col(f.end).cast("long")
     if pad:
@@ -47,8 +51,8 @@ def _binned(df: DataFrame, f: Fields, pad: int, width: int, levels: int, side: s
     out = out.withColumn(f"{side}_level", own)
     bins = []
     for k in range(levels):
-        w = F.lit(width * FAN**k)
-        at = F.transform(F.sequence(F.floor(F.col(f"{side}_s") / w), F.floor(last / w)), lambda b, k=k: F.struct(F.lit(k).alias("level"), b.alias("bin")))
+        w, level = F.lit(width * FAN**k), F.lit(k).alias("level")
+        at = F.transform(F.sequence(F.floor(F.col(f"{side}_s") / w), F.floor(last / w)), _placed(level))
         bins.append(at if levels == 1 else F.when(F.lit(k) >= F.col(f"{side}_level"), at).otherwise(F.array().cast("array<struct<level:int,bin:bigint>>")))
     return out.withColumn("_b", F.explode(F.concat(*bins) if levels > 1 else bins[0])).select("*", F.col("_b")["level"].alias("level"), F.col("_b")["bin"].alias("bin")).drop("_b")
 
