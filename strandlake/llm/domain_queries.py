@@ -79,7 +79,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_runs(spark: SparkSession, d: str) -> DataFrame:
     """Runs with number of rows, length and length-weighted mean count."""
-    return _runs(spark, d).withColumn("mean_value", F.round("mean_value", 6))
+    return _runs(spark, d).withColumn("mean_value", F.round(F.col("mean_value") + 1e-10, 6))
 
 
 _P2 = """
@@ -215,7 +215,7 @@ QUERIES = {
 ORACLE = {
     "p1_found": _P1,
     "p2_found": f"{_P2} select sample_id, reference_name, min(s) as run_start, max(e) as run_end from numbered group by sample_id, reference_name, run having count(*) > 1",
-    "p2_runs": f"{_P2} select sample_id, reference_name, min(s) as run_start, max(e) as run_end, max(e) - min(s) as length, round(sum(v * (e - s)) / (max(e) - min(s)), 6) as mean_value, count(*) as rows from numbered group by sample_id, reference_name, run having count(*) > 1",
+    "p2_runs": f"{_P2} select sample_id, reference_name, min(s) as run_start, max(e) as run_end, max(e) - min(s) as length, round(sum(v * (e - s)) / (max(e) - min(s)) + 1e-10, 6) as mean_value, count(*) as rows from numbered group by sample_id, reference_name, run having count(*) > 1",
     "p4_found": _P4,
     "p5_percentiles": _P5_RANKED,
     "p5_days": f"{_P5} select sample_id, reference_name, strftime(loaded_at, '%Y-%m-%d') as day, cell, count(*) as n from cells group by all",
