@@ -329,13 +329,13 @@ def a14_mark_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """with o as (select cast(read_group_id as varchar) read_group, ascii(quality_score) - 33 quality, cycle_no cycle, dinuc_prev || dinuc_curr dinuc, count(*) total, count(*) filter (is_mismatch) mismatches from covariates where should_include and length(quality_score) = 1 group by all),
 t as (select *, ln((1 + sum(mismatches) over (partition by read_group, quality)) / (2 + sum(total) over (partition by read_group, quality))) q, ln((1 + sum(mismatches) over (partition by read_group, quality, cycle)) / (2 + sum(total) over (partition by read_group, quality, cycle))) c,
   ln((1 + sum(mismatches) over (partition by read_group, quality, dinuc)) / (2 + sum(total) over (partition by read_group, quality, dinuc))) d from o)
-select read_group, quality, cycle, dinuc, total, mismatches, round((1 + mismatches) / (2 + total), 6) as empirical_error, round(c + d - q, 6) as log_error, cast(floor(-10 * least(0, greatest(ln(1e-5), c + d - q)) / ln(10) + 0.5) as int) as new_quality from t"""
+select read_group, quality, cycle, dinuc, total, mismatches, round((1 + mismatches) / (2 + total), 6) as empirical_error, round(c + d - q, 6) + 0.0 as log_error, cast(floor(-10 * least(0, greatest(ln(1e-5), c + d - q)) / ln(10) + 0.5) as int) as new_quality from t"""
 )
 def a15_recalibration_table(spark: SparkSession, d: str) -> DataFrame:
     """Recalibrated qualities per covariate key, from the observed bases in covariates."""
     c = table(spark, d, "covariates").where("should_include and length(quality_score) = 1")
     o = c.groupBy(F.col("read_group_id").cast("string").alias("read_group"), (F.ascii("quality_score") - 33).alias("quality"), F.col("cycle_no").alias("cycle"), F.concat("dinuc_prev", "dinuc_curr").alias("dinuc")).agg(F.count("*").alias("total"), F.count(F.when(F.col("is_mismatch"), 1)).alias("mismatches"))
-    return recalibration_table(o).withColumn("log_error", F.round("log_error", 6)).withColumn("empirical_error", F.round("empirical_error", 6))
+    return recalibration_table(o).withColumn("log_error", F.round("log_error", 6) + F.lit(0.0)).withColumn("empirical_error", F.round("empirical_error", 6))
 
 
 _BINS = "0,20,10;20,40,30;40,60,50"
