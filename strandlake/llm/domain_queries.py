@@ -25,9 +25,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
-    """The surviving record of each group, field by field."""
+    """The surviving record of each group, field by field; of its primary mapped reads the number."""
     out = fg.survivors(table(spark, d, "fragments"), fg.best_rows(_keyed(spark, d)))
-    return out.withColumn("primary_mapped", F.to_json("primary_mapped"))
+    return out.withColumn("primary_mapped", F.coalesce(F.size("primary_mapped"), F.lit(-1)))
 
 
 def p1_fused(spark: SparkSession, d: str) -> DataFrame:
@@ -214,6 +214,9 @@ QUERIES = {
 }
 ORACLE = {
     "p1_found": _P1,
+    "p1_survivors": f"""with best as ({_P1}) select group_id, max(case when field_name = 'insert_size' then f.insert_size end) as insert_size, max(case when field_name = 'platform_unit' then trim(f.platform_unit) end) as platform_unit,
+coalesce(max(case when field_name = 'primary_mapped' then len(f.primary_mapped) end), -1) as primary_mapped, max(case when field_name = 'read_group_id' then trim(f.read_group_id) end) as read_group_id, max(case when field_name = 'sample_id' then trim(f.sample_id) end) as sample_id
+from best join fragments f using (fragment_id) group by group_id""",
     "p2_found": f"{_P2} select sample_id, reference_name, min(s) as run_start, max(e) as run_end from numbered group by sample_id, reference_name, run having count(*) > 1",
     "p2_runs": f"{_P2} select sample_id, reference_name, min(s) as run_start, max(e) as run_end, max(e) - min(s) as length, round(sum(v * (e - s)) / (max(e) - min(s)) + 1e-10, 6) as mean_value, count(*) as rows from numbered group by sample_id, reference_name, run having count(*) > 1",
     "p4_found": _P4,

@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 from strandlake.plans.runtime import cut_lineage
 
 FAN = 256
+LARGEST = 4e18
 
 
 def cell_counts(df: DataFrame, keys: list[str], value: str, error: float, day: Column | None = None) -> DataFrame:
-    """(keys, [day,] cell, n): the mergeable state. Null and NaN values are left out, infinities refused
-    by the cast (they have no grid cell). Combined map-side; a group has no more cells than its range / (2 * error)."""
+    """(keys, [day,] cell, n): the mergeable state. Null and NaN values are left out; infinities and
+    what lies beyond LARGEST cells from 0 count in the outermost cells, where the error isn't held. Combined map-side; a group has no more cells than its range / (2 * error)."""
     v = F.col(value).cast("double")
-    cell = F.floor(v / F.lit(2 * error) + F.lit(0.5))
+    cell = F.floor(F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), v / F.lit(2 * error) + F.lit(0.5))))
     rows = df.where(v.isNotNull() & ~F.isnan(v)).withColumn("cell", cell)
     if day is not None:
         return rows.withColumn("day", day).groupBy(*keys, "day", "cell").agg(F.count("*").alias("n"))
