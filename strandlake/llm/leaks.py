@@ -75,7 +75,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     span in the original text.
 
     Null and empty texts hold nothing, items of fewer words than the window match nothing,
-    repeated items are reported under each of their ids, repeated rows of an id once. Texts of any
+    repeated items are reported under each of their ids, rows that repeat a doc_id each by themselves. Texts of any
     length are scanned whole. The number of passes is the items' size over MAX_ITEM_CHARS.
     """
     held = items.select(F.col(item_id).cast("long"), F.col(item_text)).where(f"{item_text} is not null").distinct()
