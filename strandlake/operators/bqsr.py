@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.mdtag import parse_cigar, parse_md
 from strandlake.operators.joins import Fields, pairs
+from strandlake.plans.runtime import cut_lineage
 
 KEY = ["read_group", "quality", "cycle", "dinuc"]
 #: Table rows that are sent at once, about 20 bytes each.
@@ -108,11 +109,26 @@ def recalibration_table(observed: DataFrame) -> DataFrame:
     return out.withColumn("new_quality", F.floor(-10 * bounded / F.log(F.lit(10.0)) + 0.5).cast("int"))
 
 
+def _rewriter(sent, least_quality: int):
+    """Column function of (read group, bases, qualities, strand, number in the fragment) to new qualities."""
+
+    def kernel(g: pd.Series, s: pd.Series, q: pd.Series, neg: pd.Series, part: pd.Series) -> pd.Series:
+        lookup, out = sent.value, []
+        for a, b, c, d, e in zip(g, s, q, neg, part):
+            if not isinstance(c, str) or not isinstance(b, str) or len(b) != len(c):
+                out.append(c if isinstance(c, str) else None)
+                continue
+            cycle, dinuc = covariates(b, d is True or d is np.True_, e == 1)
+            a = a if isinstance(a, str) else None
+            out.append("".join(x if ord(x) - 33 < least_quality else chr(33 + lookup.get((a, ord(x) - 33, int(y), z), ord(x) - 33)) for x, y, z in zip(c, cycle, dinuc)))
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(kernel, "string")
+
+
 def recalibrate(reads: DataFrame, known_sites: DataFrame | None = None, row_id: str | None = None, least_quality: int = 5, sample: float | None = None, seed: int = 0) -> DataFrame:
     """reads with recalibrated qualityScores, the old ones in originalQualityScores. Bases below
     least_quality and keys never observed keep theirs. sample: share of reads to observe."""
-    from strandlake.plans.runtime import cut_lineage
-
     seen = reads if sample is None else reads.sample(False, sample, seed)
     table = cut_lineage(recalibration_table(observe(seen, known_sites, row_id)).select(*KEY, "new_quality"))
     parts = max(1, -(-table.count() // TABLE_ROWS))
@@ -123,19 +139,8 @@ def recalibrate(reads: DataFrame, known_sites: DataFrame | None = None, row_id:
         lookup = {(r[0], r[1], r[2], r[3]): r[4] for r in rows.toLocalIterator()}
         sent = reads.sparkSession.sparkContext.broadcast(lookup)
 
-        def kernel(g: pd.Series, s: pd.Series, q: pd.Series, neg: pd.Series, part: pd.Series, sent=sent) -> pd.Series:
-            lookup, out = sent.value, []
-            for a, b, c, d, e in zip(g, s, q, neg, part):
-                if not isinstance(c, str) or not isinstance(b, str) or len(b) != len(c):
-                    out.append(c if isinstance(c, str) else None)
-                    continue
-                cycle, dinuc = covariates(b, d is True or d is np.True_, e == 1)
-                a = a if isinstance(a, str) else None
-                out.append("".join(x if ord(x) - 33 < least_quality else chr(33 + lookup.get((a, ord(x) - 33, int(y), z), ord(x) - 33)) for x, y, z in zip(c, cycle, dinuc)))
-            return pd.Series(out, dtype=object)
-
         own = reads if parts == 1 else reads.where(group == k)
-        new = F.pandas_udf(kernel, "string")("readGroupId", "sequence", "qualityScores", "readNegativeStrand", "readInFragment")
+        new = _rewriter(sent, least_quality)("readGroupId", "sequence", "qualityScores", "readNegativeStrand", "readInFragment")
         one = own.withColumn("originalQualityScores", F.col("qualityScores")).withColumn("qualityScores", new)
         out = one if out is None else out.unionByName(one)
     return out
