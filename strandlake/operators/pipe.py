@@ -76,8 +76,9 @@ def run_lines(command: list[str], lines: Iterator[str], env: dict[str, str] | No
 def pipe(df: DataFrame, command: list[str] | str, to_lines: Callable[..., DataFrame], parse: Callable[[DataFrame], DataFrame], header: list[str] = (), files: list[str] = (), env: dict[str, str] | None = None, flank: int = 0, bin_size: int = 1_000_000, fields: Fields = Fields(), out_fields: Fields | None = Fields(), timeout: float | None = None, partitions: int | None = None) -> DataFrame:
     """Records through a program that reads and writes lines.
 
-    Rows are copied to every bin of bin_size positions that they, padded by flank, overlap; a task runs
-    the program once per partition, fed with the header and its rows in order of bin and position.
+    Bins of bin_size positions are dealt out to tasks by hash; a row is copied to every task with a bin
+    that it, padded by flank, overlaps. A task runs the program once, fed with the header and its rows
+    in order of reference and position.
     to_lines (of sources.sinks) makes the text column `value` and keeps the columns named by `keep`;
     parse turns a text column `value` into records, with the other columns beside them. Of records that several tasks made, as their rows
     were copied, one is kept: that whose start lies in the bins of its task (out_fields None: all are
@@ -87,11 +88,13 @@ def pipe(df: DataFrame, command: list[str] | str, to_lines: Callable[..., DataFr
     for f in files:
         spark.sparkContext.addFile(f)
     s, e = F.greatest(F.lit(0).cast("long"), F.col(fields.start) - flank), F.greatest(F.col(fields.end) + flank, F.col(fields.start) - flank + 1)
-    bins = F.sequence(F.floor(s / F.lit(bin_size)), F.floor((e - 1) / F.lit(bin_size)))
-    placed = df.where(F.col(fields.reference).isNotNull() & F.col(fields.start).isNotNull()).withColumns({"_ref": F.col(fields.reference), "_at": F.col(fields.start)}).withColumn("_bin", F.explode(bins))
-    text = to_lines(placed, keep=("_ref", "_bin", "_at"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    text = text.repartition(n, "_ref", "_bin").sortWithinPartitions("_ref", "_bin", "_at")
+    task_of = lambda ref, bin_: F.pmod(F.hash(ref, bin_), F.lit(n))
+    bins = F.sequence(F.floor(s / F.lit(bin_size)), F.floor((e - 1) / F.lit(bin_size)))
+    # A row goes once to every task that has a bin of it.
+    tasks = F.array_distinct(F.transform(bins, lambda b: task_of(F.col(fields.reference), b)))
+    placed = df.where(F.col(fields.reference).isNotNull() & F.col(fields.start).isNotNull()).withColumns({"_ref": F.col(fields.reference), "_at": F.col(fields.start)}).withColumn("_task", F.explode(tasks))
+    text = to_lines(placed, keep=("_ref", "_task", "_at")).repartitionById(n, "_task").sortWithinPartitions("_ref", "_at")
     head, names = list(header), list(files)
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,7 +110,6 @@ def pipe(df: DataFrame, command: list[str] | str, to_lines: Callable[..., DataFr
     raw = text.mapInPandas(kernel, "value string, _part int")
     if out_fields is None:
         return parse(raw.select("value"))
-    # The task of a bin is the hash partition of its reference and number.
     ref = F.col(out_fields.reference)
-    task = F.pmod(F.hash(ref, F.floor(F.col(out_fields.start) / F.lit(bin_size))), F.lit(n))
-    return parse(raw).where(ref.isNull() | (task == F.col("_part"))).drop("_part")
+    own = task_of(ref, F.floor(F.col(out_fields.start) / F.lit(bin_size))) == F.col("_part")
+    return parse(raw).where(ref.isNull() | own).drop("_part")

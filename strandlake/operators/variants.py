@@ -81,8 +81,10 @@ def _by_variant(df: DataFrame) -> list[Column]:
 def to_variant_contexts(genotypes: DataFrame) -> DataFrame:
     """One row per variant with all its genotypes, ordered by sample. Groups by position and alleles, as maps can't be keys."""
     rest = [c for c in genotypes.columns if c != "variant"]
-    g = genotypes.groupBy(*_by_variant(genotypes)).agg(F.first("variant").alias("variant"), F.array_sort(F.collect_list(F.struct("sampleId", F.struct(*rest).alias("g")))).alias("g"))
-    return g.select("referenceName", "start", "end", "variant", F.transform("g", lambda x: x["g"]).alias("genotypes"))
+    g = genotypes.groupBy(*_by_variant(genotypes)).agg(F.first("variant").alias("variant"), F.collect_list(F.struct("sampleId", F.struct(*rest).alias("g"))).alias("g"))
+    # A comparison of the samples alone: genotypes hold maps, which have no order.
+    by_sample = F.array_sort("g", lambda a, b: F.when(a["sampleId"] < b["sampleId"], -1).when(a["sampleId"] > b["sampleId"], 1).otherwise(0))
+    return g.select("referenceName", "start", "end", "variant", F.transform(by_sample, lambda x: x["g"]).alias("genotypes"))
 
 
 def to_variants(genotypes: DataFrame, dedupe: bool = False) -> DataFrame:

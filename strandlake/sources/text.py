@@ -50,12 +50,12 @@ def read_sam(spark: SparkSession, path: Paths) -> DataFrame:
     """SAM records. Read groups' samples come from the header, one small driver-side map."""
     c = F.col("c")
     lines = _lines(spark, path).where(~F.col("value").rlike("^@(HD|SQ|RG|PG|CO)(\t|$)"))
-    flag, none = c[1].cast("int"), lambda x: F.nullif(x, F.lit("*"))
+    flag, none = c[1].try_cast("int"), lambda x: F.nullif(x, F.lit("*"))
     flags = from_flags(flag)
     tags = F.array_join(F.slice(c, 12, F.greatest(F.size(c) - 11, F.lit(1))), "\t")
     tags = F.when(F.size(c) > 11, tags)
     mapped = flags["readMapped"]
-    start = F.when(mapped, c[3].cast("long") - 1)
+    start = F.when(mapped, c[3].try_cast("long") - 1)
     mate = F.when(c[6] == "=", none(c[2])).otherwise(none(c[6]))
     samples = {g["ID"]: g["SM"] for g in sam_header(spark, path).get("RG", []) if "ID" in g and "SM" in g}
     group = tag_value(tags, "RG")
@@ -63,8 +63,8 @@ def read_sam(spark: SparkSession, path: Paths) -> DataFrame:
     kept = F.filter(F.split(tags, "\t"), lambda t: ~t.rlike("^(RG|MD|OQ|OP|OC):"))
     out = lines.select(
         none(c[0]).alias("readName"), none(c[9]).alias("sequence"), none(c[10]).alias("qualityScores"), tag_value(tags, "OQ").alias("originalQualityScores"), F.when(mapped, none(c[2])).alias("referenceName"), start.alias("start"),
-        (start + reference_length(c[5])).alias("end"), (tag_value(tags, "OP").cast("long") - 1).alias("originalStart"), none(c[5]).alias("cigar"), tag_value(tags, "OC").alias("originalCigar"), F.when(mapped & (c[4] != "255"), c[4].cast("int")).alias("mappingQuality"),
-        F.nullif(c[8].cast("long"), F.lit(0)).alias("insertSize"), mate.alias("mateReferenceName"), F.when(mate.isNotNull() & (c[7] != "0"), c[7].cast("long") - 1).alias("mateAlignmentStart"), tag_value(tags, "MD").alias("mismatchingPositions"),
+        (start + reference_length(c[5])).alias("end"), (tag_value(tags, "OP").try_cast("long") - 1).alias("originalStart"), none(c[5]).alias("cigar"), tag_value(tags, "OC").alias("originalCigar"), F.when(mapped & (c[4] != "255"), c[4].try_cast("int")).alias("mappingQuality"),
+        F.nullif(c[8].try_cast("long"), F.lit(0)).alias("insertSize"), mate.alias("mateReferenceName"), F.when(mate.isNotNull() & (c[7] != "0"), c[7].try_cast("long") - 1).alias("mateAlignmentStart"), tag_value(tags, "MD").alias("mismatchingPositions"),
         F.array_join(kept, "\t").alias("attributes"), group.alias("readGroupId"), sample.alias("readGroupSampleId"), *[x.alias(n) for n, x in flags.items()],
     )
     return _columns(out, "alignment")
@@ -154,7 +154,7 @@ def read_narrow_peak(spark: SparkSession, path: Paths) -> DataFrame:
 def _bed(spark: SparkSession, path: Paths, extra: tuple[str, ...]) -> DataFrame:
     lines = _lines(spark, path, "#", "track", "browser").where(F.size("c") >= 3)
     more = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), _at(6 + i).alias("value")) for i, k in enumerate(extra)]), lambda x: x["value"].isNotNull())
-    return _columns(lines.select(_at(0).alias("referenceName"), _at(1).cast("long").alias("start"), _at(2).cast("long").alias("end"), _at(3).alias("name"), _at(4).try_cast("double").alias("score"), to_strand(F.get("c", F.lit(5))).alias("strand"), F.map_from_entries(more).alias("attributes")), "feature")
+    return _columns(lines.select(_at(0).alias("referenceName"), _at(1).try_cast("long").alias("start"), _at(2).try_cast("long").alias("end"), _at(3).alias("name"), _at(4).try_cast("double").alias("score"), to_strand(F.get("c", F.lit(5))).alias("strand"), F.map_from_entries(more).alias("attributes")), "feature")
 
 
 def _nine(spark: SparkSession, path: Paths, entries, wanted: dict[str, str]) -> DataFrame:
@@ -163,7 +163,7 @@ def _nine(spark: SparkSession, path: Paths, entries, wanted: dict[str, str]) ->
     of = lambda k: F.try_element_at(F.filter("e", lambda x: x["key"] == k), F.lit(-1))["value"]
     rest = F.filter("e", lambda x: ~x["key"].isin(*wanted.values()))
     out = lines.select(
-        _at(0).alias("referenceName"), _at(1).alias("source"), _at(2).alias("featureType"), (_at(3).cast("long") - 1).alias("start"), _at(4).cast("long").alias("end"), _at(5).try_cast("double").alias("score"), to_strand(F.get("c", F.lit(6))).alias("strand"), _at(7).try_cast("int").alias("frame"),
+        _at(0).alias("referenceName"), _at(1).alias("source"), _at(2).alias("featureType"), (_at(3).try_cast("long") - 1).alias("start"), _at(4).try_cast("long").alias("end"), _at(5).try_cast("double").alias("score"), to_strand(F.get("c", F.lit(6))).alias("strand"), _at(7).try_cast("int").alias("frame"),
         *[of(k).alias(c) for c, k in wanted.items()], last_wins(rest).alias("attributes"),
     )
     return out
@@ -188,7 +188,7 @@ def read_gff3(spark: SparkSession, path: Paths) -> DataFrame:
 
 def read_interval_list(spark: SparkSession, path: Paths) -> DataFrame:
     lines = _lines(spark, path, "@").where(F.size("c") >= 4)
-    return _columns(lines.select(_at(0).alias("referenceName"), (_at(1).cast("long") - 1).alias("start"), _at(2).cast("long").alias("end"), to_strand(F.get("c", F.lit(3))).alias("strand"), _at(4).alias("name")), "feature")
+    return _columns(lines.select(_at(0).alias("referenceName"), (_at(1).try_cast("long") - 1).alias("start"), _at(2).try_cast("long").alias("end"), to_strand(F.get("c", F.lit(3))).alias("strand"), _at(4).alias("name")), "feature")
 
 
 # Variants.
@@ -219,7 +219,7 @@ def _sites(spark: SparkSession, path: Paths) -> DataFrame:
 
 def _variant(s: DataFrame) -> Column:
     c, info = F.col("c"), lambda k: F.try_element_at("info", F.lit(k))
-    start = c[1].cast("long") - 1
+    start = c[1].try_cast("long") - 1
     end = F.coalesce(info("END").try_cast("long"), start + F.length(c[3]))
     # Per-allele lists: A has one value per ALT, R one for the reference first.
     per_alt = lambda k: F.get(F.split(info(k), ","), F.col("i"))
@@ -272,7 +272,7 @@ def read_genotypes(spark: SparkSession, path: Paths) -> DataFrame:
 
 def read_dictionary(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     """(name, length) in file order from .dict (@SQ lines), or tables of name and length; a driver-side read of a small file."""
-    out = []
+    out, tables = [], []
     for r in spark.read.text(path, wholetext=True).toLocalIterator():
         for line in r[0].splitlines():
             c = line.split("\t")
@@ -280,5 +280,5 @@ def read_dictionary(spark: SparkSession, path: str) -> list[tuple[str, int]]:
                 tags = dict(x.split(":", 1) for x in c[1:])
                 out.append((tags["SN"], int(tags["LN"])))
             elif not line.startswith(("@", "#")) and len(c) >= 2 and c[1].strip().isdigit():
-                out.append((c[0].strip(), int(c[1])))
-    return out
+                tables.append((c[0].strip(), int(c[1])))
+    return out or tables
