@@ -166,3 +166,25 @@ def region_order(a: Region) -> list[Column]:
     """Keys of the order of regions: name, start, end, strand (+, -, independent)."""
     strand = a.strand if a.strand is not None else F.lit(None).cast("string")
     return [a.reference.asc_nulls_last(), a.start.asc_nulls_last(), a.end.asc_nulls_last(), F.when(strand == "+", 0).when(strand == "-", 1).otherwise(2)]
+
+
+def genome_bins(a: Region, references: list[tuple[str, int]], bin_size: int) -> tuple[Column, Column]:
+    """(first, last) bin of a region when the bins of all references, by name, are numbered through.
+    References are driver-side metadata; null for one that isn't there."""
+    offsets, n = {}, 0
+    for name, size in sorted(references):
+        offsets[name] = n
+        n += -(-size // bin_size)
+    known = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv]) if offsets else F.create_map().cast("map<string,int>")
+    base = F.try_element_at(known, a.reference)
+    return base + F.floor(a.start / F.lit(bin_size)), base + F.floor(F.greatest(a.start, a.end - 1) / F.lit(bin_size))
+
+
+def invert_bin(number: int, references: list[tuple[str, int]], bin_size: int) -> tuple[str, int, int]:
+    """The region of a bin of genome_bins."""
+    for name, size in sorted(references):
+        n = -(-size // bin_size)
+        if number < n:
+            return name, number * bin_size, min(size, (number + 1) * bin_size)
+        number -= n
+    raise ValueError("no such bin")

@@ -79,6 +79,36 @@ def fastq_lines(df: DataFrame, name: str = "readName", original: bool = False, s
     return df.where("sequence is not null").select(*keep, F.concat(F.lit("@"), name, end, F.lit("\n"), "sequence", F.lit("\n+\n"), F.coalesce(qual, F.repeat(F.lit("B"), F.length("sequence")))).alias("value"))
 
 
+def interleaved_fastq_lines(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Fragments with two reads as one row of eight lines, first read before second."""
+    record = lambda r, n: F.concat(F.lit("@"), r["readName"], F.lit(f"/{n}\n"), r["sequence"], F.lit("\n+\n"), F.coalesce(r["qualityScores"], F.repeat(F.lit("B"), F.length(r["sequence"]))))
+    a, b = _mates()
+    return df.where(a.isNotNull() & b.isNotNull()).select(*keep, F.concat(record(a, 1), F.lit("\n"), record(b, 2)).alias("value"))
+
+
+def _mates() -> list[Column]:
+    """First and second read of a fragment, the best alignment of each."""
+    return [F.try_element_at(F.filter("alignments", lambda r: F.coalesce(r["readInFragment"], F.lit(0)) == n), F.lit(1)) for n in (F.lit(0), F.lit(1))]
+
+
+def tab5_lines(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Fragments as name, bases, qualities[, bases, qualities of the second read]."""
+    return _tab(df, keep, False)
+
+
+def tab6_lines(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """As tab5_lines, with the name of the second read too."""
+    return _tab(df, keep, True)
+
+
+def _tab(df: DataFrame, keep: tuple[str, ...], second_name: bool) -> DataFrame:
+    a, b = _mates()
+    one = lambda r: F.concat_ws("\t", r["sequence"], r["qualityScores"])
+    two = F.concat_ws("\t", F.concat(b["readName"], F.lit("/2")), one(b)) if second_name else one(b)
+    name = F.concat(a["readName"], F.lit("/1")) if second_name else a["readName"]
+    return df.where(a.isNotNull()).select(*keep, F.when(b.isNotNull(), F.concat_ws("\t", name, one(a), two)).otherwise(F.concat_ws("\t", a["readName"], one(a))).alias("value"))
+
+
 def save_fastq(df: DataFrame, path: str, name: str = "readName", original: bool = False, single: bool = False, mode: str = "overwrite", compression: str | None = None) -> None:
     _write(fastq_lines(df, name, original), path, single, None, mode, compression)
 

@@ -13,17 +13,30 @@ from strandlake.operators.reads import from_flags
 from strandlake.operators.variants import parse_effects
 from strandlake.schemas import SCHEMAS
 
-Paths = str | list[str]
+#: A path, paths, or a DataFrame with a text column `value` (lines from elsewhere, such as a program's output).
+Paths = str | list[str] | DataFrame
+
+#: A column that lines may carry through a reader: the task they come from (see operators.pipe).
+TASK = "_part"
 
 
 def _columns(df: DataFrame, kind: str) -> DataFrame:
     """df with exactly the columns of a record kind, those it lacks as nulls."""
     want = df.sparkSession.createDataFrame([], SCHEMAS[kind]).schema
-    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want])
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want], *_task(df))
+
+
+def _task(df: DataFrame) -> list[str]:
+    return [TASK] if TASK in df.columns else []
+
+
+def _text(spark: SparkSession, path: Paths) -> DataFrame:
+    return path if isinstance(path, DataFrame) else spark.read.text(path)
 
 
 def _lines(spark: SparkSession, path: Paths, *skip: str) -> DataFrame:
-    lines = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("value")).where(F.trim("value") != "")
+    lines = _text(spark, path)
+    lines = lines.select(F.regexp_replace("value", "\r$", "").alias("value"), *_task(lines)).where(F.trim("value") != "")
     for s in skip:
         lines = lines.where(~F.col("value").startswith(s))
     return lines.withColumn("c", F.split("value", "\t", -1))
@@ -40,7 +53,7 @@ def _at(i: int) -> Column:
 def sam_header(spark: SparkSession, path: Paths) -> dict[str, list[dict[str, str]]]:
     """Header lines by record type (HD, SQ, RG, PG, CO). Headers of several files are put together."""
     out: dict[str, list[dict[str, str]]] = {}
-    for r in spark.read.text(path).where(F.col("value").rlike("^@(HD|SQ|RG|PG|CO)(\t|$)")).distinct().orderBy("value").toLocalIterator():
+    for r in _text(spark, path).select("value").where(F.col("value").rlike("^@(HD|SQ|RG|PG|CO)(\t|$)")).distinct().orderBy("value").toLocalIterator():
         kind, *rest = r[0].split("\t")
         out.setdefault(kind[1:], []).append(dict(x.split(":", 1) for x in rest if ":" in x) if kind != "@CO" else {"text": "\t".join(rest)})
     return out
@@ -57,7 +70,9 @@ def read_sam(spark: SparkSession, path: Paths) -> DataFrame:
     mapped = flags["readMapped"]
     start = F.when(mapped, c[3].try_cast("long") - 1)
     mate = F.when(c[6] == "=", none(c[2])).otherwise(none(c[6]))
-    samples = {g["ID"]: g["SM"] for g in sam_header(spark, path).get("RG", []) if "ID" in g and "SM" in g}
+    # Lines that another program writes are read once, so they have no header to look into first.
+    header = {} if isinstance(path, DataFrame) else sam_header(spark, path)
+    samples = {g["ID"]: g["SM"] for g in header.get("RG", []) if "ID" in g and "SM" in g}
     group = tag_value(tags, "RG")
     sample = F.create_map(*[F.lit(x) for kv in samples.items() for x in kv])[group] if samples else F.lit(None).cast("string")
     kept = F.filter(F.split(tags, "\t"), lambda t: ~t.rlike("^(RG|MD|OQ|OP|OC):"))
@@ -65,7 +80,7 @@ def read_sam(spark: SparkSession, path: Paths) -> DataFrame:
         none(c[0]).alias("readName"), none(c[9]).alias("sequence"), none(c[10]).alias("qualityScores"), tag_value(tags, "OQ").alias("originalQualityScores"), F.when(mapped, none(c[2])).alias("referenceName"), start.alias("start"),
         (start + reference_length(c[5])).alias("end"), (tag_value(tags, "OP").try_cast("long") - 1).alias("originalStart"), none(c[5]).alias("cigar"), tag_value(tags, "OC").alias("originalCigar"), F.when(mapped & (c[4] != "255"), c[4].try_cast("int")).alias("mappingQuality"),
         F.nullif(c[8].try_cast("long"), F.lit(0)).alias("insertSize"), mate.alias("mateReferenceName"), F.when(mate.isNotNull() & (c[7] != "0"), c[7].try_cast("long") - 1).alias("mateAlignmentStart"), tag_value(tags, "MD").alias("mismatchingPositions"),
-        F.array_join(kept, "\t").alias("attributes"), group.alias("readGroupId"), sample.alias("readGroupSampleId"), *[x.alias(n) for n, x in flags.items()],
+        F.array_join(kept, "\t").alias("attributes"), group.alias("readGroupId"), sample.alias("readGroupSampleId"), *[x.alias(n) for n, x in flags.items()], *_task(lines),
     )
     return _columns(out, "alignment")
 
@@ -154,7 +169,7 @@ def read_narrow_peak(spark: SparkSession, path: Paths) -> DataFrame:
 def _bed(spark: SparkSession, path: Paths, extra: tuple[str, ...]) -> DataFrame:
     lines = _lines(spark, path, "#", "track", "browser").where(F.size("c") >= 3)
     more = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), _at(6 + i).alias("value")) for i, k in enumerate(extra)]), lambda x: x["value"].isNotNull())
-    return _columns(lines.select(_at(0).alias("referenceName"), _at(1).try_cast("long").alias("start"), _at(2).try_cast("long").alias("end"), _at(3).alias("name"), _at(4).try_cast("double").alias("score"), to_strand(F.get("c", F.lit(5))).alias("strand"), F.map_from_entries(more).alias("attributes")), "feature")
+    return _columns(lines.select(_at(0).alias("referenceName"), _at(1).try_cast("long").alias("start"), _at(2).try_cast("long").alias("end"), _at(3).alias("name"), _at(4).try_cast("double").alias("score"), to_strand(F.get("c", F.lit(5))).alias("strand"), F.map_from_entries(more).alias("attributes"), *_task(lines)), "feature")
 
 
 def _nine(spark: SparkSession, path: Paths, entries, wanted: dict[str, str]) -> DataFrame:
@@ -164,7 +179,7 @@ def _nine(spark: SparkSession, path: Paths, entries, wanted: dict[str, str]) ->
     rest = F.filter("e", lambda x: ~x["key"].isin(*wanted.values()))
     out = lines.select(
         _at(0).alias("referenceName"), _at(1).alias("source"), _at(2).alias("featureType"), (_at(3).try_cast("long") - 1).alias("start"), _at(4).try_cast("long").alias("end"), _at(5).try_cast("double").alias("score"), to_strand(F.get("c", F.lit(6))).alias("strand"), _at(7).try_cast("int").alias("frame"),
-        *[of(k).alias(c) for c, k in wanted.items()], last_wins(rest).alias("attributes"),
+        *[of(k).alias(c) for c, k in wanted.items()], last_wins(rest).alias("attributes"), *_task(lines),
     )
     return out
 
@@ -188,7 +203,7 @@ def read_gff3(spark: SparkSession, path: Paths) -> DataFrame:
 
 def read_interval_list(spark: SparkSession, path: Paths) -> DataFrame:
     lines = _lines(spark, path, "@").where(F.size("c") >= 4)
-    return _columns(lines.select(_at(0).alias("referenceName"), (_at(1).try_cast("long") - 1).alias("start"), _at(2).try_cast("long").alias("end"), to_strand(F.get("c", F.lit(3))).alias("strand"), _at(4).alias("name")), "feature")
+    return _columns(lines.select(_at(0).alias("referenceName"), (_at(1).try_cast("long") - 1).alias("start"), _at(2).try_cast("long").alias("end"), to_strand(F.get("c", F.lit(3))).alias("strand"), _at(4).alias("name"), *_task(lines)), "feature")
 
 
 # Variants.
@@ -201,7 +216,7 @@ FORMAT_KNOWN = ("GT", "AD", "DP", "MIN_DP", "GQ", "PL", "SB", "PS", "PQ", "FT",
 
 def vcf_header(spark: SparkSession, path: Paths) -> tuple[list[str], list[str]]:
     """(## lines, sample names) of VCF files; samples in the order of the first file's columns."""
-    lines = [r[0] for r in spark.read.text(path).where(F.col("value").startswith("#")).distinct().toLocalIterator()]
+    lines = [r[0] for r in _text(spark, path).select("value").where(F.col("value").startswith("#")).distinct().toLocalIterator()]
     samples: list[str] = []
     for h in sorted(x for x in lines if x.startswith("#CHROM")):
         samples += [s for s in h.rstrip("\r").split("\t")[9:] if s not in samples]
@@ -238,7 +253,7 @@ def _variant(s: DataFrame) -> Column:
 
 def read_variants(spark: SparkSession, path: Paths) -> DataFrame:
     s = _sites(spark, path)
-    return _columns(s.select(_variant(s).alias("v")).select("v.*"), "variant")
+    return _columns(s.select(_variant(s).alias("v"), *_task(s)).select("v.*", *_task(s)), "variant")
 
 
 def read_genotypes(spark: SparkSession, path: Paths) -> DataFrame:
@@ -282,3 +297,25 @@ def read_dictionary(spark: SparkSession, path: str) -> list[tuple[str, int]]:
             elif not line.startswith(("@", "#")) and len(c) >= 2 and c[1].strip().isdigit():
                 tables.append((c[0].strip(), int(c[1])))
     return out or tables
+
+
+def audit_header(lines: list[str], supported: list[str], stringency: str = "strict") -> list[str]:
+    """Header lines with those of the supported INFO and FORMAT fields put in. A line that says otherwise of a
+    supported field (Number or Type) is an error (strict), or replaced (lenient, silent)."""
+    import re
+    import warnings
+
+    ident = lambda x: re.match(r"##(INFO|FORMAT|FILTER)=<ID=([^,>]+)", x)
+    says = lambda x: tuple(m.group(1) if (m := re.search(rf"[,<]{k}=([^,>]+)", x)) else None for k in ("Number", "Type"))
+    known = {ident(x).groups(): x for x in supported if ident(x)}
+    out = []
+    for x in lines:
+        want = known.get(ident(x).groups()) if ident(x) else None
+        if want is None:
+            out.append(x)
+        elif says(x) != says(want):
+            if stringency == "strict":
+                raise ValueError(f"header line {x} disagrees with {want}")
+            if stringency == "lenient":
+                warnings.warn(f"header line {x} replaced by {want}", stacklevel=2)
+    return list(dict.fromkeys([*out, *known.values()]))

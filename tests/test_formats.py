@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandlake import cli
 from strandlake.frame import GenomicFrame, Meta
+from strandlake.functions import intervals as iv
 from strandlake.operators.pipe import pipe
 from strandlake.operators.variants import to_variant_contexts
 from strandlake.sources import binary, load, parquet, sinks, text
@@ -206,6 +207,34 @@ def test_pipe(spark, tmp_path):
         pipe(df, ["sleep", "30"], sinks.bed_lines, parse_bed, timeout=0.5).collect()
 
 
+def test_pipe_with_readers_as_parsers(spark, tmp_path):
+    reads = load.load_alignments(spark, put(tmp_path / "a.sam", SAM)).df
+    out = pipe(reads, "cat", sinks.sam_lines, lambda d: text.read_sam(spark, d))
+    assert sorted(r.start for r in out.collect()) == [10, 100] and "_part" not in out.columns
+    bed = load.load_features(spark, put(tmp_path / "a.bed", "chr1\t1\t5\tn\t7\t+\n")).df
+    assert [r.name for r in pipe(bed, "cat", sinks.bed_lines, lambda d: text.read_bed(spark, d)).collect()] == ["n"]
+
+
+def test_fragment_lines_and_headers(spark, tmp_path):
+    f = load.load_fragments(spark, put(tmp_path / "a.sam", SAM)).df
+    assert {r.value for r in sinks.tab5_lines(f).collect()} == {"r1\tACGTACGTAC\tIIIIIIIIII\tACGTACGTAC\tIIIIIIIIII", "r2\tACGT"}
+    assert {r.value.split("\t")[3] for r in sinks.tab6_lines(f).collect() if "/1" in r.value} == {"r1/2"} and sinks.interleaved_fastq_lines(f).count() == 1
+    line = sinks.header_line("INFO", "AC", "A", "Integer", "count")
+    assert text.audit_header(["##x"], [line]) == ["##x", line] and text.audit_header([line.replace("Integer", "Float")], [line], "silent") == [line]
+    with pytest.raises(ValueError):
+        text.audit_header([line.replace("Number=A", "Number=1")], [line])
+    with pytest.raises(ValueError):
+        sinks.header_line("INFO", "AC", "Z")
+
+
+def test_genome_bins(spark):
+    refs = [("b", 25), ("a", 11)]
+    df = spark.createDataFrame([("a", 0, 10), ("a", 9, 11), ("b", 0, 30), ("z", 0, 1)], "referenceName string, start long, end long")
+    first, last = iv.genome_bins(iv.Region.of(), refs, 10)
+    assert [tuple(r) for r in df.select(first, last).collect()] == [(0, 0), (0, 1), (2, 4), (None, None)]
+    assert iv.invert_bin(4, refs, 10) == ("b", 20, 25)
+
+
 def test_command_line(spark, tmp_path, capsys):
     sam, out = put(tmp_path / "a.sam", SAM), lambda n: str(tmp_path / n)
     cli.main(["transformAlignments", sam, out("x"), "--mark-duplicates", "--sort", "reference", "--bin-quality-scores", "0,60,20"])
