@@ -1,8 +1,8 @@
 """All queries of the core, by name."""
 
-from strandlake.plans import genomic_queries, orphan_queries
+from strandlake.plans import format_queries, genomic_queries, orphan_queries
 
-_MODULES = (orphan_queries, genomic_queries)
+_MODULES = (orphan_queries, genomic_queries, format_queries)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
 FLAGSHIP = "j0_reads_per_feature"

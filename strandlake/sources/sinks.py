@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from strandlake.operators.features import gather_attributes, interpolate_score, name_of, strand_text
 from strandlake.operators.reads import flags
+from strandlake.schemas import SCHEMAS
 
 
 def _write(lines: DataFrame, path: str, single: bool, header: list[str] | None, mode: str, compression: str | None) -> None:
@@ -58,6 +59,9 @@ def _score(c: str = "score") -> Column:
 
 
 def sam_lines(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    # Fields that the records lack are written as unset.
+    want = df.sparkSession.createDataFrame([], SCHEMAS["alignment"]).schema
+    df = df.select(*keep, *[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want])
     star = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("*"))
     same = F.when(F.col("mateReferenceName").isNull(), "*").when(F.col("mateReferenceName") == F.col("referenceName"), "=").otherwise(F.col("mateReferenceName"))
     tag = lambda t, c, kind="Z", plus=0: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{t}:{kind}:"), (F.col(c) + plus if plus else F.col(c)).cast("string")))
