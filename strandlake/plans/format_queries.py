@@ -60,7 +60,7 @@ def k4_fastq_lines(spark: SparkSession, d: str) -> DataFrame:
     return sinks.fastq_lines(r.where("qualityScores is not null and readName is not null and (readInFragment is not null or not readPaired)"))
 
 
-@query("select '>' || doc_id || case when lang is not null then ' ' || lang else '' end as head, length(text) as n from documents where length(text) > 0")
+@query("select '>' || doc_id || case when lang is not null then ' ' || lang else '' end as head, cast(length(text) as int) as n from documents where length(text) > 0")
 def k7_fasta_heads(spark: SparkSession, d: str) -> DataFrame:
     """Heads and lengths of FASTA records; line breaks of the texts are taken for those of the format."""
     t = texts(spark, d)
@@ -73,7 +73,7 @@ def a5_sorted_by_position(spark: SparkSession, d: str) -> DataFrame:
     return rd.sort_by_reference_position(reads(spark, d).where("readMapped and referenceName is not null")).select("id")
 
 
-@query(f"with {_READS}, r as (select ref, max(e) size from reads where mapped and ref is not null group by 1), o as (select ref, coalesce(sum(cast(ceil(size / 1000000.0) as bigint)) over (order by ref rows between unbounded preceding and 1 preceding), 0) base from r) select id, base + s // 1000000 as first_bin, base + greatest(s, e - 1) // 1000000 as last_bin from reads join o using (ref) where mapped and e > s")
+@query(f"with {_READS}, r as (select ref, max(e) size from reads where mapped and ref is not null group by 1), o as (select ref, coalesce(sum(cast(ceil(size / 1000000.0) as bigint)) over (order by ref rows between unbounded preceding and 1 preceding), 0) base from r) select id, cast(base + s // 1000000 as bigint) as first_bin, cast(base + greatest(s, e - 1) // 1000000 as bigint) as last_bin from reads join o using (ref) where mapped and e > s")
 def r18_genome_bins(spark: SparkSession, d: str) -> DataFrame:
     """Bins numbered through all references. The dictionary is made of the references in the reads."""
     r = reads(spark, d).where("readMapped and referenceName is not null")

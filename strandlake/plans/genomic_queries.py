@@ -262,7 +262,7 @@ def a3_filters(spark: SparkSession, d: str) -> DataFrame:
     return rd.filter_to(rd.filter_to(r, "readGroupSampleId", "folqua-424"), "referenceName", "chr17", "chr7").select("id")
 
 
-@query(f"with {_READS} select read_name as name, rg as \"readGroupId\", count(*) as n, sum(id) as ids, sum(case when mapped and prim then 1 else 0 end) as primaries from reads group by 1, 2")
+@query(f"with {_READS} select read_name as name, rg as \"readGroupId\", count(*) as n, cast(sum(id) as bigint) as ids, cast(sum(case when mapped and prim then 1 else 0 end) as bigint) as primaries from reads group by 1, 2")
 def a7_fragments(spark: SparkSession, d: str) -> DataFrame:
     f = rd.to_fragments(reads(spark, d).drop("sequence", "qualityScores"))
     first = F.filter("alignments", lambda a: F.coalesce(a["readMapped"] & a["primaryAlignment"], F.lit(False)))
@@ -357,7 +357,7 @@ def a20_view(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""with {_READS}, x as (select *, coalesce(list_sum(list_transform(regexp_extract_all(regexp_extract(cigar, '^((?:[0-9]+[SH])*)', 1), '([0-9]+)[SH]', 1), lambda v: v::bigint)), 0) lead, coalesce(list_sum(list_transform(regexp_extract_all(regexp_extract(cigar, '((?:[0-9]+[SH])*)$', 1), '([0-9]+)[SH]', 1), lambda v: v::bigint)), 0) trail,
   list_sum(list_transform(regexp_extract_all(cigar, '([0-9]+)[MDN=X]', 1), lambda v: v::bigint)) rl, list_sum(list_transform(regexp_extract_all(cigar, '([0-9]+)[MIS=X]', 1), lambda v: v::bigint)) ql from reads where mapped and cigar <> '*')
-select id, {_FIVE} as five_prime, cast(rl as bigint) as reference_length, cast(ql as bigint) as read_length, cast(lead as bigint) as leading from x"""
+select id, cast({_FIVE} as bigint) as five_prime, cast(rl as bigint) as reference_length, cast(ql as bigint) as read_length, cast(lead as bigint) as leading from x"""
 )
 def a21_five_prime(spark: SparkSession, d: str) -> DataFrame:
     r = reads(spark, d).where("readMapped and cigar <> '*'")
@@ -499,7 +499,7 @@ def v3_called_genotypes(spark: SparkSession, d: str) -> DataFrame:
     return va.genotypes_by(va.filter_no_calls(genotypes(spark, d)), "genotypeQuality", 20).select("id")
 
 
-@query(f"{_VAR} select ref as \"referenceName\", s as \"start\", e as \"end\", ra as \"referenceAllele\", aa as \"alternateAllele\", count(*) as n, sum(id) as ids from v group by all")
+@query(f"{_VAR} select ref as \"referenceName\", s as \"start\", e as \"end\", ra as \"referenceAllele\", aa as \"alternateAllele\", count(*) as n, cast(sum(id) as bigint) as ids from v group by all")
 def v4_variant_contexts(spark: SparkSession, d: str) -> DataFrame:
     c = va.to_variant_contexts(genotypes(spark, d))
     return c.select("referenceName", "start", "end", "variant.referenceAllele", "variant.alternateAllele", F.size("genotypes").cast("long").alias("n"), _sum("genotypes", "id").alias("ids"))
