@@ -155,7 +155,7 @@ _P5 = f"""
 with cells as (select coalesce(trim(opt_sample_id), '') sample_id, coalesce(trim(reference_name), '') reference_name, cast(floor(cov_count / {2 * ERROR} + 0.5) as bigint) cell, loaded_at from coverage where cov_count is not null and not isnan(cov_count))"""
 _P5_RANKED = f"""{_P5}, numbered as (select *, row_number() over w rn, count(*) over (partition by sample_id, reference_name) n from cells window w as (partition by sample_id, reference_name order by cell)),
 p as (select unnest({AT}) percentile)
-select sample_id, reference_name, cast(percentile as double) percentile, round(cell * {2 * ERROR}, 3) as value, n from numbered, p where rn = greatest(1, cast(ceil(round(cast(percentile as double) * n, 6)) as bigint))"""
+select sample_id, reference_name, cast(percentile as double) percentile, round(cell * cast({2 * ERROR} as double), 3) as value, n from numbered, p where rn = greatest(1, cast(ceil(round(cast(percentile as double) * n, 6)) as bigint))"""
 
 # Problem 6
 
@@ -215,7 +215,7 @@ QUERIES = {
 ORACLE = {
     "p1_found": _P1,
     "p1_survivors": f"""with best as ({_P1}) select group_id, max(case when field_name = 'insert_size' then f.insert_size end) as insert_size, max(case when field_name = 'platform_unit' then trim(f.platform_unit) end) as platform_unit,
-coalesce(max(case when field_name = 'primary_mapped' then len(f.primary_mapped) end), -1) as primary_mapped, max(case when field_name = 'read_group_id' then trim(f.read_group_id) end) as read_group_id, max(case when field_name = 'sample_id' then trim(f.sample_id) end) as sample_id
+cast(coalesce(max(case when field_name = 'primary_mapped' then len(f.primary_mapped) end), -1) as int) as primary_mapped, max(case when field_name = 'read_group_id' then trim(f.read_group_id) end) as read_group_id, max(case when field_name = 'sample_id' then trim(f.sample_id) end) as sample_id
 from best join fragments f using (fragment_id) group by group_id""",
     "p2_found": f"{_P2} select sample_id, reference_name, min(s) as run_start, max(e) as run_end from numbered group by sample_id, reference_name, run having count(*) > 1",
     "p2_runs": f"{_P2} select sample_id, reference_name, min(s) as run_start, max(e) as run_end, max(e) - min(s) as length, round(sum(v * (e - s)) / (max(e) - min(s)) + 1e-10, 6) as mean_value, count(*) as rows from numbered group by sample_id, reference_name, run having count(*) > 1",
