@@ -49,9 +49,11 @@ def collapse_runs(df: DataFrame, entity: list[Column], start: str, end: str, val
     rows = rows.groupBy(*keys, "s", "e").agg(F.max("v")["value"].alias("first"))
     rows = rows.withColumns({"last": F.col("first"), "n": F.lit(1).cast("long"), "weighted": F.col("first") * (F.col("e") - F.col("s")), "block": F.floor(F.col("s") / F.lit(block))})
     parts = _merge(rows, [*keys, "block"], tolerance)
+    # Runs within a block are done; they stay with their block, where nothing is left to merge them
+    # with, so that one pass over the parts serves both kinds.
     open_ended = (F.col("run_no") == 1) | (F.col("e") >= (F.col("block") + 1) * block)
-    stitched = _merge(parts.where(open_ended).drop("block", "run_no"), keys, tolerance)
-    done = parts.where(~open_ended).select(*stitched.columns).unionByName(stitched)
+    parts = parts.withColumn("stitch", F.when(open_ended, F.lit(None).cast("long")).otherwise(F.col("block"))).drop("block", "run_no")
+    done = _merge(parts, [*keys, "stitch"], tolerance)
     return done.where(F.col("n") >= min_rows).select(
         *keys, F.col("s").alias("run_start"), F.col("e").alias("run_end"), (F.col("e") - F.col("s")).alias("length"), (F.col("weighted") / (F.col("e") - F.col("s"))).alias("mean_value"), F.col("n").alias("rows")
     )
