@@ -99,7 +99,7 @@ def r1_region_algebra(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with {_READS}, o as (select ref, s, e, max(e) over (partition by ref order by s, e rows between unbounded preceding and 1 preceding) prev from reads where mapped and ref is not null and e > s),
+    f"""with {_READS}, o as (select ref, s, e, max(e) over (partition by ref order by s, e rows between unbounded preceding and 1 preceding) prev from (select distinct ref, s, e from reads where mapped and ref is not null and e > s)),
 i as (select *, sum(case when s <= prev then 0 else 1 end) over (partition by ref order by s, e rows unbounded preceding) k from o)
 select ref as "referenceName", min(s) as "start", max(e) as "end" from i group by ref, k"""
 )
