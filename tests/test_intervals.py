@@ -65,7 +65,6 @@ def test_joins_equal_the_plain_condition(spark, flank, broadcast):
     assert len(got) == len(set(got)) and set(got) == want
     kw = {"flank": flank, "broadcast": broadcast, "left_id": "i", "right_id": "j"}
     hit_l, hit_r = {i for i, _ in want}, {j for _, j in want}
-    pair = lambda df: sorted(((x.left and x.left.i), (x.right and x.right.j)) for x in df.collect())
     key = lambda p: tuple(-1 if x is None else x for x in p)
     full = jn.region_join(l, r, "full", **kw).select(F.col("left.i").alias("i"), F.col("right.j").alias("j")).collect()
     lone_l, lone_r = [(i, None) for i, *_ in a if i not in hit_l], [(None, j) for j, *_ in b if j not in hit_r]
@@ -78,7 +77,6 @@ def test_joins_equal_the_plain_condition(spark, flank, broadcast):
     assert sorted(k for k, _ in odd if k is not None) == [i for i, *_ in a] and sum(1 for k, n in odd if k is None and n == 1) == len(lone_r)
     by_r = {x.right.j: len(x.left) for x in jn.region_join(l, r, "right", "right", **kw).collect()}
     assert by_r == {j: sum(k == j for _, k in want) for j, *_ in b}
-    del pair
 
 
 def test_joins_without_ids_and_with_strands(spark):

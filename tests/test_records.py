@@ -1,5 +1,6 @@
 """Read, coverage, sequence, feature and variant operators on small inline records."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,7 +156,7 @@ def test_recalibration(spark):
 
 def test_realignment(spark):
     ref = "ACGTTGCAAGCTTCGATTACGGATCCAGTCATGCAATGCC"
-    assert sweep("TTC", __import__("numpy").array([9, 9, 9]), ref, 0) == (0, 11) and sweep("TTT", __import__("numpy").array([9, 9, 9]), ref, 5) == (5, -1)
+    assert sweep("TTC", np.array([9, 9, 9]), ref, 0) == (0, 11) and sweep("TTT", np.array([9, 9, 9]), ref, 5) == (5, -1)
     # The sample lacks ref[18:22]; reads at the border of the deletion are aligned with mismatches.
     hap = ref[:18] + ref[22:]
     good = [read(i, sequence=hap[8:28], cigar="10M4D10M", start=8, end=32, mismatchingPositions=f"10^{ref[18:22]}10", qualityScores="I" * 20) for i in range(3)]
