@@ -29,7 +29,7 @@ from strandlake.llm.textnorm import _fold, plain
 from strandlake.plans.runtime import spread
 
 #: Labelled documents an index may hold, and their characters; more are thinned by the hash of their id.
-MAX_LABELLED = 4_000
+MAX_LABELLED = 12_000
 MAX_CHARS = 20_000_000
 BLOCK = 64
 #: Results of sentences that a worker keeps, as many sentences return.
@@ -131,26 +131,50 @@ class Index:
                 post_weights[f].append(x)
         self.of_doc = dict(self.of_doc)
         self.ids = {f: j for j, f in enumerate(post_rows)}
-        self.rows = [np.array(r, dtype="int32") for r in post_rows.values()]
-        self.weights = [np.array(x, dtype="float32") for x in post_weights.values()]
-        self.cut = [int(np.searchsorted(r, self.n_bad)) for r in self.rows]
+        # Per side (clean, offending) and feature: examples, weights, greatest weight.
+        self.post: tuple[list, list] = ([], [])
+        for r, x in zip(post_rows.values(), post_weights.values()):
+            r, x = np.array(r, dtype="int32"), np.array(x, dtype="float32")
+            c = int(np.searchsorted(r, self.n_bad))
+            self.post[1].append((r[:c], x[:c], float(x[:c].max())) if c else None)
+            self.post[0].append((r[c:] - self.n_bad, x[c:], float(x[c:].max())) if c < len(r) else None)
         # Block maxima of the offending blocks, a row per feature that any of them has; gain: what a
         # feature may add to the product with any of them.
         self.n_blocks = -(-self.n_bad // BLOCK)
-        own = [(f, r[:c] // BLOCK, x[:c]) for f, r, x, c in zip(self.ids, self.rows, self.weights, self.cut) if c]
+        own = [(f, p[0] // BLOCK, p[1]) for f, p in zip(self.ids, self.post[1]) if p]
         self.bad_row = {f: j for j, (f, _, _) in enumerate(own)}
         self.block_max = np.zeros((len(own), self.n_blocks), dtype="float32")
         for j, (_, b, x) in enumerate(own):
             np.maximum.at(self.block_max[j], b, x)
         self.gain = {f: self.idf.get(f, self.unseen) * float(x.max()) for f, _, x in own}
         self.square = {f: x * x for f, x in self.idf.items()}
-        self.reach = {f: self.idf.get(f, self.unseen) * m for f, m in zip(self.bad_row, self.block_max)}
+        self.reach = self.block_max * np.array([self.idf.get(f, self.unseen) for f in self.bad_row], dtype="float32")[:, None]
 
     def vector(self, w: list[str]) -> list[tuple]:
         v = [(f, (1 + math.log(c)) * self.idf.get(f, self.unseen)) for f, c in Counter(features(w)).items()]
         norm = math.sqrt(sum(x * x for _, x in v)) or 1.0
         return [(f, x / norm) for f, x in v]
 
+    def within(self, q: list[tuple[int, float]], least: float, side: int) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, products) of a side whose product with q is at least `least`. Features that
+        together can't reach it are read only for the examples that the others leave."""
+        own = sorted(((x * p[2], x, p) for j, x in q if (p := self.post[side][j])), key=lambda y: y[0])
+        safe, rest, k = least * (1 - 1e-5), 0.0, 0
+        while k < len(own) and rest + own[k][0] < safe:
+            rest += own[k][0]
+            k += 1
+        if k == len(own):
+            return np.zeros(0, dtype="int64"), np.zeros(0, dtype="float32")
+        total = np.zeros(self.n_bad if side else len(self.label) - self.n_bad, dtype="float32")
+        for _, x, (r, v, _) in own[k:]:
+            total[r] += x * v
+        found = np.flatnonzero(total >= safe - rest)
+        total = total[found]
+        for _, x, (r, v, _) in own[:k] if len(found) else ():
+            at = np.minimum(np.searchsorted(r, found), len(r) - 1)
+            total += np.where(r[at] == found, x * v[at], np.float32(0))
+        return found[total >= least], total[total >= least]
+
     def nearest(self, w: list[str], skip: list[int] = (), alone: bool = False) -> tuple[float, int, float]:
         """(score, nearest offending example or -1, its similarity). skip: offending examples that
         don't count. alone: a passage near to no example at all scores 1 instead of 0."""
@@ -158,41 +182,31 @@ class Index:
         if not self.n_bad:
             return none
         fs = features([self.masks.get(t, t) if "*" in t else t for t in w])
-        live = None
         if not alone:
             # Each occurrence counted in full in the product, each feature once in the norm: above the
             # cosine, first of all blocks together, then of each.
             least = self.min_sim * math.sqrt(sum(map(self.square.get, set(fs), repeat(self.unseen**2))))
             if sum(map(self.gain.get, fs, repeat(0.0))) < least:
                 return none
-            live = np.add.reduce([self.reach[f] for f in fs if f in self.reach]) >= least * (1 - 1e-5)
-            if not live.any():
+            if self.reach.take([self.bad_row[f] for f in fs if f in self.bad_row], axis=0).sum(axis=0).max() < least * (1 - 1e-5):
                 return none
         q = [(f, self.idf.get(f, self.unseen) * (1 + math.log(c) if c > 1 else 1)) for f, c in Counter(fs).items()]
         norm = math.sqrt(sum(x * x for _, x in q))
         q = [(self.ids[f], x) for f, x in q if f in self.ids]
-        bad = np.zeros(self.n_bad, dtype="float32")
-        for j, x in q:
-            if c := self.cut[j]:
-                bad[self.rows[j][:c]] += x * self.weights[j][:c]
-        bad /= norm
-        if live is not None:
-            bad[~np.repeat(live, BLOCK)[: self.n_bad]] = 0
+        bad, sims = self.within(q, self.min_sim * norm, 1)
         if len(skip):
-            bad[skip] = 0
-        if not alone and bad.max() < self.min_sim:
+            bad, sims = bad[m := ~np.isin(bad, skip)], sims[m]
+        if not alone and not len(bad):
             return none
-        clean = np.zeros(len(self.label) - self.n_bad, dtype="float32")
-        for j, x in q:
-            clean[self.rows[j][self.cut[j] :] - self.n_bad] += x * self.weights[j][self.cut[j] :]
-        sims = np.concatenate([bad, clean / norm])
-        near = np.argpartition(-sims, min(self.k, len(sims) - 1))[: self.k]
-        near = near[sims[near] >= self.min_sim]
+        clean, more = self.within(q, self.min_sim * norm, 0)
+        near, sims = np.concatenate([bad, clean + self.n_bad]), np.concatenate([sims, more]) / norm
         if not len(near):
             return 1.0, -1, 0.0
-        v = sims[near].astype("float64") ** 2
-        best = int(bad.argmax())
-        return float((v * self.label[near]).sum() / v.sum()), best, float(bad[best])
+        # Of equals the first.
+        top = np.argsort(-sims, kind="stable")[: self.k]
+        v = sims[top].astype("float64") ** 2
+        best = int(sims[: len(bad)].argmax()) if len(bad) else 0
+        return float((v * self.label[near[top]]).sum() / v.sum()), int(near[best]), float(sims[best])
 
 
 def majority(labels: dict[str, int]) -> tuple[float, str]:

@@ -163,6 +163,12 @@ def test_offence_on_held_out_texts_and_spellings(spark):
     assert sum(n for n, _ in r.values()) == len(out) and {"src0", "src1", "src2", "s", None} == set(r)
 
 
+def test_offence_sample_holds_all_labelled(spark):
+    d = spark.range(6000).selectExpr("id as doc_id", "concat('Text no. ', id) as text", "'s' as source")
+    lab = d.selectExpr("doc_id", "if(doc_id % 4 = 0, 'abuse', 'clean') as label")
+    assert len(of.labelled_sample(d, lab)) == 6000
+
+
 def test_offence_without_labels_or_texts(spark):
     d = spark.createDataFrame([(1, "You fool", "s"), (2, None, None)], "doc_id long, text string, source string")
     none = spark.createDataFrame([], "doc_id long, label string")
