@@ -22,7 +22,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.textnorm import _fold, plain
@@ -304,9 +304,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str,
     l = l.groupBy("doc_id").agg(*[F.count(F.when(F.col("label") == k, 1)).alias(k) for k in KINDS])
     l = l.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(l), "doc_id")
-    # The running number of characters decides alike on every run; ids may repeat, texts tell them apart.
-    upto = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))
-    rows = rows.withColumn("upto", upto).where(F.col("upto") <= MAX_CHARS).select("doc_id", "text", *KINDS)
+    # In the order of the hash, a text that doesn't fit what is left of MAX_CHARS is left out, no other
+    # one for it. Ids may repeat, texts tell them apart.
+    sizes = rows.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.sum(F.length("text")).alias("chars"))
+    left, out = MAX_CHARS, []
+    for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id", "h").toLocalIterator():
+        if r["chars"] <= left:
+            left -= r["chars"]
+        else:
+            out.append((r["doc_id"], r["h"]))
+    if out:
+        leave = docs.sparkSession.createDataFrame(out, sizes.drop("chars").schema)
+        rows = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(leave), ["doc_id", "h"], "left_anti")
+    rows = rows.select("doc_id", "text", *KINDS)
     return [(r[0], r[1], dict(zip(KINDS, r[2:]))) for r in rows.toLocalIterator()]
 
 

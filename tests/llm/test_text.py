@@ -169,6 +169,14 @@ def test_offence_sample_holds_all_labelled(spark):
     assert len(of.labelled_sample(d, lab)) == 6000
 
 
+def test_offence_long_text_drops_no_other(spark, monkeypatch):
+    monkeypatch.setattr(of, "MAX_CHARS", 1000)
+    lab = spark.range(40).selectExpr("id as doc_id", "'clean' as label")
+    first = lab.selectExpr("doc_id", "xxhash64(doc_id) as h").orderBy("h").first().doc_id
+    d = lab.selectExpr("doc_id", f"if(doc_id = {first}, repeat('x', 1001), 'Text') as text", "'s' as source")
+    assert {r[0] for r in of.labelled_sample(d, lab)} == set(range(40)) - {first}
+
+
 def test_offence_without_labels_or_texts(spark):
     d = spark.createDataFrame([(1, "You fool", "s"), (2, None, None)], "doc_id long, text string, source string")
     none = spark.createDataFrame([], "doc_id long, label string")
