@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import intervals as iv
 from strandlake.operators import coverage as cov
 from strandlake.operators import reads as rd
+from strandlake.operators.bqsr import recalibrate
 from strandlake.operators.mdtags import compute_mismatching_positions, left_normalize_indels
 from strandlake.operators.pipe import pipe
 from strandlake.operators.realign import realign_indels
@@ -96,6 +97,12 @@ def _tagged(spark: SparkSession, d: str) -> DataFrame:
     return compute_mismatching_positions(r, first, row_id="id")
 
 
+@query()
+def a15_recalibrated(spark: SparkSession, d: str) -> DataFrame:
+    """New and old qualities of the tagged reads, from the evidence of all of them."""
+    return recalibrate(_tagged(spark, d), row_id="id").select("id", F.col("qualityScores").alias("quals"), F.col("originalQualityScores").alias("old_quals"))
+
+
 @query()
 def a17_mismatch_tags(spark: SparkSession, d: str) -> DataFrame:
     return _tagged(spark, d).select("id", "mismatchingPositions")

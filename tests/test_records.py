@@ -1,5 +1,9 @@
 """Read, coverage, sequence, feature and variant operators on small inline records."""
 
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -154,6 +158,48 @@ def test_recalibration(spark):
     assert recalibrate(frame(spark, [])).count() == 0
 
 
+def test_recalibrated_table_by_brute_force(spark):
+    from strandlake.plans import format_queries as fq
+
+    d, total, wrong, bases = "/root/testdata/sf0.001", Counter(), Counter(), {}
+    reads = fq._tagged(spark, d).collect()
+    for r in reads:
+        s, q = r.sequence, r.qualityScores
+        if q is None or len(q) != len(s):
+            continue
+        if r.readNegativeStrand:
+            s = s.translate(str.maketrans("ACGTN", "TGCAN"))[::-1]
+        pairs = ["NN" if "N" in p else p for p in map("".join, zip("N" + s, s))]
+        keys = [(r.readGroupId, (-1 if r.readInFragment == 1 else 1) * (i + 1), p) for i, p in enumerate(pairs)]
+        keys = bases[r.id] = [(g, ord(x) - 33, c, p) for (g, c, p), x in zip(keys[::-1] if r.readNegativeStrand else keys, q)]
+        if not (r.readMapped and r.primaryAlignment and (r.mappingQuality or 0) > 0 and r.mismatchingPositions) or r.duplicateRead or r.failedVendorQualityChecks or r.cigar == "*":
+            continue
+        # A letter per aligned base of the tag: same or not; deletions take up no base of the read.
+        same = "".join("=" * int(n) if n else "x" if x else "" for n, _, x in re.findall(r"(\d+)|(\^[A-Z]+)|([A-Z])", r.mismatchingPositions))
+        i = j = 0
+        for n, op in re.findall(r"(\d+)(.)", r.cigar):
+            for _ in range(int(n) if op in "M=XIS" else 0):
+                if op in "M=X":
+                    if r.sequence[i] != "N" and q[i] > "!":
+                        total[keys[i]] += 1
+                        wrong[keys[i]] += same[j] == "x"
+                    j += 1
+                i += 1
+    sums = [Counter() for _ in range(6)]
+    for k, n in total.items():
+        for t, part in enumerate((k[:2], k[:3], (*k[:2], k[3]))):
+            sums[t][part] += n
+            sums[t + 3][part] += wrong[k]
+    rate = lambda t, k: math.log((1 + sums[t + 3][k]) / (2 + sums[t][k]))
+    new = {k: math.floor(-10 * min(0, max(math.log(1e-5), rate(1, k[:3]) + rate(2, (*k[:2], k[3])) - rate(0, k[:2]))) / math.log(10) + 0.5) for k in total}
+    out = {r.id: r for r in fq.QUERIES["a15_recalibrated"](spark, d).collect()}
+    assert len(out) == len(reads) and sum(wrong.values()) > 0
+    for r in reads:
+        assert out[r.id].old_quals == r.qualityScores
+        if r.id in bases:
+            assert out[r.id].quals == "".join(x if k[1] < 5 else chr(33 + new.get(k, k[1])) for x, k in zip(r.qualityScores, bases[r.id]))
+
+
 def test_realignment(spark):
     ref = "ACGTTGCAAGCTTCGATTACGGATCCAGTCATGCAATGCC"
     assert sweep("TTC", np.array([9, 9, 9]), ref, 0) == (0, 11) and sweep("TTT", np.array([9, 9, 9]), ref, 5) == (5, -1)
