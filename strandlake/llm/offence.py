@@ -91,6 +91,13 @@ def split(sentence: str, most: int = 40, overlap: int = 10) -> list[list[str]]:
     return [w[i : i + most] for i in range(0, len(w) - overlap, most - overlap)]
 
 
+def passages(sentence: str, long: int = 16, size: int = 14) -> list[list[str]]:
+    """What is scored of a sentence: split(), and of each part of more than `long` tokens also windows of
+    `size` with half overlap, as a short insult is far from a long passage that holds it."""
+    out = split(sentence)
+    return out + [w[i : i + size] for w in out if len(w) > long for i in range(0, len(w) - size // 2, size // 2)]
+
+
 def features(w: list[str]) -> list:
     """Words and pairs of neighbours, with the borders of the passage."""
     return [*w, *zip(["^", *w], [*w, "$"])]
@@ -272,7 +279,7 @@ def worst(ix: Index, text: str, skip: list[int] | None = None) -> tuple[float, s
     """(score, kind, similarity, passage, nearest example) of the passage that scores highest, of equals the first."""
     top = (0.0, "clean", 0.0, "", "")
     for s in sentences(text):
-        for p in split(s):
+        for p in passages(s):
             key = tuple(p)
             hit = ix.cache.get(key) if skip is None else None
             if hit is None:

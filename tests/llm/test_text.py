@@ -177,6 +177,17 @@ def test_offence_long_text_drops_no_other(spark, monkeypatch):
     assert {r[0] for r in of.labelled_sample(d, lab)} == set(range(40)) - {first}
 
 
+def test_offence_in_long_sentences():
+    """A short insult in a long sentence without full stops, wherever it stands."""
+    docs, labels, truth = corpus(400, 5)
+    ix = of.fit([(i, t, {"clean": int(not truth[i]), "abuse": int(truth[i])}) for i, t, _ in docs])
+    filler = "the parser drops the buffer after the socket restarts the router locks the cursor after the mapper restarts the kernel sorts the widget after the linker restarts the plugin merges".split()
+    for at in range(0, len(filler) + 1, 3):
+        text = " ".join([*filler[:at], "you are a filthy fool", *filler[at:]])
+        assert of.worst(ix, text)[0] >= 0.5, at
+    assert of.worst(ix, " ".join(filler))[0] == 0
+
+
 def test_offence_without_labels_or_texts(spark):
     d = spark.createDataFrame([(1, "You fool", "s"), (2, None, None)], "doc_id long, text string, source string")
     none = spark.createDataFrame([], "doc_id long, label string")
