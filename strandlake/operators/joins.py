@@ -1,10 +1,14 @@
 """Overlap joins of two tables of regions.
 
-Both sides are cut into bins of their reference and joined on (reference, level, bin) with the
-overlap as residual; a pair comes out only in its first common bin, so no distinct is needed. Wide
-regions go to coarser levels (each FAN times as wide), so that no region takes more than FAN + 1
-bins of its own level; a pair meets at the coarser of its two levels. A side within the row bound
-is broadcast and the other side is not shuffled; else both are shuffled by bin.
+Both sides are cut into bins of their reference and joined on (reference, slot, bin) with the overlap
+as residual; a pair comes out only in its first common bin, so no distinct is needed. Wide regions go
+to coarser levels, each FAN times as wide, so that no region takes more than FAN + 1 bins of its own
+level. A slot is a level and who is at home there: left rows of the level with right rows up to it
+(even slots), left rows below it with right rows of the level (odd slots). Rows that are narrow on both
+sides so never meet in a coarse bin, and a few wide regions cost what they overlap.
+
+A side within the bounds of rows and bytes is broadcast and the other side is not shuffled; else both
+are shuffled by bin, narrow rows only to such coarse bins as hold a wide row of the other side.
 
 Regions that are null, have no reference or negative length match nothing; outer joins keep them.
 """
@@ -16,9 +20,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.plans.runtime import BROADCAST_ROWS, cut_lineage, small_enough
+from strandlake.plans.runtime import BROADCAST_BYTES, BROADCAST_ROWS, cut_lineage, small_enough
 
-FAN = 64
+#: log2 of FAN, of the narrowest bin, and of the longest region that a prepared side is ready for.
+FAN_BITS, LEAST_BITS, MOST_BITS = 3, 4, 44
+FAN = 1 << FAN_BITS
+#: Share of rows that the narrowest level is made for.
+NARROW = 0.95
 
 
 @dataclass(frozen=True)
@@ -31,11 +39,50 @@ class Fields:
     strand: str | None = None
 
 
-def _placed(level):
-    return lambda b: F.struct(level, b.alias("bin"))
+@dataclass(frozen=True)
+class Grid:
+    """Bins of 2^bits positions at level 0, the levels that regions of either side are at home on,
+    and about how many of either side are above level 0."""
+
+    bits: int
+    left: frozenset[int]
+    right: frozenset[int]
+    wide_left: int = 0
+    wide_right: int = 0
+
+    @property
+    def top(self) -> int:
+        return max(self.left | self.right | {0})
+
+    def level_bits(self, level: int) -> int:
+        return self.bits + FAN_BITS * level
+
+
+def _sizes(df: DataFrame, f: Fields, pad: int) -> dict[int, int]:
+    """Rows by the bits of their length, so that a region of n bits is at most 2^n long; at most 64 counts."""
+    n = F.col(f.end).cast("long") - F.col(f.start).cast("long") + pad
+    bits = F.when(n <= 1, 0).otherwise(F.length(F.bin(n - 1)))
+    return {r[0]: r[1] for r in df.where(F.col(f.reference).isNotNull() & (n >= pad)).groupBy(bits.alias("bits")).agg(F.count("*")).collect()}
+
+
+def choose_grid(left: DataFrame, right: DataFrame, lf: Fields, rf: Fields, flank: int) -> Grid:
+    """The grid whose narrowest level holds NARROW of all regions."""
+    l, r = _sizes(left, lf, 2 * flank), _sizes(right, rf, 0)
+    total, seen, bits = sum(l.values()) + sum(r.values()), 0, LEAST_BITS
+    for b in sorted({*l, *r}):
+        if seen < NARROW * total:
+            bits = max(LEAST_BITS, b)
+        seen += l.get(b, 0) + r.get(b, 0)
+    level = lambda b: max(0, -(-(b - bits) // FAN_BITS))
+    wide = lambda h: sum(n for b, n in h.items() if b > bits)
+    return Grid(bits, frozenset(map(level, l)), frozenset(map(level, r)), wide(l), wide(r))
+
 
+def _placed(slot: int):
+    return lambda b: F.struct(F.lit(slot).alias("slot"), b.alias("bin"))
 
-def _binned(df: DataFrame, f: Fields, pad: int, width: int, levels: int, side: str, row_id: str | None) -> DataFrame:
+
+def _binned(df: DataFrame, f: Fields, pad: int, grid: Grid, side: str, row_id: str | None) -> DataFrame:
     s, e = F.col(f.start).cast("long"), F.col(f.end).cast("long")
     if pad:
         s, e = F.greatest(F.lit(0).cast("long"), s - pad), e + pad
@@ -43,29 +90,59 @@ def _binned(df: DataFrame, f: Fields, pad: int, width: int, levels: int, side: s
     strand = F.col(f.strand) if f.strand else F.lit(None).cast("string")
     out = df.select(*keep, F.col(f.reference).alias(f"{side}_ref"), s.alias(f"{side}_s"), e.alias(f"{side}_e"), F.coalesce(strand, F.lit(".")).alias(f"{side}_strand"))
     out = out.where(F.col(f"{side}_ref").isNotNull() & (F.col(f"{side}_e") >= F.col(f"{side}_s")))
-    last = F.greatest(F.col(f"{side}_s"), F.col(f"{side}_e") - 1)
     size = F.col(f"{side}_e") - F.col(f"{side}_s")
-    own = F.lit(0)
-    for k in range(1, levels):
-        own = own + F.when(size > width * FAN**k, 1).otherwise(0)
-    out = out.withColumn(f"{side}_level", own)
-    bins = []
-    for k in range(levels):
-        w, level = F.lit(width * FAN**k), F.lit(k).alias("level")
-        at = F.transform(F.sequence(F.floor(F.col(f"{side}_s") / w), F.floor(last / w)), _placed(level))
-        bins.append(at if levels == 1 else F.when(F.lit(k) >= F.col(f"{side}_level"), at).otherwise(F.array().cast("array<struct<level:int,bin:bigint>>")))
-    return out.withColumn("_b", F.explode(F.concat(*bins) if levels > 1 else bins[0])).select("*", F.col("_b")["level"].alias("level"), F.col("_b")["bin"].alias("bin")).drop("_b")
-
-
-def choose_width(left: DataFrame, right: DataFrame, lf: Fields, rf: Fields, flank: int) -> tuple[int, int]:
-    """(bin width, levels) from the lengths of both sides: the 95th percentile, and as many levels as the longest needs."""
-    size = lambda df, f, p: df.select((F.col(f.end).cast("long") - F.col(f.start).cast("long") + p).alias("n"))
-    r = size(left, lf, 2 * flank).unionAll(size(right, rf, 0)).where("n >= 0").agg(F.percentile_approx("n", 0.95, 200).alias("p"), F.max("n").alias("m")).first()
-    width = max(16, int(r["p"] or 1))
-    levels = 1
-    while levels < 8 and (r["m"] or 1) > width * FAN**levels:
-        levels += 1
-    return width, levels
+    home, other = (grid.left, grid.right) if side == "left" else (grid.right, grid.left)
+    level = F.lit(0)
+    for k in range(grid.top):
+        level = level + F.when(size > 1 << grid.level_bits(k), 1).otherwise(0)
+    first, last = F.col(f"{side}_s"), F.greatest(F.col(f"{side}_s"), F.col(f"{side}_e") - 1)
+    none = F.array().cast("array<struct<slot:int,bin:bigint>>")
+    parts = []
+    for k in range(grid.top + 1):
+        at = lambda slot, k=k: F.transform(F.sequence(F.shiftright(first, grid.level_bits(k)), F.shiftright(last, grid.level_bits(k))), _placed(slot))
+        own, below = F.col("_level") == k, F.col("_level") < k
+        if side == "left":
+            if k in home:
+                parts.append((own, at(2 * k)))
+            if k in other and k:
+                parts.append((below, at(2 * k + 1)))
+        else:
+            if k in home and k:
+                parts.append((own, at(2 * k + 1)))
+            if k in other:
+                parts.append((own | below, at(2 * k)))
+    arrays = [at if grid.top == 0 else F.when(when, at).otherwise(none) for when, at in parts] or [none]
+    out = out.withColumn("_level", level).withColumn("_b", F.explode(F.concat(*arrays) if len(arrays) > 1 else arrays[0]))
+    return out.select("*", F.col("_b")["slot"].alias(f"{side}_slot"), F.col("_b")["bin"].alias(f"{side}_bin")).drop("_b", "_level")
+
+
+def _only_met(df: DataFrame, side: str, wide: DataFrame, other: str, odd: int) -> DataFrame:
+    """df without its copies in coarse bins where the other side has no row of that level; wide: the other side's rows above level 0."""
+    slot, bin_, ref = (f"{side}_{x}" for x in ("slot", "bin", "ref"))
+    held = wide.where((F.col(f"{other}_slot") % 2 == odd) & (F.col(f"{other}_slot") > 1)).select(F.col(f"{other}_ref").alias(ref), F.col(f"{other}_slot").alias(slot), F.col(f"{other}_bin").alias(bin_)).distinct().withColumn("_met", F.lit(True))
+    coarse = (F.col(slot) % 2 == odd) & (F.col(slot) > 1)
+    return df.join(F.broadcast(held), [ref, slot, bin_], "left").where(~coarse | F.col("_met")).drop("_met")
+
+
+@dataclass(frozen=True)
+class Prepared:
+    """A left side made ready once for joins with many right sides (see prepare)."""
+
+    rows: DataFrame
+    grid: Grid
+    flank: int
+    small: bool
+    fields: Fields
+
+
+def prepare(left: DataFrame, lf: Fields = Fields(), flank: int = 0) -> Prepared:
+    """The left side, padded and cut into bins for right sides of any widths, written to the shared folder. It
+    is broadcast in the joins if it is within the bounds, else shuffled."""
+    sizes = _sizes(left, lf, 2 * flank)
+    grid = choose_grid(left, left, lf, lf, flank) if sizes else Grid(LEAST_BITS, frozenset({0}), frozenset({0}))
+    levels = -(-(MOST_BITS - grid.bits) // FAN_BITS)
+    grid = Grid(grid.bits, grid.left, frozenset(range(levels + 1)), grid.wide_left, 0)
+    return Prepared(cut_lineage(_binned(left, lf, flank, grid, "left", None)), grid, flank, small_enough(left, BROADCAST_ROWS // 8, BROADCAST_BYTES // 8), lf)
 
 
 def _with_id(df: DataFrame, row_id: str | None) -> tuple[DataFrame, str]:
@@ -75,30 +152,38 @@ def _with_id(df: DataFrame, row_id: str | None) -> tuple[DataFrame, str]:
     return cut_lineage(df.withColumn("_row_id", F.monotonically_increasing_id())), "_row_id"
 
 
-def pairs(left: DataFrame, right: DataFrame, lf: Fields = Fields(), rf: Fields = Fields(), flank: int = 0, width: int | None = None, levels: int | None = None, broadcast: str | None = "auto", left_id: str | None = None, right_id: str | None = None) -> DataFrame:
+def pairs(left: DataFrame | Prepared, right: DataFrame, lf: Fields = Fields(), rf: Fields = Fields(), flank: int = 0, grid: Grid | None = None, broadcast: str | None = "auto", left_id: str | None = None, right_id: str | None = None) -> DataFrame:
     """Inner join: (left struct, right struct[, left_id, right_id]) per overlapping pair. The left side is
-    padded by flank. broadcast: the side to send if its rows are within the bound ("left", "right", or "auto"
+    padded by flank. broadcast: the side to send if it is within the bounds ("left", "right", or "auto"
     for either), None to shuffle both."""
-    if width is None:
-        width, levels = choose_width(left, right, lf, rf, flank)
-    l = _binned(left, lf, flank, width, levels or 1, "left", left_id)
-    r = _binned(right, rf, 0, width, levels or 1, "right", right_id)
-    # A wide region takes several bins, so the bound on rows is lower here. Above it, both sides are shuffled.
-    tried = {"auto": ("left", "right"), None: ()}.get(broadcast, (broadcast,))
-    broadcast = next((side for side in tried if small_enough(left if side == "left" else right, BROADCAST_ROWS // 4)), None)
-    l, r = (F.broadcast(l) if broadcast == "left" else l), (F.broadcast(r) if broadcast == "right" else r)
-    w = F.lit(width) * F.element_at(F.array(*[F.lit(FAN**k).cast("long") for k in range(levels or 1)]), l["level"] + 1)
-    first = F.greatest(F.floor(F.col("left_s") / w), F.floor(F.col("right_s") / w))
+    if isinstance(left, Prepared):
+        grid, l, lf = left.grid, left.rows, left.fields
+        sent = "left" if left.small else None
+        r = _binned(right, rf, 0, grid, "right", right_id)
+    else:
+        grid = grid or choose_grid(left, right, lf, rf, flank)
+        # A region takes several bins and slots, so the bounds are lower here.
+        tried = {"auto": ("left", "right"), None: ()}.get(broadcast, (broadcast,))
+        sent = next((side for side in tried if small_enough(left if side == "left" else right, BROADCAST_ROWS // 4, BROADCAST_BYTES // 4)), None)
+        l, r = _binned(left, lf, flank, grid, "left", left_id), _binned(right, rf, 0, grid, "right", right_id)
+        if sent is None:
+            # Bins of at most FAN + 1 a wide row: few enough to be sent, or all copies are shuffled.
+            met_l = 0 < grid.wide_right * (FAN + 1) <= BROADCAST_ROWS
+            met_r = 0 < grid.wide_left * (FAN + 1) <= BROADCAST_ROWS
+            plain_l, plain_r = l, r
+            l = _only_met(l, "left", plain_r.drop("right"), "right", 1) if met_l else l
+            r = _only_met(r, "right", plain_l.drop("left"), "left", 0) if met_r else r
+    l, r = (F.broadcast(l) if sent == "left" else l), (F.broadcast(r) if sent == "right" else r)
+    bits = F.lit(grid.bits) + FAN_BITS * F.floor(F.col("left_slot") / 2).cast("int")
+    first = F.greatest(F.expr("shiftright(left_s, _bits)"), F.expr("shiftright(right_s, _bits)"))
     cond = [
-        F.col("left_ref") == F.col("right_ref"), l["level"] == r["level"], l["bin"] == r["bin"], F.col("left_strand") == F.col("right_strand"),
-        F.col("left_s") < F.col("right_e"), F.col("left_e") > F.col("right_s"), l["bin"] == first,
+        F.col("left_ref") == F.col("right_ref"), F.col("left_slot") == F.col("right_slot"), F.col("left_bin") == F.col("right_bin"), F.col("left_strand") == F.col("right_strand"),
+        F.col("left_s") < F.col("right_e"), F.col("left_e") > F.col("right_s"), F.col("left_bin") == first,
     ]
-    if (levels or 1) > 1:
-        cond.append(F.greatest("left_level", "right_level") == l["level"])
-    return l.join(r, cond).select("left", "right", *(["left_id"] if left_id else []), *(["right_id"] if right_id else []))
+    return l.withColumn("_bits", bits).join(r, cond).select("left", "right", *(["left_id"] if left_id else []), *(["right_id"] if right_id else []))
 
 
-def region_join(left: DataFrame, right: DataFrame, how: str = "inner", group: str | None = None, lf: Fields = Fields(), rf: Fields = Fields(), flank: int = 0, left_id: str | None = None, right_id: str | None = None, **plan) -> DataFrame:
+def region_join(left: DataFrame | Prepared, right: DataFrame, how: str = "inner", group: str | None = None, lf: Fields = Fields(), rf: Fields = Fields(), flank: int = 0, left_id: str | None = None, right_id: str | None = None, **plan) -> DataFrame:
     """Overlap join of every kind.
 
     how: inner, left, right, full, left_semi, left_anti. group: None gives (left, right) structs;
@@ -106,11 +191,15 @@ def region_join(left: DataFrame, right: DataFrame, how: str = "inner", group: st
     that side, only those with partners if inner, all of them (empty arrays) if that side is outer.
     Grouped by left, how="right" or "full" adds (null, [right]) for right rows without partner.
     left_id, right_id name unique columns; where missing and needed, row numbers are written first.
+    left may be Prepared for inner and right outer joins not grouped by left. Grouped rows hold all
+    their partners in one array, so a region has to fit in a task with what overlaps it.
     """
     if how not in ("inner", "left", "right", "full", "left_semi", "left_anti") or group not in (None, "left", "right"):
         raise ValueError((how, group))
     if how == "inner" and group is None:
         return pairs(left, right, lf, rf, flank, **plan)
+    if isinstance(left, Prepared) and (how not in ("inner", "right") or group == "left"):
+        raise ValueError("a prepared left side can't be kept or grouped by")
     need_left = how in ("left", "full", "left_semi", "left_anti") or group == "left"
     need_right = how in ("right", "full") or group == "right"
     l, lid = _with_id(left, left_id) if need_left else (left, None)
@@ -168,5 +257,3 @@ left_outer_shuffle_region_join_and_group_by_left = _named("left", "left", None)
 right_outer_shuffle_region_join_and_group_by_left = _named("right", "left", None)
 semi_region_join = _named("left_semi", None, "auto")
 anti_region_join = _named("left_anti", None, "auto")
-
-

@@ -8,8 +8,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows a side may have to be broadcast. At about 100 bytes a row this is 30 MB in an executor.
-BROADCAST_ROWS = 300_000
+#: Rows a side may have to be broadcast, and about its bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,9 +41,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_enough(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most max_rows rows. Stops counting beyond."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def small_enough(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most max_rows rows and, written as text, max_bytes bytes. Stops counting beyond the rows."""
+    size = F.octet_length(F.struct(*[F.col(f"`{c}`") for c in df.columns]).cast("string"))
+    r = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("b")).first()
+    return r["n"] <= max_rows and r["b"] <= max_bytes
 
 
 def join_bounded(big: DataFrame, small: DataFrame, on: list[str], how: str, max_rows: int = BROADCAST_ROWS, salt_of: str | None = None, salts: int = 32) -> DataFrame:

@@ -60,7 +60,7 @@ def test_joins_equal_the_plain_condition(spark, flank, broadcast):
     l, r = spark.createDataFrame(a, SIDE.format("i")), spark.createDataFrame(b, SIDE.format("j"))
     want = {(i, j) for i, n, s, e in a for j, m, t, u in b if n and n == m and e is not None and u is not None and max(0, s - flank) < u and e + flank > t}
     assert len(want) > 100
-    inner = jn.pairs(l, r, flank=flank, width=16, levels=3, broadcast=broadcast)
+    inner = jn.pairs(l, r, flank=flank, grid=jn.choose_grid(l, r, jn.Fields(), jn.Fields(), flank), broadcast=broadcast)
     got = [(x.left.i, x.right.j) for x in inner.collect()]
     assert len(got) == len(set(got)) and set(got) == want
     kw = {"flank": flank, "broadcast": broadcast, "left_id": "i", "right_id": "j"}
@@ -89,6 +89,44 @@ def test_joins_without_ids_and_with_strands(spark):
     assert jn.region_join(l, r.limit(0), "full").count() == 3 and jn.region_join(l.limit(0), r).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", ["left", None])
+def test_wide_regions_on_either_side(spark, monkeypatch, broadcast):
+    """Many levels, on both sides, with and without knowing the coarse bins that hold a wide row."""
+    rng = random.Random(9)
+    size = lambda: 0 if rng.random() < 0.05 else int(2 ** rng.uniform(0, 24 if rng.random() < 0.04 else 6))
+    make = lambda n: [(i, "c", s, s + size()) for i, s in enumerate(rng.randint(0, 1 << 22) >> rng.choice((0, 8)) for _ in range(n))]
+    a, b = make(300), make(250)
+    l, r = spark.createDataFrame(a, SIDE.format("i")), spark.createDataFrame(b, SIDE.format("j"))
+    want = {(i, j) for i, _, s, e in a for j, _, t, u in b if s < u and e > t}
+    grid = jn.choose_grid(l, r, jn.Fields(), jn.Fields(), 0)
+    assert grid.top > 3 and grid.wide_left and grid.wide_right
+    for rows in (jn.BROADCAST_ROWS, 200):
+        monkeypatch.setattr(jn, "BROADCAST_ROWS", rows)
+        got = [(x.left.i, x.right.j) for x in jn.pairs(l, r, broadcast=broadcast).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        p = jn.prepare(l)
+        assert p.small == (rows > 2000) and {(x.left.i, x.right.j) for x in jn.pairs(p, r).collect()} == want
+    p = jn.prepare(l)
+    hit = {j for _, j in want}
+    assert jn.region_join(p, r, "right").count() == len(want) + len(b) - len(hit)
+    assert {x.right.j: len(x.left) for x in jn.region_join(p, r, "inner", "right").collect()} == {j: sum(k == j for _, k in want) for j in hit}
+    assert jn.region_join(p, r, "right", "right", right_id="j").count() == len(b) and jn.pairs(jn.prepare(l.limit(0)), r).count() == 0
+    with pytest.raises(ValueError):
+        jn.region_join(p, r, "left")
+
+
+def test_one_wide_region_costs_only_its_overlaps(spark):
+    """Narrow rows don't meet at the level of a wide one: the candidates of the join are those of the narrow bins and of the wide region."""
+    l = spark.range(20_000).select(F.col("id").alias("i"), F.lit("c").alias("referenceName"), (F.col("id") * 50).alias("start"), (F.col("id") * 50 + 10).alias("end"))
+    wide = spark.range(1).select(F.col("id").alias("i"), F.lit("c").alias("referenceName"), F.lit(0).cast("long").alias("start"), F.lit(100_000_000).cast("long").alias("end"))
+    r = l.unionByName(wide)
+    grid = jn.choose_grid(l, r, jn.Fields(), jn.Fields(), 0)
+    a, b = jn._binned(l, jn.Fields(), 0, grid, "left", None), jn._binned(r, jn.Fields(), 0, grid, "right", None)
+    n, m = (x.groupBy(f"{s}_slot", f"{s}_bin").count().toDF("slot", "bin", f"n_{s}") for x, s in ((a, "left"), (b, "right")))
+    assert n.join(m, ["slot", "bin"]).agg(F.sum(F.col("n_left") * F.col("n_right"))).first()[0] < 80_000
+    assert jn.pairs(l, r, broadcast=None).count() == 40_000
+
+
 @pytest.mark.parametrize("block", [8, 64, 1 << 16])
 def test_islands_equal_brute_force(spark, block):
     rng = random.Random(block)
