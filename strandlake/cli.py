@@ -17,13 +17,15 @@ from strandlake.operators.markdup import mark_duplicates
 from strandlake.operators.mdtags import compute_mismatching_positions
 from strandlake.operators.realign import realign_indels
 from strandlake.operators.reads import to_fragments
-from strandlake.sources import load, sinks
+from strandlake.sources import binary, load, sinks
 
 
 def _save_alignments(f: GenomicFrame, path: str, single: bool) -> None:
     e = load.extension(path)
     if e == "sam":
         sinks.save_sam(f.df, path, f.meta.references, [dict(g) for g in f.meta.read_groups], single=single)
+    elif e == "bam":
+        binary.save_bam(f.df, path, list(f.meta.references), [dict(g) for g in f.meta.read_groups], single=single)
     elif e in ("fq", "fastq"):
         sinks.save_fastq(f.df, path, single=single)
     else:

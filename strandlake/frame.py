@@ -103,21 +103,27 @@ class GenomicFrame:
         return self.filter_by_overlapping_regions([(reference, start, end)])
 
     def filter_by_overlapping_regions(self, queries: list[tuple[str, int, int]]) -> GenomicFrame:
-        """Few regions become comparisons that prune row groups, many a semi join."""
+        """Rows that overlap a region, on either strand. Few regions become comparisons that prune row groups, many a semi join."""
         if len(queries) <= 200:
             return self.transform(lambda d: d.where(in_regions(self.region(), queries)))
         q = self.df.sparkSession.createDataFrame(queries, "referenceName string, start long, end long")
-        return self.transform(lambda d: joins.region_join(d, q, "left_semi", lf=self.fields))
+        return self.transform(lambda d: joins.region_join(d, q, "left_semi", lf=replace(self.fields, strand=None)))
 
     def sort(self, stringency: str = "strict") -> GenomicFrame:
         """By the order of the dictionary, then start. Rows without a place in it: an error (strict), or left out."""
-        f, refs = self.fields, [n for n, _ in self.meta.references]
-        at = F.array_position(F.array(*[F.lit(n) for n in refs]).cast("array<string>"), F.col(f.reference))
-        if stringency == "strict":
-            bad = F.raise_error(F.concat(F.lit("not in the dictionary: "), F.coalesce(F.col(f.reference), F.lit("null")))).cast("int")
-            at = F.when(F.coalesce(at, F.lit(0)) == 0, bad).otherwise(at)
-            return self.transform(lambda d: d.orderBy(at, f.start))
-        return self.transform(lambda d: d.where(F.coalesce(at, F.lit(0)) > 0).orderBy(at, f.start))
+        f = self.fields
+
+        def ordered(d: DataFrame) -> DataFrame:
+            # The dictionary is joined, so a row costs the same whatever the number of references.
+            refs = d.sparkSession.createDataFrame([(n, i) for i, (n, _) in enumerate(self.meta.references)], "_name string, _at int")
+            j = d.join(F.broadcast(refs), F.col(f.reference) == F.col("_name"), "left" if stringency == "strict" else "inner")
+            at = F.col("_at")
+            if stringency == "strict":
+                bad = F.raise_error(F.concat(F.lit("not in the dictionary: "), F.coalesce(F.col(f.reference), F.lit("null")))).cast("int")
+                at = F.when(at.isNull(), bad).otherwise(at)
+            return j.orderBy(at, f.start).select(*[F.col(f"`{c}`") for c in d.columns])
+
+        return self.transform(ordered)
 
     def sort_lexicographically(self) -> GenomicFrame:
         """By reference name, start, end and strand; rows without a reference last."""
@@ -166,6 +172,25 @@ class GenomicFrame:
     def right_outer_shuffle_region_join_and_group_by_left(self, o, flank=0, **kw):
         return self._join(o, "right", "left", None, flank, **kw)
 
+    def prepare(self, flank: int = 0) -> joins.Prepared:
+        """This side made ready once for broadcast joins with many right sides."""
+        return joins.prepare(self.df, self.fields, flank)
+
+    def _against(self, prepared: joins.Prepared, how: str, group: str | None, **kw) -> DataFrame:
+        return joins.region_join(prepared, self.df, how, group, rf=self.fields, **kw)
+
+    def broadcast_region_join_against(self, prepared, **kw):
+        return self._against(prepared, "inner", None, **kw)
+
+    def right_outer_broadcast_region_join_against(self, prepared, **kw):
+        return self._against(prepared, "right", None, **kw)
+
+    def broadcast_region_join_and_group_by_right_against(self, prepared, **kw):
+        return self._against(prepared, "inner", "right", **kw)
+
+    def right_outer_broadcast_region_join_and_group_by_right_against(self, prepared, **kw):
+        return self._against(prepared, "right", "right", **kw)
+
     # Storage
 
     def save_as_parquet(self, path: str, **kw) -> None:

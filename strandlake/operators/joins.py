@@ -55,7 +55,7 @@ class Grid:
         return max(self.left | self.right | {0})
 
     def level_bits(self, level: int) -> int:
-        return self.bits + FAN_BITS * level
+        return min(63, self.bits + FAN_BITS * level)
 
 
 def _sizes(df: DataFrame, f: Fields, pad: int) -> dict[int, int]:
@@ -174,7 +174,7 @@ def pairs(left: DataFrame | Prepared, right: DataFrame, lf: Fields = Fields(), r
             l = _only_met(l, "left", plain_r.drop("right"), "right", 1) if met_l else l
             r = _only_met(r, "right", plain_l.drop("left"), "left", 0) if met_r else r
     l, r = (F.broadcast(l) if sent == "left" else l), (F.broadcast(r) if sent == "right" else r)
-    bits = F.lit(grid.bits) + FAN_BITS * F.floor(F.col("left_slot") / 2).cast("int")
+    bits = F.least(F.lit(63), F.lit(grid.bits) + FAN_BITS * F.floor(F.col("left_slot") / 2).cast("int"))
     first = F.greatest(F.expr("shiftright(left_s, _bits)"), F.expr("shiftright(right_s, _bits)"))
     cond = [
         F.col("left_ref") == F.col("right_ref"), F.col("left_slot") == F.col("right_slot"), F.col("left_bin") == F.col("right_bin"), F.col("left_strand") == F.col("right_strand"),

@@ -51,10 +51,11 @@ def sort_by_reference_position(df: DataFrame) -> DataFrame:
 
 def sort_by_index(df: DataFrame, references: list[str]) -> DataFrame:
     """By the order of the dictionary and start; unmapped reads last, by read name. The dictionary is
-    driver-side metadata, one short literal per reference."""
-    at = F.array_position(F.array(*[F.lit(r) for r in references]), F.col("referenceName"))
+    driver-side metadata and is joined."""
+    refs = df.sparkSession.createDataFrame([(n, i) for i, n in enumerate(references)], "_name string, _at int")
     unmapped = ~F.coalesce("readMapped", F.lit(False))
-    return df.orderBy(unmapped, F.when(~unmapped, at), F.when(~unmapped, F.col("start")), "readName")
+    j = df.join(F.broadcast(refs), F.col("referenceName") == F.col("_name"), "left")
+    return j.orderBy(unmapped, F.when(~unmapped, F.col("_at")), F.when(~unmapped, F.col("start")), "readName").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 # Shapes.
@@ -111,7 +112,7 @@ def reassemble_pairs(first: DataFrame, second: DataFrame, strict: bool = True) -
 #: The bits of the SAM flag and the condition each stands for.
 FLAG_BITS = {
     1: "readPaired", 2: "properPair", 4: "NOT readMapped", 8: "readPaired AND NOT mateMapped", 16: "readNegativeStrand", 32: "mateNegativeStrand",
-    64: "readPaired AND readInFragment = 0", 128: "readPaired AND readInFragment = 1", 256: "readMapped AND NOT primaryAlignment AND NOT supplementaryAlignment",
+    64: "readPaired AND readInFragment = 0", 128: "readPaired AND readInFragment = 1", 256: "readMapped AND NOT primaryAlignment",
     512: "failedVendorQualityChecks", 1024: "duplicateRead", 2048: "supplementaryAlignment",
 }
 
@@ -126,11 +127,12 @@ def flags(df: DataFrame, out: str = "flags") -> DataFrame:
 
 
 def from_flags(flag: Column) -> dict[str, Column]:
-    """The boolean columns that a SAM flag stands for."""
+    """The boolean columns that a SAM flag stands for. primaryAlignment goes by its own bit alone, so unmapped and
+    supplementary reads have it too; counters that mean neither say so."""
     on = lambda n: flag.bitwiseAND(F.lit(n)) != 0
     return {
         "readPaired": on(1), "properPair": on(2), "readMapped": ~on(4), "mateMapped": on(1) & ~on(8), "readNegativeStrand": on(16), "mateNegativeStrand": on(32),
-        "readInFragment": F.when(on(128), 1).otherwise(0), "primaryAlignment": ~on(256) & ~on(2048) & ~on(4), "failedVendorQualityChecks": on(512), "duplicateRead": on(1024), "supplementaryAlignment": on(2048),
+        "readInFragment": F.when(on(128), 1).otherwise(0), "primaryAlignment": ~on(256), "failedVendorQualityChecks": on(512), "duplicateRead": on(1024), "supplementaryAlignment": on(2048),
     }
 
 

@@ -5,12 +5,15 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandlake.frame import GenomicFrame, Meta
 from strandlake.functions.intervals import parse_regions
 from strandlake.operators import coverage as cov
+from strandlake.operators import sequences as sq
 from strandlake.operators.reads import to_fragments
 from strandlake.operators.sequences import slice_by_length
+from strandlake.operators.variants import to_variant_contexts, variants_to_contexts
 from strandlake.sources import binary, parquet, text
 
 
@@ -36,21 +39,28 @@ def _some(f: GenomicFrame, regions: str | None) -> GenomicFrame:
     return f.filter_by_overlapping_regions(parse_regions(regions)) if regions else f
 
 
+def _sam_meta(h: dict[str, list[dict[str, str]]]) -> Meta:
+    refs = tuple((s["SN"], int(s["LN"])) for s in h.get("SQ", []))
+    groups = tuple(tuple(sorted(g.items())) for g in h.get("RG", []))
+    steps = tuple(p.get("CL", p.get("PN", "")) for p in h.get("PG", []))
+    return Meta(refs, tuple(dict.fromkeys(g["SM"] for g in h.get("RG", []) if "SM" in g)), groups, steps)
+
+
 def load_alignments(spark: SparkSession, path: str, mates: str | None = None, regions: str | None = None) -> GenomicFrame:
     """.sam, .bam, .fq, .fastq (with mates: paired), .ifq (interleaved), .fa, .fasta (unmapped), else Parquet."""
     e = extension(path)
     if e == "sam":
-        h = text.sam_header(spark, path)
-        refs = tuple((s["SN"], int(s["LN"])) for s in h.get("SQ", []))
-        groups = tuple(tuple(sorted(g.items())) for g in h.get("RG", []))
-        steps = tuple(p.get("CL", p.get("PN", "")) for p in h.get("PG", []))
-        return _some(GenomicFrame(text.read_sam(spark, path), Meta(refs, tuple(dict.fromkeys(g["SM"] for g in h.get("RG", []) if "SM" in g)), groups, steps)), regions)
+        return _some(GenomicFrame(text.read_sam(spark, path), _sam_meta(text.sam_header(spark, path))), regions)
     if e == "bam":
-        return _some(GenomicFrame(binary.read_bam(spark, path)), regions)
+        # Headers of several files are put together, in the order of each.
+        meta = _sam_meta(text.parse_sam_header(dict.fromkeys(x for h in binary.bam_headers(spark, path) for x in h.splitlines())))
+        return _some(GenomicFrame(binary.read_bam(spark, path, parse_regions(regions) if regions else None), meta), regions)
     if e in ("fq", "fastq"):
         return GenomicFrame(text.read_paired_fastq(spark, path, mates) if mates else text.read_fastq(spark, path))
     if e == "ifq":
         return GenomicFrame(text.read_interleaved_fastq(spark, path))
+    if e in ("fa", "fasta"):
+        return GenomicFrame(sq.to_alignments(sq.to_reads(text.read_fasta(spark, path))))
     return _parquet(spark, path, regions)
 
 
@@ -79,12 +89,26 @@ def _vcf_meta(spark: SparkSession, path: str) -> Meta:
     return Meta(tuple((m[1], int(m[2] or 0)) for m in found if m), tuple(samples), header_lines=tuple(x for x in lines if not x.startswith("##contig")))
 
 
-def load_variants(spark: SparkSession, path: str, regions: str | None = None) -> GenomicFrame:
-    return _some(GenomicFrame(text.read_variants(spark, path), _vcf_meta(spark, path)), regions) if extension(path) == "vcf" else _parquet(spark, path, regions)
+def load_variants(spark: SparkSession, path: str, regions: str | None = None, info: list[str] | None = None) -> GenomicFrame:
+    """info: the INFO keys of a VCF file to read, None for all."""
+    return _some(GenomicFrame(text.read_variants(spark, path, info), _vcf_meta(spark, path)), regions) if extension(path) == "vcf" else _parquet(spark, path, regions)
 
 
-def load_genotypes(spark: SparkSession, path: str, regions: str | None = None) -> GenomicFrame:
-    return _some(GenomicFrame(text.read_genotypes(spark, path), _vcf_meta(spark, path)), regions) if extension(path) == "vcf" else _parquet(spark, path, regions)
+def load_genotypes(spark: SparkSession, path: str, regions: str | None = None, info: list[str] | None = None, formats: list[str] | None = None) -> GenomicFrame:
+    """info, formats: the INFO and FORMAT keys of a VCF file to read, None for all."""
+    return _some(GenomicFrame(text.read_genotypes(spark, path, info, formats), _vcf_meta(spark, path)), regions) if extension(path) == "vcf" else _parquet(spark, path, regions)
+
+
+def load_variant_contexts(spark: SparkSession, path: str, regions: str | None = None) -> GenomicFrame:
+    """Variants with all their genotypes, from VCF with or without samples, from genotypes or from contexts in Parquet."""
+    if extension(path) == "vcf":
+        meta = _vcf_meta(spark, path)
+        if not meta.samples:
+            return load_variants(spark, path, regions).transmute(lambda d: variants_to_contexts(d).withColumn("genotypes", F.array()))
+        f = load_genotypes(spark, path, regions)
+    else:
+        f = _parquet(spark, path, regions)
+    return f if "genotypes" in f.df.columns else f.transmute(to_variant_contexts)
 
 
 def load_sequences(spark: SparkSession, path: str, alphabet: str = "DNA") -> GenomicFrame:

@@ -67,13 +67,16 @@ def sam_lines(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     tag = lambda t, c, kind="Z", plus=0: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{t}:{kind}:"), (F.col(c) + plus if plus else F.col(c)).cast("string")))
     tags = F.array_compact(F.array(tag("MD", "mismatchingPositions"), tag("RG", "readGroupId"), tag("OQ", "originalQualityScores"), tag("OP", "originalStart", "i", 1), tag("OC", "originalCigar"), F.nullif(F.col("attributes"), F.lit(""))))
     n = lambda c, plus, none: F.coalesce((F.col(c) + plus).cast("string"), F.lit(none))
-    core = F.concat_ws("\t", star("readName"), F.col("_flags").cast("string"), star("referenceName"), n("start", 1, "0"), n("mappingQuality", 0, "255"), star("cigar"), same, n("mateAlignmentStart", 1, "0"), n("insertSize", 0, "0"), star("sequence"), star("qualityScores"))
+    core = F.concat_ws("\t", star("readName"), F.col("_flags").cast("string"), star("referenceName"), n("start", 1, "0"), F.when(~F.coalesce("readMapped", F.lit(False)), "0").otherwise(n("mappingQuality", 0, "255")), star("cigar"), same, n("mateAlignmentStart", 1, "0"), n("insertSize", 0, "0"), star("sequence"), star("qualityScores"))
     return flags(df, "_flags").select(*keep, F.when(F.size(tags) > 0, F.concat(core, F.lit("\t"), F.array_join(tags, "\t"))).otherwise(core).alias("value"))
 
 
+def sam_header_lines(references: list[tuple[str, int]], read_groups: list[dict], sort_order: str) -> list[str]:
+    return [f"@HD\tVN:1.6\tSO:{sort_order}", *(f"@SQ\tSN:{n}\tLN:{k}" for n, k in references), *("@RG\t" + "\t".join(f"{k}:{v}" for k, v in g.items()) for g in read_groups)]
+
+
 def save_sam(df: DataFrame, path: str, references: list[tuple[str, int]] = (), read_groups: list[dict] = (), sort_order: str = "unsorted", single: bool = False, mode: str = "overwrite", compression: str | None = None) -> None:
-    header = [f"@HD\tVN:1.6\tSO:{sort_order}", *(f"@SQ\tSN:{n}\tLN:{k}" for n, k in references), *("@RG\t" + "\t".join(f"{k}:{v}" for k, v in g.items()) for g in read_groups)]
-    _write(sam_lines(df), path, single, header, mode, compression)
+    _write(sam_lines(df), path, single, sam_header_lines(references, read_groups, sort_order), mode, compression)
 
 
 def fastq_lines(df: DataFrame, name: str = "readName", original: bool = False, suffix: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:

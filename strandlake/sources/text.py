@@ -1,9 +1,11 @@
-"""Readers of text formats. Each is a text scan and a projection, split by the file system's blocks;
-gzip is read as is. Positions become 0-based, half-open."""
+"""Readers of text formats. Each is a text scan and a projection, split by the file system's blocks (FASTQ by
+byte ranges); gzip is read as is. Positions become 0-based, half-open."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.cigar import reference_length
@@ -11,7 +13,9 @@ from strandlake.functions.text import pair_number, strip_pair_suffix, tag_value
 from strandlake.operators.features import gff3_entries, gtf_entries, last_wins, to_dbxref, to_strand
 from strandlake.operators.reads import from_flags
 from strandlake.operators.variants import parse_effects
+from strandlake.plans.runtime import join_bounded
 from strandlake.schemas import SCHEMAS
+from strandlake.sources import ranges
 
 #: A path, paths, or a DataFrame with a text column `value` (lines from elsewhere, such as a program's output).
 Paths = str | list[str] | DataFrame
@@ -52,9 +56,14 @@ def _at(i: int) -> Column:
 
 def sam_header(spark: SparkSession, path: Paths) -> dict[str, list[dict[str, str]]]:
     """Header lines by record type (HD, SQ, RG, PG, CO). Headers of several files are put together."""
+    lines = _text(spark, path).select("value").where(F.col("value").rlike("^@(HD|SQ|RG|PG|CO)(\t|$)")).distinct().orderBy("value").toLocalIterator()
+    return parse_sam_header(r[0] for r in lines)
+
+
+def parse_sam_header(lines) -> dict[str, list[dict[str, str]]]:
     out: dict[str, list[dict[str, str]]] = {}
-    for r in _text(spark, path).select("value").where(F.col("value").rlike("^@(HD|SQ|RG|PG|CO)(\t|$)")).distinct().orderBy("value").toLocalIterator():
-        kind, *rest = r[0].split("\t")
+    for line in lines:
+        kind, *rest = line.rstrip("\r").split("\t")
         out.setdefault(kind[1:], []).append(dict(x.split(":", 1) for x in rest if ":" in x) if kind != "@CO" else {"text": "\t".join(rest)})
     return out
 
@@ -69,6 +78,7 @@ def read_sam(spark: SparkSession, path: Paths) -> DataFrame:
     tags = F.when(F.size(c) > 11, tags)
     mapped = flags["readMapped"]
     start = F.when(mapped, c[3].try_cast("long") - 1)
+    trimmed = lambda p: F.coalesce(F.regexp_extract(c[5], p, 1).try_cast("int"), F.lit(0))
     mate = F.when(c[6] == "=", none(c[2])).otherwise(none(c[6]))
     # Lines that another program writes are read once, so they have no header to look into first.
     header = {} if isinstance(path, DataFrame) else sam_header(spark, path)
@@ -78,44 +88,25 @@ def read_sam(spark: SparkSession, path: Paths) -> DataFrame:
     kept = F.filter(F.split(tags, "\t"), lambda t: ~t.rlike("^(RG|MD|OQ|OP|OC):"))
     out = lines.select(
         none(c[0]).alias("readName"), none(c[9]).alias("sequence"), none(c[10]).alias("qualityScores"), tag_value(tags, "OQ").alias("originalQualityScores"), F.when(mapped, none(c[2])).alias("referenceName"), start.alias("start"),
-        (start + reference_length(c[5])).alias("end"), (tag_value(tags, "OP").try_cast("long") - 1).alias("originalStart"), none(c[5]).alias("cigar"), tag_value(tags, "OC").alias("originalCigar"), F.when(mapped & (c[4] != "255"), c[4].try_cast("int")).alias("mappingQuality"),
+        (start + reference_length(c[5])).alias("end"), (tag_value(tags, "OP").try_cast("long") - 1).alias("originalStart"), none(c[5]).alias("cigar"), tag_value(tags, "OC").alias("originalCigar"), trimmed("^([0-9]+)H").alias("basesTrimmedFromStart"), trimmed("([0-9]+)H$").alias("basesTrimmedFromEnd"), F.when(mapped & (c[4] != "255"), c[4].try_cast("int")).alias("mappingQuality"),
         F.nullif(c[8].try_cast("long"), F.lit(0)).alias("insertSize"), mate.alias("mateReferenceName"), F.when(mate.isNotNull() & (c[7] != "0"), c[7].try_cast("long") - 1).alias("mateAlignmentStart"), tag_value(tags, "MD").alias("mismatchingPositions"),
         F.array_join(kept, "\t").alias("attributes"), group.alias("readGroupId"), sample.alias("readGroupSampleId"), *[x.alias(n) for n, x in flags.items()], *_task(lines),
     )
     return _columns(out, "alignment")
 
 
-def _fastq_records(spark: SparkSession, path: Paths) -> DataFrame:
-    """(name line, sequence, qualities) of four-line records, each file in one task: records can't be
-    told apart inside a file without its beginning (a quality line may begin with @)."""
-
-    def kernel(batches):
-        import gzip
-        import io
-
-        import pandas as pd
-
-        for b in batches:
-            for name, content in zip(b["path"], b["content"]):
-                data = io.BytesIO(bytes(content))
-                lines = io.TextIOWrapper(gzip.open(data) if bytes(content[:2]) == b"\x1f\x8b" else data, encoding="ascii", errors="replace")
-                rows, number = [], 0
-                while line := lines.readline():
-                    line = line.rstrip("\r\n")
-                    if not line:
-                        continue
-                    seq, plus, qual = (lines.readline().rstrip("\r\n") for _ in range(3))
-                    if line[0] != "@" or plus[:1] != "+" or len(seq) != len(qual):
-                        raise ValueError(f"no FASTQ record in {name}: {line}")
-                    rows.append((number, line[1:], seq, qual))
-                    number += 1
-                    if len(rows) == 10_000:
-                        yield pd.DataFrame(rows, columns=["number", "head", "sequence", "qualityScores"])
-                        rows = []
-                yield pd.DataFrame(rows, columns=["number", "head", "sequence", "qualityScores"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(kernel, "number long, head string, sequence string, qualityScores string")
+def _fastq_records(spark: SparkSession, path: str | list[str], numbered: bool = False, size: int = ranges.RANGE) -> DataFrame:
+    """(head, sequence, qualityScores[, number]) of four-line records. A file is read in ranges, each by a task of its
+    own, gzip as a whole. number counts through a file; for it the records of each range are counted first."""
+    parts = ranges.byte_ranges(ranges.list_files(spark, path), size)
+    read = lambda r: ranges.fastq_records(r.path, r.first, r.last, r.last - r.first == r.length)
+    if not numbered:
+        return ranges.map_ranges(parts, read, "head string, sequence string, qualityScores string")
+    n = ranges.map_ranges(parts, lambda r: [(r.path, r.first, sum(1 for _ in read(r)))], "path string, first long, n long")
+    # One row a range and file: a window over a file holds as many rows as it has ranges.
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = parts.join(n.withColumn("before", before).drop("n"), ["path", "first"])
+    return ranges.map_ranges(placed.repartition(max(1, parts.rdd.getNumPartitions()), "path", "first"), lambda r: ((*t, r.before + i) for i, t in enumerate(read(r))), "head string, sequence string, qualityScores string, number long")
 
 
 def _fastq(records: DataFrame, part: Column, paired: bool) -> DataFrame:
@@ -137,7 +128,7 @@ def read_paired_fastq(spark: SparkSession, first: Paths, second: Paths) -> DataF
 
 def read_interleaved_fastq(spark: SparkSession, path: Paths) -> DataFrame:
     """First and second reads in turn."""
-    r = _fastq_records(spark, path)
+    r = _fastq_records(spark, path, numbered=True)
     return _fastq(r, (F.col("number") % 2).cast("int"), True)
 
 
@@ -145,8 +136,10 @@ def read_interleaved_fastq(spark: SparkSession, path: Paths) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: Paths, alphabet: str = "DNA") -> DataFrame:
-    """One sequence per record, split at '>' so that a record is a row."""
-    raw = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
+    """One sequence per record, split where a line starts with '>' so that a record is a row."""
+    raw = spark.read.option("lineSep", "\n>").text(path).where(F.trim("value") != "")
+    # Only the first record of a file still has its '>'.
+    raw = raw.select(F.regexp_replace("value", "^>", "").alias("value"))
     head, body = F.regexp_extract("value", r"^([^\n]*)", 1), F.regexp_replace("value", r"^[^\n]*\n?", "")
     raw = raw.select(F.trim(F.regexp_replace(head, "\r", "")).alias("head"), F.regexp_replace(body, r"\s", "").alias("sequence"))
     name, desc = F.regexp_extract("head", r"^(\S*)", 1), F.regexp_replace("head", r"^\S*\s*", "")
@@ -214,36 +207,63 @@ INFO_KNOWN = ("AA", "AC", "AF", "CIGAR", "AD", "ADF", "ADR", "ANN", "DP", *INFO_
 FORMAT_KNOWN = ("GT", "AD", "DP", "MIN_DP", "GQ", "PL", "SB", "PS", "PQ", "FT", "FS", "MQ", "MQ0")
 
 
+def _vcf_text(spark: SparkSession, path: Paths) -> DataFrame:
+    """Lines with `_file`, the file they stand in (null for lines from elsewhere)."""
+    return path.withColumn("_file", F.lit(None).cast("string")) if isinstance(path, DataFrame) else spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))
+
+
 def vcf_header(spark: SparkSession, path: Paths) -> tuple[list[str], list[str]]:
-    """(## lines, sample names) of VCF files; samples in the order of the first file's columns."""
-    lines = [r[0] for r in _text(spark, path).select("value").where(F.col("value").startswith("#")).distinct().toLocalIterator()]
-    samples: list[str] = []
-    for h in sorted(x for x in lines if x.startswith("#CHROM")):
-        samples += [s for s in h.rstrip("\r").split("\t")[9:] if s not in samples]
-    return sorted(x for x in lines if x.startswith("##")), samples
-
-
-def _sites(spark: SparkSession, path: Paths) -> DataFrame:
-    """One row per site and ALT allele, multi-allelic sites split; `alt` is the allele's number from 1."""
-    lines = _lines(spark, path, "#").where(F.size("c") >= 8)
-    alts = F.filter(F.split(F.col("c")[4], ","), lambda a: a != "<NON_REF>")
+    """(## lines, sample names) of VCF files; samples in the order of the columns, file by file."""
+    t = _vcf_text(spark, path).where(F.col("value").startswith("#"))
+    lines = [r[0] for r in t.where(F.col("value").startswith("##")).select("value").distinct().orderBy("value").toLocalIterator()]
+    samples: dict[str, None] = {}
+    for r in t.where(F.col("value").startswith("#CHROM")).groupBy("value").agg(F.min("_file").alias("f")).orderBy("f", "value").toLocalIterator():
+        samples.update(dict.fromkeys(r["value"].rstrip("\r").split("\t")[9:]))
+    return lines, list(samples)
+
+
+def _numbers(lines: list[str]) -> dict[str, str]:
+    """INFO keys with one value per alternate allele (A) or per allele (R), from the header lines."""
+    found = (re.match(r"##INFO=<ID=([^,>]+),Number=([AR]),", x) for x in lines)
+    return {m[1]: m[2] for m in found if m}
+
+
+def _sites(spark: SparkSession, path: Paths, info: list[str] | None = None) -> DataFrame:
+    """One row per site and ALT allele, multi-allelic sites split; `alt` is the allele's number from 1, `non_ref`
+    that of the <NON_REF> allele of a reference model, which gives no row beside others. info: INFO keys to read, None for all."""
+    t = _vcf_text(spark, path)
+    lines = t.select(F.regexp_replace("value", "\r$", "").alias("value"), "_file", *_task(t)).where((F.trim("value") != "") & ~F.col("value").startswith("#"))
+    lines = lines.withColumn("c", F.split("value", "\t", -1)).where(F.size("c") >= 8)
+    every = F.split(F.col("c")[4], ",")
+    alts = F.filter(every, lambda a: a != "<NON_REF>")
     alts = F.when(F.size(alts) == 0, F.array(F.lit(None).cast("string"))).otherwise(alts)
-    kv = F.transform(F.filter(F.split(F.col("c")[7], ";"), lambda x: (x != ".") & (x != "")), lambda x: F.struct(F.regexp_extract(x, "^([^=]*)", 1).alias("key"), F.when(x.contains("="), F.regexp_replace(x, "^[^=]*=", "")).otherwise("true").alias("value")))
-    return lines.withColumn("info", last_wins(kv)).withColumn("n_alt", F.size(alts)).select("*", F.posexplode(alts).alias("i", "allele")).withColumn("alt", F.col("i") + 1)
+    kept = F.filter(F.split(F.col("c")[7], ";"), lambda x: (x != ".") & (x != ""))
+    kv = F.transform(kept, lambda x: F.struct(F.regexp_extract(x, "^([^=]*)", 1).alias("key"), F.when(x.contains("="), F.regexp_replace(x, "^[^=]*=", "")).otherwise("true").alias("value")))
+    if info is not None:
+        kv = F.filter(kv, lambda x: x["key"].isin(*info))
+    out = lines.withColumn("info", last_wins(kv)).withColumns({"n_alt": F.size(alts), "n_all": F.size(every), "non_ref": F.nullif(F.array_position(every, "<NON_REF>"), F.lit(0))})
+    return out.select("*", F.posexplode(alts).alias("i", "allele")).withColumn("alt", F.col("i") + 1)
 
 
-def _variant(s: DataFrame) -> Column:
+def _variant(numbers: dict[str, str]) -> Column:
     c, info = F.col("c"), lambda k: F.try_element_at("info", F.lit(k))
     start = c[1].try_cast("long") - 1
     end = F.coalesce(info("END").try_cast("long"), start + F.length(c[3]))
     # Per-allele lists: A has one value per ALT, R one for the reference first.
     per_alt = lambda k: F.get(F.split(info(k), ","), F.col("i"))
     ref_of, alt_of = (lambda k: F.get(F.split(info(k), ","), F.lit(0)).try_cast("int")), (lambda k: F.get(F.split(info(k), ","), F.col("alt")).try_cast("int"))
+    rest = F.map_filter("info", lambda k, v: ~k.isin(*[x for x in INFO_KNOWN if x != "DP"]))
+
+    def of_allele(number: str, at: Column):
+        keys = [k for k, n in numbers.items() if n == number]
+        return lambda k, v: F.when(k.isin(*keys), F.coalesce(F.get(F.split(v, ","), at), v)).otherwise(v)
+
+    rest = F.transform_values(F.transform_values(rest, of_allele("A", F.col("i"))), of_allele("R", F.col("alt"))) if numbers else rest
     passed = F.when(c[6] == ".", None).otherwise(c[6] == "PASS")
     annotation = F.struct(
         info("AA").alias("ancestralAllele"), *[(F.coalesce(info(k), F.lit("")) == "true").alias(n) for n, k in INFO_FLAGS.items()], per_alt("AC").try_cast("int").alias("alleleCount"), per_alt("AF").try_cast("float").alias("alleleFrequency"), per_alt("CIGAR").alias("cigar"),
         alt_of("AD").alias("readDepth"), ref_of("AD").alias("referenceReadDepth"), alt_of("ADF").alias("forwardReadDepth"), ref_of("ADF").alias("referenceForwardReadDepth"), alt_of("ADR").alias("reverseReadDepth"), ref_of("ADR").alias("referenceReverseReadDepth"),
-        F.filter(parse_effects(info("ANN")), lambda e: e["alternateAllele"].eqNullSafe(F.col("allele"))).alias("transcriptEffects"), F.map_filter("info", lambda k, v: ~k.isin(*[x for x in INFO_KNOWN if x != "DP"])).alias("attributes"),
+        F.filter(parse_effects(info("ANN")), lambda e: e["alternateAllele"].eqNullSafe(F.col("allele"))).alias("transcriptEffects"), rest.alias("attributes"),
     )
     return F.struct(
         c[0].alias("referenceName"), start.alias("start"), end.alias("end"), F.when(c[2] != ".", F.split(c[2], ";")).alias("names"), c[3].alias("referenceAllele"), F.nullif(F.col("allele"), F.lit(".")).alias("alternateAllele"), F.when(c[5] != ".", c[5].try_cast("double")).alias("quality"), (F.col("n_alt") > 1).alias("splitFromMultiAllelic"),
@@ -251,32 +271,44 @@ def _variant(s: DataFrame) -> Column:
     )
 
 
-def read_variants(spark: SparkSession, path: Paths) -> DataFrame:
-    s = _sites(spark, path)
-    return _columns(s.select(_variant(s).alias("v"), *_task(s)).select("v.*", *_task(s)), "variant")
-
-
-def read_genotypes(spark: SparkSession, path: Paths) -> DataFrame:
-    """One row per variant and sample. PL become log success probabilities, numbers of a multi-allelic
-    site those of the reference and this allele; keys without a column are attributes."""
-    _, samples = vcf_header(spark, path)
-    s = _sites(spark, path).where(F.size("c") > 9)
-    s = s.withColumn("variant", _variant(s)).select("variant", "c", "alt", "n_alt", "i", F.posexplode(F.slice("c", 10, F.size("c") - 9)).alias("at", "call"))
-    sample = F.get(F.array(*[F.lit(x) for x in samples]), F.col("at"))
+def read_variants(spark: SparkSession, path: Paths, info: list[str] | None = None) -> DataFrame:
+    """info: the INFO keys to read; the others are left out."""
+    s = _sites(spark, path, info)
+    # Lines that another program writes are read once, so they have no header to look into first.
+    numbers = {} if TASK in s.columns else _numbers(vcf_header(spark, path)[0])
+    return _columns(s.select(_variant(numbers).alias("v"), *_task(s)).select("v.*", *_task(s)), "variant")
+
+
+def read_genotypes(spark: SparkSession, path: Paths, info: list[str] | None = None, formats: list[str] | None = None) -> DataFrame:
+    """One row per variant and sample, the samples named by the header of the file that a line stands in. PL become
+    log success probabilities: genotypeLikelihoods of the reference and this allele, nonReferenceLikelihoods of the
+    reference and <NON_REF>. Keys without a column are attributes. info, formats: the keys to read, None for all."""
+    heads = _vcf_text(spark, path).where(F.col("value").startswith("#CHROM")).select("_file", F.split(F.regexp_replace("value", "\r$", ""), "\t").alias("_h"))
+    heads = heads.select("_file", F.slice("_h", 10, F.greatest(F.size("_h") - 9, F.lit(1))).alias("_samples")).distinct()
+    if isinstance(path, DataFrame) and heads.limit(2).count() > 1:
+        raise ValueError("lines under headers with other samples; give the files")
+    s = _sites(spark, path, info).where(F.size("c") > 9)
+    s = s.withColumn("variant", _variant(_numbers(vcf_header(spark, path)[0]))).withColumn("_file", F.coalesce("_file", F.lit("")))
+    # One row of names per file.
+    s = join_bounded(s, heads.withColumn("_file", F.coalesce("_file", F.lit(""))), ["_file"], "left", max_rows=50_000, salt_of="value")
+    s = s.select("variant", "c", "alt", "n_all", "non_ref", "i", "_samples", F.posexplode(F.slice("c", 10, F.size("c") - 9)).alias("at", "call"))
+    sample = F.get("_samples", F.col("at"))
     kv = F.arrays_zip(F.split(F.col("c")[8], ":").alias("key"), F.split("call", ":").alias("value"))
-    f = s.withColumn("f", last_wins(F.filter(F.transform(kv, lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"))), lambda x: x["value"].isNotNull() & (x["value"] != "."))))
+    wanted = lambda x: F.lit(True) if formats is None else x["key"].isin(*formats)
+    f = s.withColumn("f", last_wins(F.filter(F.transform(kv, lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"))), lambda x: x["value"].isNotNull() & (x["value"] != ".") & wanted(x))))
     of = lambda k: F.try_element_at("f", F.lit(k))
     ints = lambda k: F.transform(F.split(of(k), ","), lambda x: x.try_cast("int"))
     allele = lambda a: F.when(a == ".", "NO_CALL").when(a == "0", "REF").when(a == F.col("alt").cast("string"), "ALT").otherwise("OTHER_ALT")
     pl = ints("PL")
     # Genotype j/k of a site has place k * (k + 1) / 2 + j: here the ones of reference and this allele.
-    a = F.col("alt")
-    mine = F.when(F.col("n_alt") == 1, pl).otherwise(F.array(*[F.get(pl, F.floor(x).cast("int")) for x in (F.lit(0), a * (a + 1) / 2, a * (a + 1) / 2 + a)]))
+    with_reference = lambda a: F.array(*[F.get(pl, F.floor(x).cast("int")) for x in (F.lit(0), a * (a + 1) / 2, a * (a + 1) / 2 + a)])
+    mine = F.when(F.col("n_all") == 1, pl).otherwise(with_reference(F.col("alt")))
+    logs = lambda p: F.transform(p, lambda x: -x.cast("double") * F.lit(0.2302585092994046))
     ft = of("FT")
     out = f.select(
         "variant", F.col("variant.referenceName").alias("referenceName"), F.col("variant.start").alias("start"), F.col("variant.end").alias("end"), sample.alias("sampleId"), F.transform(F.split(F.coalesce(of("GT"), F.lit("./.")), "[/|]"), allele).alias("alleles"),
         F.get(ints("AD"), F.lit(0)).alias("referenceReadDepth"), F.get(ints("AD"), F.col("alt")).alias("alternateReadDepth"), of("DP").try_cast("int").alias("readDepth"), of("MIN_DP").try_cast("int").alias("minReadDepth"), of("GQ").try_cast("int").alias("genotypeQuality"),
-        F.when(of("PL").isNotNull(), F.transform(mine, lambda p: -p.cast("double") * F.lit(0.2302585092994046))).alias("genotypeLikelihoods"), ints("SB").alias("strandBiasComponents"), F.coalesce(of("GT"), F.lit("")).contains("|").alias("phased"), of("PS").try_cast("int").alias("phaseSetId"), of("PQ").try_cast("int").alias("phaseQuality"),
+        F.when(of("PL").isNotNull(), logs(mine)).alias("genotypeLikelihoods"), F.when(of("PL").isNotNull() & F.col("non_ref").isNotNull(), logs(with_reference(F.col("non_ref")))).alias("nonReferenceLikelihoods"), ints("SB").alias("strandBiasComponents"), F.coalesce(of("GT"), F.lit("")).contains("|").alias("phased"), of("PS").try_cast("int").alias("phaseSetId"), of("PQ").try_cast("int").alias("phaseQuality"),
         F.struct(ft.isNotNull().alias("filtersApplied"), (ft == "PASS").alias("filtersPassed"), F.when(ft.isNotNull() & (ft != "PASS"), F.split(ft, ";")).otherwise(F.array().cast("array<string>")).alias("filtersFailed"), of("FS").try_cast("float").alias("fisherStrandBiasPValue"), of("MQ").try_cast("float").alias("rmsMapQ"), of("MQ0").try_cast("int").alias("mapq0Reads"), F.map_filter("f", lambda k, v: ~k.isin(*FORMAT_KNOWN)).alias("attributes")).alias("variantCallingAnnotations"),
     )
     return out
@@ -302,7 +334,6 @@ def read_dictionary(spark: SparkSession, path: str) -> list[tuple[str, int]]:
 def audit_header(lines: list[str], supported: list[str], stringency: str = "strict") -> list[str]:
     """Header lines with those of the supported INFO and FORMAT fields put in. A line that says otherwise of a
     supported field (Number or Type) is an error (strict), or replaced (lenient, silent)."""
-    import re
     import warnings
 
     ident = lambda x: re.match(r"##(INFO|FORMAT|FILTER)=<ID=([^,>]+)", x)

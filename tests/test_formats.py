@@ -11,6 +11,7 @@ from strandlake import cli
 from strandlake.frame import GenomicFrame, Meta
 from strandlake.functions import intervals as iv
 from strandlake.operators.pipe import pipe
+from strandlake.operators.reads import flags, flagstat
 from strandlake.operators.variants import to_variant_contexts
 from strandlake.sources import binary, load, parquet, sinks, text
 from strandlake.streaming import live
@@ -40,6 +41,12 @@ def test_sam_round_trip(spark, tmp_path):
     a = r["r1", 0]
     assert (a.start, a.end, a.referenceName, a.mateReferenceName, a.mateAlignmentStart, a.mismatchingPositions, a.attributes, a.readGroupId, a.readGroupSampleId, a.insertSize) == (10, 18, "1", "1", 100, "8", "NM:i:0", "g", "s", 190)
     assert a.properPair and not a.readNegativeStrand and r["r1", 1].readNegativeStrand and not r["r2", 0].readMapped and r["r2", 0].qualityScores is None
+    assert a.primaryAlignment and r["r2", 0].primaryAlignment
+    pairs = "u1\t77\t*\t0\t0\t*\t*\t0\t0\tAC\tII\nu1\t141\t*\t0\t0\t*\t*\t0\t0\tAC\tII\nh1\t73\t1\t5\t60\t2M\t*\t0\t0\tAC\tII\nh1\t133\t*\t0\t0\t*\t*\t0\t0\tAC\tII\ns1\t2048\t1\t5\t60\t3H2M\t*\t0\t0\tAC\tII\n"
+    u = load.load_alignments(spark, put(tmp_path / "u.sam", pairs)).df
+    stat = flagstat(u).collect()[0]
+    assert (stat.total, stat.pairedInSequencing, stat.read1, stat.read2, stat.singleton) == (5, 4, 2, 2, 1)
+    assert {x.basesTrimmedFromStart for x in u.where("supplementaryAlignment").collect()} == {3} and sorted(x.flags for x in flags(u).collect()) == [73, 77, 133, 141, 2048]
     sinks.save_sam(f.df, str(tmp_path / "b.sam"), f.meta.references, [dict(g) for g in f.meta.read_groups], single=True)
     g = load.load_alignments(spark, str(tmp_path / "b.sam"))
     assert sorted(map(str, g.df.collect())) == sorted(map(str, f.df.collect())) and g.meta.references == f.meta.references
@@ -66,6 +73,92 @@ def test_bam(spark, tmp_path):
     assert r["r1"].readNegativeStrand and not r["r2"].readMapped and r["r2"].start is None
 
 
+def reads_for_bam(spark, n=3000):
+    """Reads of several lengths, unmapped ones, ones with tags, in the order of their position."""
+    i = F.col("id")
+    bases = F.expr("substring(repeat(concat(substring('ACGTN', 1 + cast(id % 5 as int), 1), 'GATTACA'), 9), 1, cast(20 + id % 41 as int))")
+    mapped = i % 7 != 0
+    df = spark.range(n).select(
+        i, F.concat(F.lit("read:"), i).alias("readName"), bases.alias("sequence"), F.when(i % 11 != 0, F.repeat(F.lit("F"), F.length(bases))).alias("qualityScores"), F.when(mapped, F.when(i < n // 2, "1").otherwise("2")).alias("referenceName"), F.when(mapped, i * 40).alias("start"),
+        F.when(mapped, i * 40 + F.length(bases)).alias("end"), F.when(mapped, F.concat(F.length(bases), F.lit("M"))).alias("cigar"), F.when(mapped, (i % 60).cast("int")).alias("mappingQuality"), F.lit("g").alias("readGroupId"), F.lit("s").alias("readGroupSampleId"), F.lit(True).alias("readPaired"),
+        mapped.alias("readMapped"), (i % 3 == 0).alias("mateMapped"), (i % 2).cast("int").alias("readInFragment"), F.lit(True).alias("primaryAlignment"), (i % 5 == 0).alias("duplicateRead"), F.lit(False).alias("supplementaryAlignment"), F.concat(F.lit("NM:i:"), i, F.lit("\tXF:f:1.5\tXB:B:s,-1,7\tXA:A:q")).alias("attributes"),
+    )
+    return text._columns(df.coalesce(1).orderBy("id"), "alignment")
+
+
+def test_bam_is_cut_into_ranges(spark, tmp_path):
+    """A file of many blocks, in ranges far smaller than a block and larger: every record once, whatever the cuts."""
+    df, refs, groups = reads_for_bam(spark), [("1", 10**6), ("2", 10**6)], [{"ID": "g", "SM": "s"}]
+    p = str(tmp_path / "a.bam")
+    binary.save_bam(df, p, refs, groups, single=True)
+    part = next(tmp_path.glob("a.bam/part-*"))
+    assert part.read_bytes().endswith(binary.BGZF_END) and part.stat().st_size > 60_000
+    f = load.load_alignments(spark, p)
+    assert f.meta.references == tuple(refs) and f.meta.samples == ("s",)
+    lossy = ["mateNegativeStrand", "readNegativeStrand", "properPair", "failedVendorQualityChecks", "basesTrimmedFromStart", "basesTrimmedFromEnd"]
+    want = sorted(map(str, df.drop(*lossy).collect()))
+    for size in (1 << 26, 20_000, 3_000):
+        assert sorted(map(str, binary.read_bam(spark, p, size=size).drop(*lossy).collect())) == want, size
+    binary.save_bam(df.repartition(3), str(tmp_path / "b.bam"), refs, groups)
+    assert sorted(map(str, load.load_alignments(spark, str(tmp_path / "b.bam")).df.drop(*lossy).collect())) == want
+
+
+def index_of(path):
+    """The index of a BAM file, made the slow way."""
+    h, bins, linear = binary.bam_header(str(path)), {}, {}
+    with open(path, "rb") as f:
+        s = binary.Inflated(f, h.first >> 16)
+        s.take(h.first & 0xFFFF)
+        while len(head := (at := s.place(), s.take(4))[1]) == 4:
+            r = s.take(struct.unpack("<i", head)[0])
+            ref, pos, _, _, number = struct.unpack_from("<iiBBH", r)
+            if ref >= 0:
+                bins.setdefault(ref, {}).setdefault(number, []).append((at, s.place()))
+                for w in (pos >> 14, pos + 60 >> 14):
+                    linear.setdefault(ref, {}).setdefault(w, at)
+    out = b"BAI\1" + struct.pack("<i", len(h.names))
+    for ref in range(len(h.names)):
+        out += struct.pack("<i", len(bins.get(ref, {})))
+        for number, chunks in bins.get(ref, {}).items():
+            out += struct.pack("<Ii", number, len(chunks)) + b"".join(struct.pack("<QQ", *c) for c in chunks)
+        last = max(linear.get(ref, {-1: 0}))
+        out += struct.pack("<i", last + 1) + b"".join(struct.pack("<Q", linear[ref].get(w, 0)) for w in range(last + 1))
+    return out
+
+
+def test_bam_by_its_index(spark, tmp_path):
+    p = tmp_path / "a.bam"
+    binary.save_bam(reads_for_bam(spark), str(tmp_path / "parts"), [("1", 10**6), ("2", 10**6)], single=True)
+    p.write_bytes(next(tmp_path.glob("parts/part-*")).read_bytes())
+    whole = {r.readName for r in load.load_alignments(spark, str(p), regions="1:20000-23000,2:90000+").df.collect()}
+    (tmp_path / "a.bam.bai").write_bytes(index_of(p))
+    f = load.load_alignments(spark, str(p), regions="1:20000-23000,2:90000+")
+    assert len(whole) > 500 and {r.readName for r in f.df.collect()} == whole
+    few = binary.read_bam(spark, str(p), [("1", 20_000, 23_000)])
+    assert few.where("start < 23000 and end > 20000").count() > 50 and few.count() < 1500 and binary.read_bam(spark, str(p), [("none", 0, 9)]).count() == 0
+
+
+def test_fastq_is_cut_into_ranges(spark, tmp_path):
+    """Quality lines that begin with @ and +, blank lines, carriage returns: every record once, whatever the cuts."""
+    import random
+
+    rng, out, want = random.Random(3), "", []
+    for i in range(120):
+        n = rng.choice((0, 1, 7, 30))
+        seq, qual = "".join(rng.choice("ACGTN") for _ in range(n)), "".join(rng.choice("@+I") for _ in range(n))
+        end = rng.choice(("\n", "\r\n"))
+        out += end.join((f"@r{i} x", seq, "+", qual, "")) + ("\n" if n and i % 10 == 0 else "")
+        want.append((f"r{i} x", seq, qual))
+    p = put(tmp_path / "a.fq", out)
+    for size in (1 << 26, 200, 37, 5):
+        got = text._fastq_records(spark, p, size=size).collect()
+        assert sorted(map(tuple, got)) == sorted(want), size
+    n = {r["head"]: r.number for r in text._fastq_records(spark, p, numbered=True, size=150).collect()}
+    assert n == {f"r{i} x": i for i in range(120)}
+    (tmp_path / "b.fq.gz").write_bytes(gzip.compress(out[:900].encode()) + gzip.compress(out[900:].encode()))
+    assert text._fastq_records(spark, str(tmp_path / "b.fq.gz"), size=50).count() == 120
+
+
 def two_bit(path, seq="ACGTNNACGTTTacgTA"):
     code = "".join(f"{'TCAG'.index(c.upper() if c.upper() != 'N' else 'T'):02b}" for c in seq).ljust(-(-len(seq) // 4) * 8, "0")
     body = struct.pack("<II", len(seq), 1) + struct.pack("<II", 4, 2) + struct.pack("<I", 1) + struct.pack("<II", 12, 3) + struct.pack("<I", 0) + int(code, 2).to_bytes(len(code) // 8, "big")
@@ -75,9 +168,10 @@ def two_bit(path, seq="ACGTNNACGTTTacgTA"):
 
 def test_two_bit(spark, tmp_path):
     p = two_bit(tmp_path / "a.2bit")
-    data = (tmp_path / "a.2bit").read_bytes()
-    assert binary.two_bit_sequence(data, binary.two_bit_index(data)["q"], mask=True) == "ACGTNNACGTTTacgTA"
-    assert binary.two_bit_sequence(data, 22, 3, 9) == "TNNACG"
+    with open(p, "rb") as f:
+        order, index = binary.two_bit_index(f)
+        assert binary.two_bit_sequence(f, order, index["q"], mask=True) == "ACGTNNACGTTTacgTA"
+        assert binary.two_bit_sequence(f, order, 22, 3, 9) == "TNNACG"
     s = load.load_slices(spark, p, 6).df.orderBy("start").collect()
     assert [x.sequence for x in s] == ["ACGTNN", "ACGTTT", "ACGTA"] and s[2].totalLength == 17
 
@@ -97,6 +191,10 @@ def test_fastq_and_fasta(spark, tmp_path):
     assert {(r.sequence, r.readInFragment) for r in i.collect()} == {("A", 0), ("C", 1)}
     with pytest.raises(Exception, match="no FASTQ record"):
         load.load_alignments(spark, put(tmp_path / "d.fq", "@x\nAC\n+\nI\n")).df.collect()
+    odd = load.load_sequences(spark, put(tmp_path / "o.fa", ">s1 variant A>G of x\r\nAC\r\nGT\r\n>s2 >> y\nTT\n"))
+    assert {r.name: (r.description, r.sequence) for r in odd.df.collect()} == {"s1": ("variant A>G of x", "ACGT"), "s2": (">> y", "TT")}
+    un = load.load_alignments(spark, str(tmp_path / "o.fa")).df.collect()
+    assert {(r.readName, r.sequence, r.readMapped) for r in un} == {("s1", "ACGT", False), ("s2", "TT", False)}
     fa = load.load_sequences(spark, put(tmp_path / "a.fa", ">s1 some words\nACGT\nAC\n>s2\n\n>s3\nTTTT\n"))
     assert {r.name: (r.description, r.sequence) for r in fa.df.collect()} == {"s1": ("some words", "ACGTAC"), "s2": (None, ""), "s3": (None, "TTTT")}
     sinks.save_fasta(fa.df, str(tmp_path / "b.fa"), width=4)
@@ -158,6 +256,40 @@ def test_vcf(spark, tmp_path):
     assert again.where("sampleId = 's1' and variant.alternateAllele = 'C'").collect()[0].alleles == ["REF", "ALT"]
 
 
+def test_vcf_files_with_other_samples(spark, tmp_path):
+    """Names come from each file's own header, also where the same samples stand in another order."""
+    head = "##fileformat=VCFv4.2\n##INFO=<ID=QA,Number=A,Type=Integer,Description=\"\">\n##INFO=<ID=QR,Number=R,Type=Integer,Description=\"\">\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t{}\n"
+    put(tmp_path / "a.vcf", head.format("A\tB") + "1\t11\t.\tA\tC,G\t.\t.\tQA=5,6;QR=1,2,3;Z=7,8\tGT:DP\t0/1:1\t1/1:2\n")
+    put(tmp_path / "b.vcf", head.format("C\tD") + "1\t12\t.\tA\tC\t.\t.\t.\tGT:DP\t0/1:3\t1/1:4\n")
+    put(tmp_path / "c.vcf", head.format("B\tA") + "1\t13\t.\tA\tC,<NON_REF>\t.\t.\t.\tGT:DP:PL\t0/1:5:0,1,2,3,4,5\t1/1:6:9,8,7,6,5,4\n")
+    f = load.load_genotypes(spark, str(tmp_path / "*.vcf"))
+    got = {(r.start, r.variant.alternateAllele, r.sampleId): r for r in f.df.collect()}
+    assert f.meta.samples == ("A", "B", "C", "D") and len(got) == 8
+    assert {k[::2]: r.readDepth for k, r in got.items()} == {(10, "A"): 1, (10, "B"): 2, (11, "C"): 3, (11, "D"): 4, (12, "B"): 5, (12, "A"): 6}
+    assert got[10, "G", "A"].variant.annotation.attributes == {"QA": "6", "QR": "3", "Z": "7,8"}
+    q = got[12, "C", "B"]
+    assert [round(-x / 0.2302585) for x in q.genotypeLikelihoods] == [0, 1, 2] and [round(-x / 0.2302585) for x in q.nonReferenceLikelihoods] == [0, 3, 5] and got[11, "C", "C"].nonReferenceLikelihoods is None
+    some = load.load_genotypes(spark, str(tmp_path / "a.vcf"), info=["QA"], formats=["GT"]).df.first()
+    assert some.readDepth is None and set(some.variant.annotation.attributes) == {"QA"}
+    c = load.load_variant_contexts(spark, str(tmp_path / "b.vcf")).df.collect()
+    assert len(c) == 1 and [g.sampleId for g in c[0].genotypes] == ["C", "D"]
+    bare = put(tmp_path / "d.vcf", "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\n1\t5\t.\tA\tC\t.\t.\t.\n")
+    assert load.load_variant_contexts(spark, bare).df.first().genotypes == []
+
+
+def test_many_regions_mean_the_same_as_few(spark):
+    from strandlake.operators.joins import Fields
+
+    df = spark.createDataFrame([("1", 5, 20, "+"), ("1", 30, 60, "-"), ("2", 5, 9, "+")], "referenceName string, start long, end long, strand string")
+    f = GenomicFrame(df, fields=Fields(strand="strand"))
+    for n in (200, 201):
+        assert f.filter_by_overlapping_regions([("1", 0, 100)] + [("9", i, i + 1) for i in range(n - 1)]).df.count() == 2
+        assert f.filter_by_overlapping_regions([("1", 10, iv.OPEN_END)] + [("9", i, i + 1) for i in range(n - 1)]).df.count() == 2
+    p = f.prepare(flank=1)
+    g = GenomicFrame(df.drop("strand").where("start = 30"))
+    assert f.broadcast_region_join_against(p).count() == 3 and g.right_outer_broadcast_region_join_against(GenomicFrame(df.drop("strand")).prepare()).count() == 1
+
+
 def features(spark, n=60):
     return spark.range(n).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("referenceName"), (F.col("id") * 100_000).alias("start"), (F.col("id") * 100_000 + 50).alias("end"))
 

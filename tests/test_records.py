@@ -1,6 +1,7 @@
 """Read, coverage, sequence, feature and variant operators on small inline records."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -116,6 +117,26 @@ def test_scalars(spark):
     assert {k: (v.type, v.value) for k, v in t.items()} == {"NM": ("i", "3"), "XX": ("Z", "a:b")} and value(spark, lambda x: tx.tag_value(x, "XX"), "NM:i:3\tXX:Z:a:b") == "a:b"
 
 
+def plain_alignment(x, y, match=1.0, gap=-0.333):
+    """Cell by cell."""
+    score, move = {}, {}
+    for i in range(len(x) + 1):
+        for j in range(len(y) + 1):
+            if not (i and j):
+                score[i, j], move[i, j] = 0.0, ""
+                continue
+            d, u, l = score[i - 1, j - 1] + (match if x[i - 1] == y[j - 1] else gap), score[i - 1, j] + gap, score[i, j - 1] + gap
+            score[i, j], move[i, j] = (d, "M") if d >= max(u, l) and d > 0 else (u, "I") if u >= l and u > 0 else (l, "D") if l > 0 else (0.0, "")
+    i, j = max(score, key=lambda k: (score[k], k))
+    end, ops = (i, j), []
+    while move[i, j]:
+        ops.append(move[i, j])
+        i, j = i - (ops[-1] != "D"), j - (ops[-1] != "I")
+    cut = lambda a, o, b: mt.format_cigar([(a, "S"), *((1, k) for k in o), (b, "S")])
+    o = ops[::-1]
+    return cut(i, o, len(x) - end[0]), cut(j, [{"I": "D", "D": "I"}.get(k, k) for k in o], len(y) - end[1]), i, j
+
+
 def test_md_tags_and_alignment():
     md = mt.compute_md("ACGTTT", "3M1I2M", 5, "ACCTT", 5)
     assert md == "2C2" and mt.reference_of("ACGTTT", "3M1I2M", md, 5) == "ACCTT"
@@ -125,6 +146,14 @@ def test_md_tags_and_alignment():
     assert mt.left_normalize("CCAAG", "3M1D2M", "3^A2", 0) == "2M1D3M"
     assert mt.smith_waterman("ACGT", "TTACGTTT") == ("4M", "2S4M2S", 0, 2)
     assert mt.smith_waterman("ACGTACGT", "ACGTTACGT")[0] in ("4M1D4M", "3M1D5M", "5M1D3M")
+    # An indel doesn't move over a mismatch: the bases before it are those of the read.
+    assert mt.left_normalize("GGTAACACC", "7M1D2M", "5A1^A2", 0) == "6M1D3M"
+    assert mt.smith_waterman("AACC", "AAGCC") == ("2M1D2M", "2M1I2M", 0, 0) and mt.smith_waterman("AC", "ACTAC")[1] == "3S2M"
+    rng = random.Random(5)
+    for _ in range(60):
+        x, y = ("".join(rng.choice("ACG") for _ in range(rng.randint(0, 9))) for _ in range(2))
+        assert mt.smith_waterman(x, y) == plain_alignment(x, y), (x, y)
+    assert mt.move_alignment("ACGTTT", "3M1I2M", "2C2", 5, "1S2M1I2M", 6) == "1C2"
     c = mt.consensus_of("ACGGT", 10, "2M2I1M")
     assert (c.bases, c.start, c.end) == ("GG", 12, 12) and c.insert_into("AACCC", 10) == "AAGGCCC" and mt.consensus_of("AC", 0, "2M") is None
     for bad in ("3?", "10X^"):
