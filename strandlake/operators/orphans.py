@@ -1,42 +1,71 @@
 """References to records that do not exist at the time of the reference.
 
-Parent lives are merged to disjoint runs of the integer time axis per key, and integer parent
-keys to contiguous runs of the key axis. A reference is matched as of: to the last run that
-begins at or before it. It is an orphan if there is none, or if it lies beyond that run's end.
+Parent keys are compressed to contiguous runs of integers, and a reference is matched as of: to the
+last run that begins at or before it. Beyond that run's end it is an orphan. A text key is a stem and
+the number it ends in, so names that are numbered through are few runs however many they are. A key
+that exists is then placed on the integer axis of time in the same way: the lives of a key are merged
+to disjoint runs of microseconds, and the reference is an orphan if there is no run that begins at or
+before it, or if it lies beyond that run's end.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strandlake.plans.runtime import join_bounded, micros
+from strandlake.plans.runtime import cut_lineage, join_bounded, micros
 
 FOREVER = 2**63 - 1
 ALWAYS = -(2**63)
 KEY_BLOCK = 1 << 16
 
 
-def integer_runs(parents: DataFrame, key: str) -> DataFrame:
-    """Contiguous runs (block, lo, hi, next_lo) of the integers in `key`.
+def integer_key(key: Column, kind: T.DataType) -> tuple[Column, Column]:
+    """(stem, number) of a key, one to one; both null for a null key.
+
+    An integer has the empty stem. A text has as its number the up to 18 digits it ends in, and as its stem
+    what stands before and how many they are (numbers may be padded with zeros); without any, it is all stem.
+    """
+    if isinstance(kind, T.IntegralType):
+        return F.when(key.isNotNull(), F.lit("")), key.cast("long")
+    digits = F.regexp_extract(key, "([0-9]{1,18})$", 1)
+    n = F.length(digits)
+    return F.when(n == 0, key).otherwise(F.concat(F.left(key, F.length(key) - n), F.lit("#"), n)), F.when(n == 0, F.lit(0).cast("long")).otherwise(digits.cast("long"))
+
+
+def key_runs(keys: DataFrame) -> DataFrame:
+    """Contiguous runs (stem, block, lo, hi, next_lo) of the integers n of each stem.
 
     Repeated and null keys count once and not at all. Runs are cut at multiples of KEY_BLOCK, so
-    every window holds at most KEY_BLOCK rows whatever the number of parents; `block` is the
+    every window holds at most KEY_BLOCK rows whatever the number of parents; (stem, block) is the
     join key of the as-of match. An empty table has no runs.
     """
-    k = parents.select(F.col(key).cast("long").alias("k")).where("k is not null").distinct().withColumn("block", F.floor(F.col("k") / F.lit(KEY_BLOCK)))
-    inside = Window.partitionBy("block").orderBy("k")
-    runs = k.withColumn("island", F.col("k") - F.row_number().over(inside)).groupBy("block", "island").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
-    return runs.select("block", "lo", "hi", F.coalesce(F.lead("lo").over(Window.partitionBy("block").orderBy("lo")), F.lit(FOREVER)).alias("next_lo"))
+    k = keys.select("stem", "n").where("n is not null").distinct().withColumn("block", F.floor(F.col("n") / F.lit(KEY_BLOCK)))
+    inside = Window.partitionBy("stem", "block").orderBy("n")
+    runs = k.withColumn("island", F.col("n") - F.row_number().over(inside)).groupBy("stem", "block", "island").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    return runs.select("stem", "block", "lo", "hi", F.coalesce(F.lead("lo").over(Window.partitionBy("stem", "block").orderBy("lo")), F.lit(FOREVER)).alias("next_lo"))
+
+
+def in_run(refs: DataFrame, stem: str, n: str, runs: DataFrame, out: str, row_id: str | None = None) -> DataFrame:
+    """refs with a boolean `out`: whether the run that begins at or before (stem, n) reaches it. Runs are broadcast
+    if few, else joined with keys salted by row_id, as one block may hold a third of all references."""
+    r = runs.select(F.col("stem").alias(stem), F.col("block").alias("_block"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("next_lo").alias("_next"))
+    placed = refs.withColumn("_block", F.floor(F.col(n) / F.lit(KEY_BLOCK)))
+    matched = join_bounded(placed, r, [stem, "_block"], "left", salt_of=row_id or n, when=(F.col(n) >= F.col("_lo")) & (F.col(n) < F.col("_next")))
+    return matched.withColumn(out, F.coalesce(F.col(n) <= F.col("_hi"), F.lit(False))).drop("_block", "_lo", "_hi", "_next")
+
+
+def integer_runs(parents: DataFrame, key: str) -> DataFrame:
+    """key_runs of the integers in `key`, without a stem."""
+    return key_runs(parents.select(F.lit("").alias("stem"), F.col(key).cast("long").alias("n"))).drop("stem")
 
 
-def missing_integers(refs: DataFrame, ref: str, parents: DataFrame, key: str) -> DataFrame:
-    """Rows of refs whose integer `ref` is no parent key: as-of match to the preceding run start,
-    kept if there is none or the value lies beyond the run's end. Null references are no references."""
-    runs = integer_runs(parents, key).select(F.col("block").alias("_block"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("next_lo").alias("_next"))
-    r = refs.where(F.col(ref).isNotNull()).withColumn("_block", F.floor(F.col(ref) / F.lit(KEY_BLOCK)))
-    matched = r.join(runs, (r["_block"] == runs["_block"]) & (F.col(ref) >= runs["_lo"]) & (F.col(ref) < runs["_next"]), "left").drop(runs["_block"])
-    return matched.where(F.col("_hi").isNull() | (F.col(ref) > F.col("_hi"))).select(*refs.columns)
+def missing_integers(refs: DataFrame, ref: str, parents: DataFrame, key: str, row_id: str | None = None) -> DataFrame:
+    """Rows of refs whose integer `ref` is no parent key. Null references are no references."""
+    runs = integer_runs(parents, key).withColumn("stem", F.lit(""))
+    r = refs.where(F.col(ref).isNotNull()).withColumns({"_stem": F.lit(""), "_n": F.col(ref).cast("long")})
+    return in_run(r, "_stem", "_n", runs, "_there", row_id).where("not _there").select(*refs.columns)
 
 
 def life_runs(parents: DataFrame, key: Column, born: Column, died: Column) -> DataFrame:
@@ -60,20 +89,25 @@ def life_runs(parents: DataFrame, key: Column, born: Column, died: Column) -> Da
     return runs.select("k", "run_start", "run_end", F.coalesce(following, F.lit(FOREVER)).alias("next_start"))
 
 
-def orphan_flag(refs: DataFrame, key: Column, at: Column, runs: DataFrame, out: str, row_id: str, max_rows: int | None = None) -> DataFrame:
+def orphan_flag(refs: DataFrame, key: Column, at: Column, runs: DataFrame, out: str, row_id: str) -> DataFrame:
     """refs with a text column `out`: null where the reference holds, else why it is an orphan.
 
-    - unknown: the key has no life before that time at all
+    runs: as of life_runs.
+    - unknown: the key is in no run of keys, or has no life before that time at all
     - ended: the last life that began before it is over
     A null key is no reference and yields null. A null time cannot be placed: such a reference is
     judged at the beginning of time. Runs are broadcast if few, else joined with salted keys.
     """
     kind = runs.schema["k"].dataType
-    own = refs.withColumn("_k", key.cast(kind)).withColumn("_t", F.coalesce(micros(at), F.lit(ALWAYS)))
-    r = runs.select(F.col("k").alias("_k"), F.struct("run_start", "run_end", "next_start").alias("_run"))
-    # One row per key: the runs of a key are disjoint, so few; the last one starting by _t is the match.
-    packed = r.groupBy("_k").agg(F.sort_array(F.collect_list("_run")).alias("_runs"))
-    joined = join_bounded(own, packed, ["_k"], "left", *([max_rows] if max_rows else []), salt_of=row_id)
-    last = F.try_element_at(F.filter("_runs", lambda x: x["run_start"] <= F.col("_t")), F.lit(-1))
-    why = F.when(F.col("_k").isNull(), None).when(F.col("_runs").isNull() | last.isNull(), "unknown").when(F.col("_t") >= last["run_end"], "ended")
-    return joined.withColumn(out, why).drop("_k", "_t", "_runs")
+    stem, n = integer_key(F.col("k"), kind)
+    lives = cut_lineage(runs.select(stem.alias("stem"), n.alias("n"), "run_start", "run_end", "next_start"))
+    own = refs.withColumn("_k", key.cast(kind))
+    stem, n = integer_key(F.col("_k"), kind)
+    own = own.withColumns({"_stem": stem, "_n": n, "_t": F.coalesce(micros(at), F.lit(ALWAYS))}).drop("_k")
+    placed = in_run(own, "_stem", "_n", key_runs(lives), "_there", row_id)
+    # The runs of a key are disjoint, so at most one begins at or before _t with no other begun since.
+    r = lives.select(F.col("stem").alias("_stem"), F.col("n").alias("_key"), F.col("run_start").alias("_run"), F.col("run_end").alias("_end"), F.col("next_start").alias("_next"))
+    placed = placed.withColumn("_key", F.when(F.col("_there"), F.col("_n")))
+    joined = join_bounded(placed, r, ["_stem", "_key"], "left", salt_of=row_id, when=(F.col("_t") >= F.col("_run")) & (F.col("_t") < F.col("_next")))
+    why = F.when(F.col("_stem").isNull(), None).when(F.col("_end").isNull(), "unknown").when(F.col("_t") >= F.col("_end"), "ended")
+    return joined.withColumn(out, why).drop("_stem", "_n", "_t", "_there", "_key", "_run", "_end", "_next")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 
@@ -32,9 +33,29 @@ def shared_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", named)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
+        own = sc._jvm.org.apache.hadoop.fs.Path(sc.getCheckpointDir())
+        # Spark makes a folder of the application's own in the shared one; it goes when the application does.
+        atexit.register(_delete, own.getFileSystem(sc._jsc.hadoopConfiguration()), own)
     return named
 
 
+def _delete(fs, path) -> None:
+    try:
+        fs.delete(path, True)
+    except Exception:  # noqa: BLE001  (the JVM may be gone first; nothing else is lost)
+        pass
+
+
+def drop_checkpoints(spark: SparkSession) -> None:
+    """Removes what cut_lineage has written so far. Only for when no result that builds on it is still to be computed."""
+    at = spark.sparkContext.getCheckpointDir()
+    if at is not None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.delete(path, True)
+        fs.mkdirs(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from there: a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
@@ -48,22 +69,29 @@ def small_enough(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int =
     return r["n"] <= max_rows and r["b"] <= max_bytes
 
 
-def join_bounded(big: DataFrame, small: DataFrame, on: list[str], how: str, max_rows: int = BROADCAST_ROWS, salt_of: str | None = None, salts: int = 32) -> DataFrame:
-    """Join that broadcasts `small` only when its row count is within the bound.
+def join_bounded(big: DataFrame, small: DataFrame, on: list[str], how: str, max_rows: int = BROADCAST_ROWS, salt_of: str | None = None, salts: int = 32, when: F.Column | None = None) -> DataFrame:
+    """Join that broadcasts `small` only when its rows and bytes are within the bounds.
 
-    Beyond the bound: a shuffle join on (on, salt). Rows of `big` get the salt from the hash of
+    Beyond them: a shuffle join on (on, salt). Rows of `big` get the salt from the hash of
     `salt_of`, `small` is repeated for each salt, so a key with a third of all rows is spread over
     `salts` tasks. how: left, inner, left_anti or left_semi (those keep their meaning under salting).
+    when: a further condition, by the names of both sides' other columns.
     """
     if how not in ("left", "inner", "left_anti", "left_semi"):
         raise ValueError(how)
     if small_enough(small, max_rows):
-        return big.join(F.broadcast(small), on, how)
-    if salt_of is None:
-        return big.join(small, on, how)
-    b = big.withColumn("_salt", F.pmod(F.xxhash64(salt_of), F.lit(salts)).cast("int"))
-    s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return b.join(s, [*on, "_salt"], how).drop("_salt")
+        small = F.broadcast(small)
+    elif salt_of is not None:
+        on = [*on, "_salt"]
+        big = big.withColumn("_salt", F.pmod(F.xxhash64(salt_of), F.lit(salts)).cast("int"))
+        small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if when is None:
+        return big.join(small, on, how).drop("_salt")
+    own = {c: f"_on_{i}" for i, c in enumerate(on)}
+    small = small.withColumnsRenamed(own)
+    for c, o in own.items():
+        when = when & (F.col(c) == F.col(o))
+    return big.join(small, when, how).drop("_salt", *own.values())
 
 
 def key_text(c) -> F.Column:
