@@ -19,17 +19,18 @@ def _keyed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return fg.best_rows(_keyed(spark, d)).select("group_id", "field_name", "fragment_id")
+    """By the fusion, the order of trust as its prior odds."""
+    return fg.fuse(_keyed(spark, d), trusted=True)[0].select("group_id", "field_name", "fragment_id")
 
 
 def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
     """The surviving record of each group, field by field; of its primary mapped reads the number."""
-    out = fg.survivors(table(spark, d, "fragments"), fg.best_rows(_keyed(spark, d)))
+    out = fg.survivors(table(spark, d, "fragments"), fg.fuse(_keyed(spark, d), trusted=True)[0])
     return out.withColumn("primary_mapped", F.coalesce(F.size("primary_mapped"), F.lit(-1)))
 
 
 def p1_fused(spark: SparkSession, d: str) -> DataFrame:
-    """Bayesian fusion with copy detection over the same groups."""
+    """The same groups by the votes alone, all sources alike at first."""
     return fg.fuse(_keyed(spark, d))[0]
 
 
@@ -138,15 +139,24 @@ def _coverage(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "coverage").select(F.coalesce(key_text("opt_sample_id"), F.lit("")).alias("sample_id"), F.coalesce(key_text("reference_name"), F.lit("")).alias("reference_name"), "cov_count", "loaded_at")
 
 
+_DAY = F.date_format("loaded_at", "yyyy-MM-dd")
+
+
 def p5_days(spark: SparkSession, d: str) -> DataFrame:
-    """The mergeable state: rows per sample, reference, loading day and grid cell."""
-    return pc.cell_counts(_coverage(spark, d), _KEYS, "cov_count", ERROR, F.date_format("loaded_at", "yyyy-MM-dd"))
+    """What each loading day hands on: its rows per sample, reference and segment between the percentiles."""
+    out = pc.day_counters(_coverage(spark, d), _KEYS, "cov_count", AT, ERROR, _DAY)
+    return out.withColumns({"low": F.round("low", 3), "high": F.round("high", 3)})
+
+
+def p5_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles from the counters of all loading days put together."""
+    days = pc.day_counters(_coverage(spark, d), _KEYS, "cov_count", AT, ERROR, _DAY)
+    return pc.from_counters(pc.merge_days(days, _KEYS), _KEYS, AT).select(*_KEYS, "percentile", F.round("value", 3).alias("value"), "n")
 
 
 def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of cov_count from the states of all loading days put together, within 0.0005."""
-    out = pc.percentiles(pc.merge_counts(p5_days(spark, d), _KEYS), _KEYS, AT, ERROR)
-    return out.withColumn("value", F.round("value", 3))
+    """Percentiles of cov_count, within 0.0005."""
+    return pc.percentiles(_coverage(spark, d), _KEYS, "cov_count", AT, ERROR).withColumn("value", F.round("value", 3))
 
 
 _P5 = f"""
@@ -159,7 +169,7 @@ QUERIES = {
     "p1_found": p1_found, "p1_survivors": p1_survivors, "p1_fused": p1_fused, "p1_sources": p1_sources, "p1_copying": p1_copying,
     "p2_found": p2_found, "p2_runs": p2_runs,
     "p4_found": p4_found, "p4_pieces": p4_pieces,
-    "p5_percentiles": p5_percentiles, "p5_days": p5_days,
+    "p5_percentiles": p5_percentiles, "p5_days": p5_days, "p5_merged": p5_merged,
 }
 ORACLE = {
     "p1_found": _P1,
@@ -170,5 +180,9 @@ from best join fragments f using (fragment_id) group by group_id""",
     "p2_runs": f"{_P2} select sample_id, reference_name, min(s) as run_start, max(e) as run_end, max(e) - min(s) as length, round(sum(v * (e - s)) / (max(e) - min(s)) + 1e-10, 6) as mean_value, count(*) as rows from numbered group by sample_id, reference_name, run having count(*) > 1",
     "p4_found": _P4,
     "p5_percentiles": _P5_RANKED,
-    "p5_days": f"{_P5} select sample_id, reference_name, strftime(loaded_at, '%Y-%m-%d') as day, cell, count(*) as n from cells group by all",
+    "p5_merged": _P5_RANKED,
+    "p5_days": f"""{_P5}, numbered as (select *, row_number() over w rn, count(*) over (partition by sample_id, reference_name) n from cells window w as (partition by sample_id, reference_name order by cell)),
+p as (select unnest({AT}) percentile), cuts as (select sample_id, reference_name, list_sort(list_distinct(list(cell))) cut from numbered, p where rn = greatest(1, cast(ceil(round(cast(percentile as double) * n, 6)) as bigint)) group by 1, 2),
+j as (select c.*, cut, len(list_filter(cut, lambda x: x < cell)) i, list_contains(cut, cell) hit from cells c join cuts using (sample_id, reference_name))
+select sample_id, reference_name, strftime(loaded_at, '%Y-%m-%d') as day, cast(2 * i + cast(hit as int) as int) as segment, round(case when hit then cut[i + 1] when i > 0 then cut[i] end * cast({2 * ERROR} as double), 3) as low, round(cut[i + 1] * cast({2 * ERROR} as double), 3) as high, count(*) as n from j group by all""",
 }

@@ -1,13 +1,15 @@
 """Evaluation passages inside a corpus: one Aho-Corasick automaton over all items, one pass over the texts.
 
 The patterns are the items' runs of `window` consecutive normalised words. Items are the small
-side (their number is checked against MAX_PATTERN_CHARS before they are sent to the executors);
-the corpus is scanned where it lies, without a shuffle. A document's matches are merged per item
-and mapped back to offsets in the original text.
+side; their characters are summed before they are sent to the executors, and more than
+MAX_ITEM_CHARS are scanned in further passes. The corpus is scanned where it lies, without a shuffle. A
+document's matches are merged per item, where windows that follow each other in the text follow each
+other in the item too, and mapped back to offsets in the original text.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -18,25 +20,29 @@ from pyspark.sql import functions as F
 from strandlake.llm.textnorm import _WORD, _fold, plain, words, words_with_offsets
 from strandlake.plans.runtime import spread
 
-#: Characters of items that one automaton may hold, about 1 GB of nodes at the most; more items are scanned in further passes.
-MAX_ITEM_CHARS = 4_000_000
+#: Characters of items that one automaton may hold, about 100 MB of nodes in a worker as their windows overlap; more items are
+#: scanned in further passes, with the same result.
+MAX_ITEM_CHARS = 400_000
+#: The automaton of this worker, by the broadcast it was made from.
+_HELD: dict[str, ahocorasick.Automaton] = {}
 LEAKS = "doc_id long, item_id long, words int, start_offset int, end_offset int"
 
 
-def windows(text: str | None, window: int) -> set[str]:
+def windows(text: str | None, window: int) -> list[str]:
+    """The runs of `window` words, in order."""
     w = words(text or "")
-    return {" ".join(w[i : i + window]) for i in range(len(w) - window + 1)}
+    return [" ".join(w[i : i + window]) for i in range(len(w) - window + 1)]
 
 
 def automaton(items: list[tuple[int, str]], window: int) -> ahocorasick.Automaton:
-    """Maps " w1 ... wn " of every window to the ids of the items that hold it."""
-    held: dict[str, list[int]] = {}
+    """Maps " w1 ... wn " of every window to the items that hold it and its places in them."""
+    held: dict[str, list[tuple[int, int]]] = {}
     for item, text in items:
-        for w in windows(text, window):
-            held.setdefault(w, []).append(item)
+        for i, w in enumerate(windows(text, window)):
+            held.setdefault(w, []).append((item, i))
     a = ahocorasick.Automaton()
-    for w, ids in held.items():
-        a.add_word(f" {w} ", tuple(sorted(ids)))
+    for w, places in held.items():
+        a.add_word(f" {w} ", tuple(sorted(places)))
     if held:
         a.make_automaton()
     return a
@@ -45,7 +51,7 @@ def automaton(items: list[tuple[int, str]], window: int) -> ahocorasick.Automato
 def scan(a: ahocorasick.Automaton, text: str, window: int) -> list[tuple[int, int, int, int]]:
     """(item_id, words, start, end) per item: its longest run of consecutive words in the text, of those the first."""
     stream = f" {' '.join(_WORD.findall(_fold(plain(text))))} "
-    ends = [(end, ids) for end, ids in a.iter(stream)]
+    ends = [(end, places) for end, places in a.iter(stream)]
     if not ends:
         return []
     _, spans = words_with_offsets(text)
@@ -56,14 +62,15 @@ def scan(a: ahocorasick.Automaton, text: str, window: int) -> list[tuple[int, in
             blanks[i] = n
             n += 1
     best: dict[int, tuple[int, int, int]] = {}
-    open_: dict[int, tuple[int, int]] = {}
-    for end, ids in ends:
+    # By item and distance between the places in text and item: a run goes on only at the same distance.
+    open_: dict[tuple[int, int], tuple[int, int]] = {}
+    for end, places in ends:
         last = blanks[end] - 1
-        for item in ids:
-            first, before = open_.get(item, (last - window + 1, last - 1))
+        for item, i in places:
+            first, before = open_.get((item, last - i), (last - window + 1, last - 1))
             if before != last - 1:
                 first = last - window + 1
-            open_[item] = (first, last)
+            open_[item, last - i] = (first, last)
             if last - first + 1 > best.get(item, (0, 0, 0))[0]:
                 best[item] = (last - first + 1, first, last)
     return [(item, n, spans[first][0], spans[last][1]) for item, (n, first, last) in best.items()]
@@ -85,10 +92,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     for k in range(passes):
         part = held if passes == 1 else held.where(F.pmod(F.xxhash64(item_id), F.lit(passes)) == k)
         own = [(r[0], r[1]) for r in part.toLocalIterator()]
-        sent = docs.sparkSession.sparkContext.broadcast(own)
+        sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, own))
 
         def kernel(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            a = automaton(sent.value, window)
+            name, own = sent.value
+            if (a := _HELD.get(name)) is None:
+                _HELD.clear()
+                a = _HELD[name] = automaton(own, window)
             for b in batches:
                 out = []
                 if len(a):

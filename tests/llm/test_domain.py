@@ -25,7 +25,7 @@ def fragment(i, a=("chr1", 10, "+"), b=("chr1", 90, "-"), lib="l", rg="g", sampl
 
 def found(spark, rows, pipes=(("p1", 1), ("p2", 2))):
     k = fg.keyed_fragments(spark.createDataFrame(rows, FRAGMENT), spark.createDataFrame(list(pipes), "pipeline_name string, trust_rank int"))
-    return {(r.group_id, r.field_name): r.fragment_id for r in fg.best_rows(k).collect()}
+    return {(r.group_id, r.field_name): r.fragment_id for r in fg.fuse(k, trusted=True)[0].collect()}
 
 
 def test_best_rows_by_trust_then_recency_then_id(spark):
@@ -56,6 +56,24 @@ def test_best_rows_nothing_stated_and_unlisted_pipelines(spark):
     assert set(found(spark, [fragment(1, pipe=" p9", at=0), fragment(2, pipe="p2", at=8)], [("p9 ", 7), ("p9", 1), ("p2", 2)]).values()) == {1}
 
 
+def test_trusted_fusion_equals_the_order_by_brute_force(spark):
+    rng, pipes = random.Random(6), [("p1", 1), ("p2", 2), ("p3", 2), ("p4", 4)]
+    rows = [
+        fragment(i, ("chr1", rng.randint(0, 40) if rng.random() < 0.7 else 7, "+"), lib=rng.choice(("l", None)), unit=rng.choice(("u", "v", "w", None, "n/a")), size=rng.choice((None, 0, 50, 60)), sample=rng.choice(("s", "t", "")), rg=rng.choice(("g", "h", "*")), mapped=rng.choice((None, (), ((0, 9, 9, "5M"),), ((0, 9, 8, "5M"),))), pipe=rng.choice(("p1", "p2", "p3", "p4", "zz", None)), at=rng.choice((None, 1, 2, 3)))
+        for i in range(1, 500)
+    ]
+    groups, want = {}, {}
+    for r in rows:
+        groups.setdefault((r[6], r[4]), []).append(r)
+    for g in groups.values():
+        if len(g) > 1:
+            for f, col, ok in (("insert_size", 11, lambda x: x and x > 0), ("platform_unit", 13, lambda x: x not in (None, "n/a")), ("sample_id", 3, bool), ("read_group_id", 2, lambda x: x != "*"), ("primary_mapped", 12, bool)):
+                said = [r for r in g if ok(r[col])]
+                if said:
+                    want[min(r[0] for r in g), f] = min(said, key=lambda r: (dict(pipes).get(r[14], 99), -(r[15] - T).days if r[15] else 99, r[0]))[0]
+    assert found(spark, rows, pipes) == want and len(want) > 200
+
+
 def test_fusion_discounts_copies(spark):
     """Three sources repeat one source's mistakes; two independent ones tell the truth."""
     rng, rows, i = random.Random(4), [], 0
@@ -66,7 +84,7 @@ def test_fusion_discounts_copies(spark):
             i += 1
             rows.append(fragment(i, ("chr1", g, "+"), unit=v, pipe=pipe))
     k = fg.keyed_fragments(spark.createDataFrame(rows, FRAGMENT), spark.createDataFrame([("i1", 1), ("i2", 1), ("c1", 2), ("c2", 2), ("c3", 2)], "pipeline_name string, trust_rank int"))
-    selected, acc, dep = fg.fuse(k, rounds=3)
+    selected, acc, dep = fg.fuse(k)
     unit = {r[0]: r for r in selected.where("field_name = 'platform_unit'").collect()}
     truth = {r[0]: r[13] for r in rows}
     right = sum(truth[r.fragment_id].startswith("t") for r in unit.values())
@@ -151,8 +169,14 @@ def test_cuts_hold_the_limit(size, limit, overlap, blocks):
 def test_cut_prefers_the_longest_gap_near_the_middle():
     gaps = si._stretches([400, 480, 900], [50, 10, 90], 1000)
     assert si.cut_points(1000, 600, 0, [gaps]) == [450]
-    # None in the middle half: the longest elsewhere, then inside what is left the middle.
-    assert si.cut_points(1000, 950, 0, [si._stretches([900], [20], 1000)]) == [900]
+    # None in the middle half: the longest that leaves a quarter of the limit, else a mask, else the middle.
+    assert si.cut_points(1000, 600, 0, [si._stretches([200], [20], 1000)]) == [219, 609] or si.cut_points(1000, 600, 0, [si._stretches([200], [20], 1000)])[0] == 220
+    assert si.cut_points(1000, 950, 0, [si._stretches([900], [20], 1000), si._stretches([560], [9], 1000)]) == [560]
+    assert si.cut_points(1000, 950, 0, [si._stretches([900], [20], 1000)]) == [500]
+    # Gaps near one end make no slivers.
+    cuts = si.cut_points(1_000_000, 100_000, 0, [si._stretches([900_000 + 999 * i for i in range(100)], [9] * 100, 1_000_000)])
+    bounds = [0, *cuts, 1_000_000]
+    assert min(b - a for a, b in zip(bounds, bounds[1:])) >= 25_000 and len(cuts) < 20
     assert si.cut_points(1000, 600, 0, [si._stretches(None, None, 1000)]) == [500]
 
 
@@ -178,8 +202,9 @@ def test_percentiles_equal_brute_force(spark, monkeypatch, fan):
     rows += [("c", 5.0, 1), ("d", None, 1), ("e", float("nan"), 1), *([("f", float("inf"), 1), ("f", 1.0, 1)] if fan == 256 else [])]
     df = spark.createDataFrame(rows, "k string, v double, day int")
     at = [0.01, 0.5, 0.9, 1.0]
-    counts = pc.merge_counts(pc.cell_counts(df, ["k"], "v", 0.0005, F.col("day")), ["k"])
-    got = {(r.k, r.percentile): (r.value, r.n) for r in pc.percentiles(counts, ["k"], at, 0.0005).collect()}
+    if fan == 16:
+        monkeypatch.setattr("strandlake.plans.runtime.small_enough", lambda *a, **k: False)
+    got = {(r.k, r.percentile): (r.value, r.n) for r in pc.percentiles(df, ["k"], "v", at, 0.0005).collect()}
     groups = {}
     for k, v, _ in rows:
         if v is not None and not math.isnan(v):
@@ -190,4 +215,17 @@ def test_percentiles_equal_brute_force(spark, monkeypatch, fan):
             exact = sorted(vs)[max(1, math.ceil(round(p * len(vs), 6))) - 1]
             value, n = got[k, p]
             assert n == len(vs) and (abs(value - exact) <= 0.0005 + 1e-9 or math.isinf(exact))
-    assert pc.percentiles(counts.limit(0), ["k"], at, 0.0005).count() == 0
+    assert pc.percentiles(df.limit(0), ["k"], "v", at, 0.0005).count() == 0
+    # What days hand on is bounded by groups and percentiles, and adds up to the same.
+    days = pc.day_counters(df, ["k"], "v", at, 0.0005, F.col("day"))
+    per = days.groupBy("k", "day").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).collect()
+    assert max(r.rows for r in per) <= 2 * len(at) + 1 and sum(r.n for r in per) == sum(map(len, groups.values()))
+    merged = pc.from_counters(pc.merge_days(days, ["k"]), ["k"], at).collect()
+    assert {(r.k, r.percentile): (r.value, r.n) for r in merged} == got
+    part = pc.from_counters(days.where("day = 1").drop("day"), ["k"], at)
+    for r in part.collect():
+        vs = sorted(v for k, v, d in rows if k == r.k and d == 1 and v is not None and not math.isnan(v))
+        exact = vs[max(1, math.ceil(round(r.percentile * len(vs), 6))) - 1]
+        assert r.n == len(vs)
+        if not math.isinf(exact):
+            assert (r.low is None or r.low <= exact + 0.0006) and (r.high is None or exact <= r.high + 0.0006) and (r.value is None or abs(r.value - exact) < 0.0006)

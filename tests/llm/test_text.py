@@ -73,6 +73,14 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
     assert lk.find_leaks(df.limit(0), it, window=5).count() == 0 and lk.find_leaks(df, it.limit(0), window=5).count() == 0
 
 
+def test_a_run_follows_the_item():
+    """Windows that follow each other in the text but not in the item are no longer run."""
+    item = "a b c d e x a b c d y b c d e"
+    a = lk.automaton([(1, item)], 4)
+    assert lk.scan(a, "a b c d e", 4) == [(1, 5, 0, 9)]
+    assert [h[:2] for h in lk.scan(a, "x a b c d e", 4)] == [(1, 5)]
+
+
 # Problem 8
 
 
@@ -96,6 +104,26 @@ def test_pack_holds_the_capacity(sizes, look):
         assert load.max() <= 50 and set(box) == set(range(box.max() + 1))
 
 
+def test_containers_close_behind():
+    rng = random.Random(5)
+    box = pk.pack(np.array([rng.randint(1, 40) for _ in range(3000)]), 50, 10, 40)
+    for b in range(box.max() + 1):
+        at = np.flatnonzero(box == b)
+        assert at[-1] - at[0] <= 60
+
+
+def test_neighbours_share_containers(spark):
+    """Texts of two kinds of words, in any order: containers hold one kind, but for those at borders."""
+    rng = random.Random(7)
+    docs = [(i, " ".join(rng.choice(WORDS[:6] if i % 2 else WORDS[40:46]) for _ in range(30))) for i in range(400)]
+    out = pk.pack_containers(spark.createDataFrame(docs, "doc_id long, text string"), 1024, range_tokens=4000).collect()
+    kinds = {}
+    for r in out:
+        kinds.setdefault(r.container_id, []).append(r.doc_id % 2)
+    mixed = sum(1 for v in kinds.values() if 0.2 < sum(v) / len(v) < 0.8)
+    assert mixed <= len(kinds) * 0.4 and len(kinds) < 60
+
+
 def test_packing_places_every_token_once(spark):
     rng = random.Random(3)
     docs = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.choice((1, 20, 80, 400)))), "clash") for i in range(300)]
