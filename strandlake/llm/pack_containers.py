@@ -28,7 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.plans.runtime import cut_lineage, join_bounded, spread
+from strandlake.plans.runtime import cut_lineage, spread
 
 #: Half of BITS orders cells, at most 2^(DIMS * BITS / 2) = 32,768 of them, the other half places in a cell.
 DIMS, BITS = 3, 10
@@ -169,7 +169,8 @@ def curve_ranges(m: DataFrame, range_tokens: int) -> DataFrame:
     cells = cells.select("cell", before(Window.orderBy("cell"), "all").alias("to_cell"))
     places = places.withColumn("in_cell", before(Window.partitionBy("cell").orderBy("curve_key"), "weight")).join(F.broadcast(cells), "cell")
     places = places.select("curve_key", (F.col("to_cell") + F.col("in_cell")).alias("before"), "weight", F.greatest(F.lit(1), F.ceil(F.col("weight") / F.lit(range_tokens))).alias("cuts"))
-    placed = join_bounded(m, places, ["curve_key"], "inner", salt_of="doc_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("cuts")))
+    # There are about as many places as texts, so both are shuffled; AQE splits a place that holds very many.
+    placed = m.join(places.hint("shuffle_merge"), "curve_key").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("cuts")))
     at = F.floor((F.col("before") + F.col("salt") * (F.col("weight") / F.col("cuts"))) / F.lit(range_tokens))
     return placed.select("doc_id", "tokens", "curve_key", at.alias("curve_range"))
 
