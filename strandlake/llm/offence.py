@@ -1,11 +1,16 @@
 """Abusive, hateful or sexual content: nearest labelled examples by exact TF-IDF cosine.
 
+Corpus (executors, one Arrow pass): every text becomes the hashes of its words, sentence by sentence, and the
+words and pairs of neighbours of all documents are counted in BUCKETS buckets; their weights follow from
+these counts. Hashes and sentences are written to the shared folder, so that no text is taken apart twice.
+
 Index (driver, from at most MAX_LABELLED labelled documents): passages of clean documents are
 clean examples; of an offending document the passages that set it apart from clean documents are
 offending examples. Postings are kept per block of examples with the greatest weight of each
 feature (block maxima), offending and clean examples in separate blocks.
 
-Scoring (executors, one Arrow pass): every passage of every text is bounded by the block maxima;
+Scoring (executors, one Arrow pass over the hashes): every passage of every text is bounded, first by what
+its features may add to the product with any offending example, a batch at a time, then by the block maxima;
 only where an offending block may reach `min_sim` are its postings and the clean ones read and the
 k nearest examples found, exactly. Their votes, weighted by similarity, are the passage's score; a
 document has that of its worst passage, with that passage's nearest example as evidence.
@@ -22,16 +27,21 @@ from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.textnorm import _fold, plain
-from strandlake.plans.runtime import spread
+from strandlake.plans.runtime import scratch, spread
 
 #: Labelled documents an index may hold, and their characters; more are thinned by the hash of their id.
 MAX_LABELLED = 12_000
 MAX_CHARS = 20_000_000
 BLOCK = 64
+#: Buckets of the counts, a power of two. Features of one bucket are counted together, so a weight is at most too small.
+BUCKETS = 1 << 20
+#: Least weight of a feature.
+LEAST_IDF = 0.05
 #: Results of sentences that a worker keeps, as many sentences return.
 CACHED = 200_000
 KINDS = ("clean", "abuse", "hate", "sexual")
@@ -103,23 +113,105 @@ def features(w: list[str]) -> list:
     return [*w, *zip(["^", *w], [*w, "$"])]
 
 
+# Hashes of words and pairs, the same in arrays and one at a time.
+
+_M1, _M2, _ALL = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (1 << 64) - 1
+_SHIFT = 64 - (BUCKETS.bit_length() - 1)
+
+
+def word_key(w: str) -> int:
+    """64 bits of a word; the last one tells masked words."""
+    return xxhash.xxh64_intdigest(w) & ~1 | ("*" in w)
+
+
+def feature_key(f) -> int:
+    """64 bits of a word or a pair."""
+    return (word_key(f[0]) * _M1 + word_key(f[1])) * _M2 & _ALL if isinstance(f, tuple) else word_key(f) * _M2 & _ALL
+
+
+def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a * np.uint64(_M1) + b) * np.uint64(_M2)
+
+
+_FIRST, _LAST = np.uint64(word_key("^")), np.uint64(word_key("$"))
+
+
+@functools.lru_cache(maxsize=CACHED)
+def token_bytes(t: str) -> bytes:
+    return b"".join(word_key(w).to_bytes(8, "little") for w in token(t))
+
+
+#: What stands between the sentences of a plain text; it is a blank, so no word holds it.
+BREAK = "\x1e"
+
+
+def hashed(text: str) -> tuple[bytes, bytes, str]:
+    """(keys of the words, number of words of each sentence, the sentences), empty sentences too."""
+    held = [s.replace(BREAK, " ") for s in sentences(text)] if BREAK in text else sentences(text)
+    parts = [b"".join(map(token_bytes, s.split())) for s in held]
+    return b"".join(parts), np.array([len(p) // 8 for p in parts], "int32").tobytes(), BREAK.join(held)
+
+
+def _sentence_pairs(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of sentences of n words laid end to end: keys of all pairs of neighbours, whether they are of one sentence, and of the first and last word with the border."""
+    n = n[n > 0]
+    ends = np.cumsum(n)
+    inner = pair_keys(h[:-1], h[1:])
+    one = np.ones(len(inner), bool)
+    one[ends[:-1] - 1] = False
+    return inner, one, pair_keys(np.full(len(n), _FIRST), h[ends - n]), pair_keys(h[ends - 1], np.full(len(n), _LAST))
+
+
+class Weights:
+    """Inverse frequencies by bucket: log of sentences over occurrences."""
+
+    def __init__(self, counts: np.ndarray, n: int):
+        self.table = np.maximum(LEAST_IDF, np.log((n + 1) / (counts + 0.5))).astype("float32")
+
+    def of_keys(self, keys: np.ndarray) -> np.ndarray:
+        return self.table[(keys >> np.uint64(_SHIFT)).astype("int64")]
+
+    def of(self, f) -> float:
+        return float(self.table[feature_key(f) >> _SHIFT])
+
+
+def add_counts(counts: np.ndarray, h: np.ndarray, n: np.ndarray) -> int:
+    """Adds the words and pairs of sentences to the counts; gives the number of sentences with words."""
+    if not len(h):
+        return 0
+    inner, one, first, last = _sentence_pairs(h, n)
+    for keys in (h * np.uint64(_M2), inner[one], first, last):
+        counts += np.bincount((keys >> np.uint64(_SHIFT)).astype("int64"), minlength=BUCKETS)
+    return int((n > 0).sum())
+
+
+@functools.lru_cache(maxsize=10_000)
+def windows_of(n: int, most: int = 40, overlap: int = 10, long: int = 16, size: int = 14) -> tuple[tuple[int, int], ...]:
+    """(offset, length) of the passages of a sentence of n words, in the order of passages()."""
+    out = [(0, n)] if n <= most else [(i, min(most, n - i)) for i in range(0, n - overlap, most - overlap)]
+    return tuple(out + [(o + i, min(size, k - i)) for o, k in out if k > long for i in range(0, k - size // 2, size // 2)])
+
+
+#: Least ratio of a squared weight (1 + log c)^2 to the count c among n words: what repeats may take from a norm.
+_REPEATS = np.minimum.accumulate([1.0] + [(1 + math.log(c)) ** 2 / c for c in range(1, 64)])
+
+
 class Index:
     """Labelled passages as unit TF-IDF vectors in blocks, with postings and block maxima.
 
-    examples: (tokens, share of raters who found offence, kind, doc_id); df: passages that hold a
-    feature, of n; strong: words of offending examples, which masked words are read as, and their
-    weight; held: vectors by tokens, shared between indexes with the same df.
+    examples: (tokens, share of raters who found offence, kind, doc_id); weights: of all features;
+    strong: words of offending examples, which masked words are read as, and their
+    weight; held: vectors by tokens, shared between indexes with the same weights.
     """
 
-    def __init__(self, examples: list[tuple], df: Counter, n: int, min_sim: float, k: int, strong: dict[str, float], held: dict):
-        self.min_sim, self.k, self.cache = min_sim, k, {}
+    def __init__(self, examples: list[tuple], weights: Weights, min_sim: float, k: int, strong: dict[str, float], held: dict):
+        self.min_sim, self.k, self.cache, self.weights = min_sim, k, {}, weights
         self.masks: dict[str, str] = {}
         for w in sorted(strong, key=lambda x: (strong[x], x)):
             # Words are kept with doubled letters as one, so the mask may be a little longer.
             for more in (2, 1, 0) if len(w) > 2 else ():
                 self.masks[f"{w[0]}*{len(w) + more}*{w[-1]}"] = w
-        self.idf = {f: math.log((n + 1) / (c + 0.5)) for f, c in df.items()}
-        self.unseen = math.log((n + 1) / 0.5)
+        self.idf: dict = {}
         examples = sorted(examples, key=lambda e: (e[1] < 0.5, e[2], e[0], e[3]))
         self.label = np.array([e[1] for e in examples], dtype="float64")
         self.kind = [e[2] for e in examples]
@@ -153,26 +245,99 @@ class Index:
         self.block_max = np.zeros((len(own), self.n_blocks), dtype="float32")
         for j, (_, b, x) in enumerate(own):
             np.maximum.at(self.block_max[j], b, x)
-        self.gain = {f: self.idf.get(f, self.unseen) * float(x.max()) for f, _, x in own}
-        self.square = {f: x * x for f, x in self.idf.items()}
-        self.reach = self.block_max * np.array([self.idf.get(f, self.unseen) for f in self.bad_row], dtype="float32")[:, None]
+        self.gain = {f: self.weight(f) * float(x.max()) for f, _, x in own}
+        self.reach = self.block_max * np.array([self.weight(f) for f in self.bad_row], dtype="float32")[:, None]
+        self.idf = {f: self.weight(f) for f in self.ids}
+        # The same by key, sorted: gain and row of the block maxima; the last row is that of features no block has.
+        pick = lambda found: (np.array([k for k, _ in found], "uint64"), np.array([self.gain[f] for _, f in found]), np.array([self.bad_row[f] for _, f in found], "int64"))
+        self.word_rows = pick(sorted((word_key(f), f) for f in self.gain if isinstance(f, str)))
+        self.pair_rows = pick(sorted((feature_key(f), f) for f in self.gain if not isinstance(f, str)))
+        self.reach_or_none = np.concatenate([self.reach, np.zeros((1, self.n_blocks), "float32")])
+        masks = sorted((word_key(m), word_key(w)) for m, w in self.masks.items())
+        self.mask_keys = (np.array([k for k, _ in masks], "uint64"), np.array([w for _, w in masks], "uint64"))
+
+    def weight(self, f) -> float:
+        if (x := self.idf.get(f)) is None:
+            x = self.idf[f] = self.weights.of(f)
+            if len(self.idf) > 4 * CACHED:
+                self.idf = {g: y for g, y in self.idf.items() if g in self.ids}
+        return x
 
     def vector(self, w: list[str]) -> list[tuple]:
-        v = [(f, (1 + math.log(c)) * self.idf.get(f, self.unseen)) for f, c in Counter(features(w)).items()]
+        v = [(f, (1 + math.log(c)) * self.weight(f)) for f, c in Counter(features(w)).items()]
         norm = math.sqrt(sum(x * x for _, x in v)) or 1.0
         return [(f, x / norm) for f, x in v]
 
+    def candidates(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sentence, offset, length) of the passages of sentences of n words laid end to end that may reach min_sim with an
+        offending example, in the order of passages(): by what their features may add at most, then by the block maxima."""
+        start = np.cumsum(n) - n
+        plain_ = np.flatnonzero((n > 0) & (n <= 16))
+        more = [(s, o, k) for s in np.flatnonzero(n > 16) for o, k in windows_of(int(n[s]))]
+        sent, off, size = (np.concatenate([a, np.array([m[i] for m in more], "int64")]) for i, a in enumerate((plain_, np.zeros(len(plain_), "int64"), n[plain_].astype("int64"))))
+        if not len(sent) or not self.n_bad:
+            return sent[:0], off[:0], size[:0]
+        order = np.argsort(sent, kind="stable")
+        sent, off, size = sent[order], off[order], size[order]
+        if (masked := (h & np.uint64(1)).astype(bool)).any() and len(self.mask_keys[0]):
+            h = h.copy()
+            at = np.minimum(np.searchsorted(self.mask_keys[0], h[masked]), len(self.mask_keys[0]) - 1)
+            h[masked] = np.where(self.mask_keys[0][at] == h[masked], self.mask_keys[1][at], h[masked])
+
+        def looked_up(keys: np.ndarray, weights: np.ndarray, held: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Squared weight, gain and row of each key."""
+            w, none = weights.astype("float64") ** 2, len(self.bad_row)
+            if not len(held[0]) or not len(keys):
+                return w, np.zeros(len(keys)), np.full(len(keys), none)
+            at = np.minimum(np.searchsorted(held[0], keys), len(held[0]) - 1)
+            hit = held[0][at] == keys
+            return w, np.where(hit, held[1][at], 0.0), np.where(hit, held[2][at], none)
+
+        of, upto = self.weights.of_keys, lambda x: np.concatenate([[0.0], np.cumsum(x)])
+        a, b = start[sent] + off, start[sent] + off + size
+        inner, first, last = pair_keys(h[:-1], h[1:]), pair_keys(np.full(len(a), _FIRST), h[a]), pair_keys(h[b - 1], np.full(len(a), _LAST))
+        total = [0.0, 0.0]
+        words, pairs = looked_up(h, of(h * np.uint64(_M2)), self.word_rows), looked_up(inner, of(inner), self.pair_rows)
+        begin, end = looked_up(first, of(first), self.pair_rows), looked_up(last, of(last), self.pair_rows)
+        for i in (0, 1):
+            w, p = upto(words[i]), upto(pairs[i])
+            total[i] = w[b] - w[a] + p[b - 1] - p[a] + begin[i] + end[i]
+        # Repeats make a norm smaller than the sum over all occurrences, by no more than this.
+        least = self.min_sim * np.sqrt(_REPEATS[np.minimum(2 * size, 63)] * total[0]) * (1 - 1e-5) - 1e-6
+        may = np.flatnonzero(total[1] >= least)
+        keep = []
+        next_row = np.append(pairs[2], len(self.bad_row))
+        for c in range(0, len(may), 4096):
+            m = may[c : c + 4096]
+            k = size[m]
+            at = np.cumsum(k) - k
+            flat = np.repeat(a[m] - at, k) + np.arange(int(k.sum()))
+            after = next_row[flat]
+            after[at + k - 1] = end[2][m]
+            block = np.add.reduceat(self.reach_or_none[words[2][flat]] + self.reach_or_none[after], at, axis=0) + self.reach_or_none[begin[2][m]]
+            keep.append(m[block.max(axis=1) >= least[m]])
+        may = np.concatenate(keep) if keep else may
+        return sent[may], off[may], size[may]
+
     def within(self, q: list[tuple[int, float]], least: float, side: int) -> tuple[np.ndarray, np.ndarray]:
         """(examples, products) of a side whose product with q is at least `least`. Features that
         together can't reach it are read only for the examples that the others leave."""
-        own = sorted(((x * p[2], x, p) for j, x in q if (p := self.post[side][j])), key=lambda y: y[0])
+        own = [(x * p[2], x, p) for j, x in q if (p := self.post[side][j])]
+        if side:
+            # The offending side is small: all its postings are added up.
+            total = np.zeros(self.n_bad, dtype="float32")
+            for _, x, (r, v, _) in own:
+                total[r] += x * v
+            found = np.flatnonzero(total >= least)
+            return found, total[found]
+        own.sort(key=lambda y: y[0])
         safe, rest, k = least * (1 - 1e-5), 0.0, 0
         while k < len(own) and rest + own[k][0] < safe:
             rest += own[k][0]
             k += 1
         if k == len(own):
             return np.zeros(0, dtype="int64"), np.zeros(0, dtype="float32")
-        total = np.zeros(self.n_bad if side else len(self.label) - self.n_bad, dtype="float32")
+        total = np.zeros(len(self.label) - self.n_bad, dtype="float32")
         for _, x, (r, v, _) in own[k:]:
             total[r] += x * v
         found = np.flatnonzero(total >= safe - rest)
@@ -192,12 +357,12 @@ class Index:
         if not alone:
             # Each occurrence counted in full in the product, each feature once in the norm: above the
             # cosine, first of all blocks together, then of each.
-            least = self.min_sim * math.sqrt(sum(map(self.square.get, set(fs), repeat(self.unseen**2))))
+            least = self.min_sim * math.sqrt(sum(self.weight(f) ** 2 for f in set(fs)))
             if sum(map(self.gain.get, fs, repeat(0.0))) < least:
                 return none
             if self.reach.take([self.bad_row[f] for f in fs if f in self.bad_row], axis=0).sum(axis=0).max() < least * (1 - 1e-5):
                 return none
-        q = [(f, self.idf.get(f, self.unseen) * (1 + math.log(c) if c > 1 else 1)) for f, c in Counter(fs).items()]
+        q = [(f, self.weight(f) * (1 + math.log(c) if c > 1 else 1)) for f, c in Counter(fs).items()]
         norm = math.sqrt(sum(x * x for _, x in q))
         q = [(self.ids[f], x) for f, x in q if f in self.ids]
         bad, sims = self.within(q, self.min_sim * norm, 1)
@@ -222,8 +387,9 @@ def majority(labels: dict[str, int]) -> tuple[float, str]:
     return sum(bad.values()) / max(1, sum(labels.values())), min(bad, key=lambda x: (-bad[x], x)) if bad else "clean"
 
 
-def fit(labelled: list[tuple[int, str, dict[str, int]]], min_sim: float = 0.35, k: int = 12) -> Index:
-    """The index of labelled (doc_id, text, count of each label).
+def fit(labelled: list[tuple[int, str, dict[str, int]]], min_sim: float = 0.35, k: int = 12, weights: Weights | None = None) -> Index:
+    """The index of labelled (doc_id, text, count of each label). weights: those of the corpus; without, those of
+    the labelled documents.
 
     A passage's evidence is the sum of the log odds, between offending and clean documents, of its
     words, and of its pairs of words that three offending documents have. Of an offending document
@@ -233,17 +399,20 @@ def fit(labelled: list[tuple[int, str, dict[str, int]]], min_sim: float = 0.35,
     beside the point, and is dropped, as is one near to none whose words are all known from clean
     documents.
     """
+    if weights is None:
+        counts, n = np.zeros(BUCKETS, "int64"), 0
+        for _, t, _ in labelled:
+            h, m, _ = hashed(t)
+            n += add_counts(counts, np.frombuffer(h, "uint64"), np.frombuffer(m, "int32"))
+        weights = Weights(counts, n)
     docs = [(d, *majority(ls), [p for s in sentences(t) for p in split(s)]) for d, t, ls in labelled]
-    bad, clean, df, n = Counter(), Counter(), Counter(), 0
+    bad, clean = Counter(), Counter()
     n_bad = sum(share >= 0.5 for _, share, _, _ in docs)
     for _, share, _, ps in docs:
         seen: set = set()
         for p in ps:
-            own = set(features(p))
-            df.update(own)
-            seen |= own
+            seen |= set(features(p))
         (bad if share >= 0.5 else clean).update(seen)
-        n += len(ps)
     n_clean = len(docs) - n_bad
     odds = {f: math.log((c + 0.3) / (n_bad + 0.6)) - math.log((clean[f] + 0.3) / (n_clean + 0.6)) for f, c in bad.items()}
 
@@ -264,7 +433,7 @@ def fit(labelled: list[tuple[int, str, dict[str, int]]], min_sim: float = 0.35,
     quiet, held = [(list(p), 0.0, "clean", 0) for p in calm], {}
 
     def build(rows: list[tuple]) -> Index:
-        return Index(rows + quiet, df, max(1, n), min_sim, k, {w: odds[w] for p, *_ in rows for w in p if odds.get(w, 0) > 1}, held)
+        return Index(rows + quiet, weights, min_sim, k, {w: odds[w] for p, *_ in rows for w in p if odds.get(w, 0) > 1}, held)
 
     first = build(chosen)
     kept = []
@@ -294,6 +463,32 @@ def worst(ix: Index, text: str, skip: list[int] | None = None) -> tuple[float, s
     return top
 
 
+def worst_of_rows(ix: Index, said: list[str], h: list[bytes], n: list[bytes]) -> list[tuple[float, str, float, str, str]]:
+    """worst() of each text, from its hashes and sentences; only sentences with a candidate are looked at themselves."""
+    out = [(0.0, "clean", 0.0, "", "")] * len(said)
+    counts = np.frombuffer(b"".join(n), "int32")
+    per = np.array([len(x) // 4 for x in n], "int64")
+    first, row = np.cumsum(per) - per, np.repeat(np.arange(len(said)), per)
+    sent, off, size = ix.candidates(np.frombuffer(b"".join(h), "uint64"), counts)
+    at, held, no = -1, [], -1
+    for s, o, k in zip(sent.tolist(), off.tolist(), size.tolist()):
+        r = int(row[s])
+        if r != at:
+            at, held = r, said[r].split(BREAK)
+        if s != no:
+            no, w = s, list(chain.from_iterable(map(token, held[s - int(first[r])].split())))
+        key = tuple(w[o : o + k])
+        if (hit := ix.cache.get(key)) is None:
+            score, i, sim = ix.nearest(list(key))
+            hit = (score, ix.kind[i], sim, " ".join(key), ix.text[i]) if score else (0.0,)
+            if len(ix.cache) >= CACHED:
+                ix.cache.clear()
+            ix.cache[key] = hit
+        if hit[0] > out[r][0]:
+            out[r] = hit
+    return out
+
+
 def calibrate(scores: list[float], truth: list[bool], rounds: int = 50) -> tuple[float, float]:
     """(a, b) such that 1 / (1 + exp(-a - b * score)) is the chance of offence, by penalised maximum likelihood."""
     y, t = np.array(truth, dtype=float), np.zeros(2)
@@ -330,6 +525,40 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str,
 SCORES = "doc_id long, source string, raw_score double, score double, kind string, similarity double, passage string, example string"
 
 
+HASHED = "doc_id long, source string, said string, h binary, n binary, block int, c array<bigint>"
+#: Buckets that are counted in one row.
+ROW = 64
+
+
+def hash_corpus(docs: DataFrame) -> tuple[DataFrame, Weights]:
+    """(doc_id, source, said, h, n) of every row of docs, what hashed() gives, written to the shared folder, and the weights from the counts of all of
+    them. A task adds its counts up; tasks' counts are summed by block of buckets, so what comes to the driver is the
+    table of BUCKETS numbers, whatever the corpus."""
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, total = np.zeros(BUCKETS, "int64"), 0
+        for b in batches:
+            rows = [hashed(t) if t else (b"", b"", "") for t in b["text"]]
+            total += add_counts(counts, np.frombuffer(b"".join(r[0] for r in rows), "uint64"), np.frombuffer(b"".join(r[1] for r in rows), "int32"))
+            yield b[["doc_id", "source"]].assign(said=[r[2] for r in rows], h=[r[0] for r in rows], n=[r[1] for r in rows], block=None, c=None)
+        blocks = counts.reshape(-1, ROW)
+        some = np.flatnonzero(blocks.any(axis=1))
+        yield pd.DataFrame({"doc_id": None, "source": None, "said": None, "h": None, "n": None, "block": [-1, *some], "c": [[total], *map(list, blocks[some].tolist())]})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
+    path = scratch(docs.sparkSession, "hashed")
+    spread(rows).mapInPandas(kernel, HASHED).write.parquet(path)
+    held = docs.sparkSession.read.schema(HASHED).parquet(path)
+    sums = held.where("block is not null").groupBy("block").agg(*[F.sum(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(ROW)])
+    counts, n = np.zeros((BUCKETS // ROW, ROW), "int64"), 0
+    for r in sums.toLocalIterator():
+        if r["block"] < 0:
+            n = r["c0"]
+        else:
+            counts[r["block"]] = r[1:]
+    return held.where("block is null").select("doc_id", "source", "said", "h", "n"), Weights(counts.reshape(-1), n)
+
+
 def score_offence(docs: DataFrame, labels: DataFrame, min_sim: float = 0.35, k: int = 12, held_out: int = 5) -> DataFrame:
     """(doc_id, source, raw_score, score, kind, similarity, passage, example), one row per row of docs.
 
@@ -339,8 +568,9 @@ def score_offence(docs: DataFrame, labels: DataFrame, min_sim: float = 0.35, k:
     score as texts without offence. Without labels every raw_score is 0. Labels that are null or
     none of KINDS are ignored; a document counts as offending if at least half of its labels say so.
     """
+    rows, weights = hash_corpus(docs)
     sample = sorted(labelled_sample(docs, labels), key=lambda r: (r[0], r[1]))
-    ix = fit(sample, min_sim, k)
+    ix = fit(sample, min_sim, k, weights)
     a = b = None
     test = sample[::held_out]
     truth = [majority(r[2])[0] >= 0.5 for r in test]
@@ -351,14 +581,13 @@ def score_offence(docs: DataFrame, labels: DataFrame, min_sim: float = 0.35, k:
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix, a, b = sent.value
         for batch in batches:
-            rows = [worst(ix, t or "") for t in batch["text"]]
+            rows = worst_of_rows(ix, batch["said"].to_list(), batch["h"].to_list(), batch["n"].to_list())
             raw = np.array([r[0] for r in rows], dtype=float)
             yield pd.DataFrame(
                 {"doc_id": batch["doc_id"], "source": batch["source"], "raw_score": raw, "score": raw if a is None else 1 / (1 + np.exp(-a - b * raw))}
                 | {c: [r[i] for r in rows] for i, c in enumerate(("kind", "similarity", "passage", "example"), 1)}
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"))
     return spread(rows).mapInPandas(kernel, SCORES)
 
 

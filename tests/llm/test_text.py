@@ -223,6 +223,36 @@ def test_offence_without_labels_or_texts(spark):
     assert of.score_offence(d.limit(0), none).count() == 0
 
 
+def test_rows_by_hashes_equal_texts_one_by_one():
+    """Long and empty sentences, repeats, masked words, signs that break lines: the bounds over whole batches lose nothing."""
+    docs, labels, truth = corpus(300, 12)
+    ix = of.fit([(i, t, {"clean": int(not truth[i]), "abuse": int(truth[i])}) for i, t, _ in docs])
+    rng = random.Random(4)
+    words = "you are a filthy fool go away shut your mouth rotten clown pig nobody wants parser drops the f****y buffer after restarts".split()
+    odd = [" ".join(rng.choice(words) for _ in range(rng.choice((1, 3, 12, 15, 17, 39, 41, 90)))) + rng.choice((".", "\n\n", "! ", "\x1e You pig")) for _ in range(300)]
+    texts = [t for _, t, _ in corpus(150, 13)[0]] + odd + ["", "fool " * 60, "you " * 15 + "are a filthy fool", "\n.\n. !"] + [" ".join(odd[i : i + 5]) for i in range(0, 300, 5)]
+    h = [of.hashed(t) for t in texts]
+    got = of.worst_of_rows(ix, [x[2] for x in h], [x[0] for x in h], [x[1] for x in h])
+    want = [of.worst(ix, t) for t in texts]
+    assert got == want and sum(w[0] >= 0.5 for w in want) > 50
+    some = [a + b + c for a in "bcdfg" for b in "hjklm" for c in "npqrs"]
+    for n in (1, 16, 17, 40, 41, 100):
+        assert of.windows_of(n) == tuple((some.index(p[0]), len(p)) for p in of.passages(" ".join(some[:n])))
+
+
+def test_counts_cover_the_corpus(spark):
+    """The weights are those of all documents: equal to counts made in one piece, whatever the partitions."""
+    docs, _, _ = corpus(200, 2)
+    d = spark.createDataFrame(docs + [(9999, None, None), (9998, "", "s")], "doc_id long, text string, source string")
+    rows, w = of.hash_corpus(d.repartition(3))
+    counts, n = np.zeros(of.BUCKETS, "int64"), 0
+    for _, t, _ in docs:
+        h, m, _ = of.hashed(t)
+        n += of.add_counts(counts, np.frombuffer(h, "uint64"), np.frombuffer(m, "int32"))
+    assert rows.count() == 202 and np.array_equal(w.table, of.Weights(counts, n).table)
+    assert w.of("parser") == w.of_keys(np.array([of.feature_key("parser")], "uint64"))[0] and w.of(("the", "parser")) > w.of("the")
+
+
 def test_bounds_lose_no_neighbour():
     """Pruned scores equal those of plain cosines over all examples."""
     docs, labels, _ = corpus(200, 9)
