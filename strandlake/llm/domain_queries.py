@@ -139,19 +139,18 @@ def _coverage(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "coverage").select(F.coalesce(key_text("opt_sample_id"), F.lit("")).alias("sample_id"), F.coalesce(key_text("reference_name"), F.lit("")).alias("reference_name"), "cov_count", "loaded_at")
 
 
-_DAY = F.date_format("loaded_at", "yyyy-MM-dd")
+def _day_counters(spark: SparkSession, d: str) -> DataFrame:
+    return pc.day_counters(_coverage(spark, d), _KEYS, "cov_count", AT, ERROR, F.date_format("loaded_at", "yyyy-MM-dd"))
 
 
 def p5_days(spark: SparkSession, d: str) -> DataFrame:
     """What each loading day hands on: its rows per sample, reference and segment between the percentiles."""
-    out = pc.day_counters(_coverage(spark, d), _KEYS, "cov_count", AT, ERROR, _DAY)
-    return out.withColumns({"low": F.round("low", 3), "high": F.round("high", 3)})
+    return _day_counters(spark, d).withColumns({"low": F.round("low", 3), "high": F.round("high", 3)})
 
 
 def p5_merged(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles from the counters of all loading days put together."""
-    days = pc.day_counters(_coverage(spark, d), _KEYS, "cov_count", AT, ERROR, _DAY)
-    return pc.from_counters(pc.merge_days(days, _KEYS), _KEYS, AT).select(*_KEYS, "percentile", F.round("value", 3).alias("value"), "n")
+    return pc.from_counters(pc.merge_days(_day_counters(spark, d), _KEYS), _KEYS, AT).select(*_KEYS, "percentile", F.round("value", 3).alias("value"), "n")
 
 
 def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
