@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import argparse
+import re
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.frame import GenomicFrame
+from strandlake.frame import GenomicFrame, Meta
+from strandlake.functions.intervals import parse_regions
 from strandlake.operators import coverage as cov
 from strandlake.operators import reads as rd
 from strandlake.operators import sequences as sq
 from strandlake.operators import variants as va
 from strandlake.operators.bqsr import recalibrate
 from strandlake.operators.markdup import mark_duplicates
-from strandlake.operators.mdtags import compute_mismatching_positions
+from strandlake.operators.mdtags import compute_mismatching_positions, left_normalize_indels
 from strandlake.operators.realign import realign_indels
 from strandlake.operators.reads import to_fragments
-from strandlake.sources import binary, load, sinks
+from strandlake.plans.runtime import cut_lineage
+from strandlake.sources import binary, load, sinks, text
 
 
 def _save_alignments(f: GenomicFrame, path: str, single: bool) -> None:
@@ -35,38 +39,77 @@ def _save_alignments(f: GenomicFrame, path: str, single: bool) -> None:
 def _sorted(f: GenomicFrame, how: str | None) -> GenomicFrame:
     if how == "reference":
         return f.transform(rd.sort_by_reference_position) if "readName" in f.df.columns else f.sort_lexicographically()
+    if how == "name":
+        return f.transform(rd.sort_by_read_name)
     if how == "index":
         return f.transform(lambda d: rd.sort_by_index(d, [n for n, _ in f.meta.references])) if "readName" in f.df.columns else f.sort()
     return f
 
 
+def _loaded(spark: SparkSession, a: argparse.Namespace) -> GenomicFrame:
+    """The input by its extension, or as what --load says it is."""
+    if a.load == "bam":
+        meta = load.load_alignments(spark, a.input).meta if load.extension(a.input) == "bam" else Meta()
+        f = GenomicFrame(binary.read_bam(spark, a.input, parse_regions(a.regions) if a.regions else None), meta)
+        return f.filter_by_overlapping_regions(parse_regions(a.regions)) if a.regions else f
+    if a.load == "sam":
+        return GenomicFrame(text.read_sam(spark, a.input))
+    if a.load == "fastq":
+        return GenomicFrame(text.read_paired_fastq(spark, a.input, a.mates) if a.mates else text.read_fastq(spark, a.input))
+    if a.load == "ifastq":
+        return GenomicFrame(text.read_interleaved_fastq(spark, a.input))
+    if a.load == "parquet":
+        return load._parquet(spark, a.input, a.regions)
+    return load.load_alignments(spark, a.input, a.mates, a.regions)
+
+
 def transform_alignments(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Fixed order: repartition, bin qualities, mark duplicates, realign, recalibrate, coalesce, sort, MD tags."""
-    f = load.load_alignments(spark, a.input, a.mates, a.regions)
+    """Fixed order: repartition, bin qualities, mark duplicates, realign, recalibrate, normalise indels, coalesce, sort, MD tags."""
+    if a.aligned_only and a.regions:
+        raise ValueError("--aligned-only and --regions exclude each other")
+    f = _loaded(spark, a)
+    if a.limit_projection:
+        f = f.project(lambda c: c not in ("attributes", "originalQualityScores"))
+    if a.aligned_only:
+        f = f.transform(rd.filter_unaligned)
     if a.concat:
         f = f.union(load.load_alignments(spark, a.concat))
+    if a.read_group is not None:
+        name = a.read_group or re.sub(r"\.[^.]*$", "", a.input.rstrip("/").rsplit("/", 1)[-1])
+        f = f.transform(lambda d: d.withColumn("readGroupId", F.lit(name))).add_meta(read_groups=[(("ID", name),)])
     if a.min_mapping_quality is not None:
         f = f.transform(lambda d: rd.filter_by_mapping_quality(d, a.min_mapping_quality))
     if a.repartition:
         f = f.transform(lambda d: d.repartition(a.repartition))
+    kept = (lambda g: g.persist(getattr(StorageLevel, a.storage_level))) if a.cache else (lambda g: g)
     if a.bin_quality_scores:
         f = f.transform(lambda d: rd.bin_quality_scores(d, a.bin_quality_scores))
     if a.mark_duplicates:
         groups = [dict(g) for g in f.meta.read_groups]
         libs = spark.createDataFrame([(g.get("ID"), g.get("LB")) for g in groups], "id string, library string") if groups else None
-        f = f.transform(lambda d: mark_duplicates(d, libs))
-    known = load.load_variants(spark, a.known_indels).df if a.known_indels else None
+        f = kept(f).transform(lambda d: mark_duplicates(d, libs))
     if a.realign_indels:
-        f = f.transform(lambda d: realign_indels(d, "knowns" if known is not None else "reads", va.indel_table(known) if known is not None else None, lod=a.lod))
+        known = va.indel_table(load.load_variants(spark, a.known_indels).df) if a.known_indels else None
+        sizes = {"max_indel": a.max_indel_size, "max_consensus": a.max_consensus_number, "lod": a.lod, "max_target": a.max_target_size, "max_reads": a.max_reads_per_target, "unclip": a.unclip_reads}
+        f = kept(f).transform(lambda d: realign_indels(d, "knowns" if known is not None else "reads", known, **sizes))
     if a.recalibrate:
         sites = load.load_variants(spark, a.known_snps).df if a.known_snps else None
-        f = f.transform(lambda d: recalibrate(d.withColumn("_row", F.monotonically_increasing_id()), sites, "_row").drop("_row"))
+        f = kept(f).transform(lambda d: recalibrate(cut_lineage(d.withColumn("_row", F.monotonically_increasing_id())), sites, "_row", a.min_acceptable_quality, a.sampling_fraction, a.sampling_seed).drop("_row"))
+    if a.left_normalize_indels:
+        f = f.transform(left_normalize_indels)
     if a.coalesce:
-        f = f.transform(lambda d: d.coalesce(a.coalesce))
+        f = f.transform(lambda d: d.repartition(a.coalesce) if a.force_shuffle else d.coalesce(a.coalesce))
     f = _sorted(f, a.sort)
     if a.md_tags:
-        slices = load.load_slices(spark, a.md_tags).df
-        f = f.transform(lambda d: compute_mismatching_positions(d, slices, overwrite=a.overwrite_tags))
+        slices = load.load_slices(spark, a.md_tags, a.md_tag_fragment_size).df
+        f = f.transform(lambda d: compute_mismatching_positions(d, slices, overwrite=a.overwrite_tags, strict=a.stringency == "strict"))
+    if not a.disable_steps:
+        f = f.add_meta(steps=["transformAlignments " + " ".join(f"{k}={v}" for k, v in sorted(vars(a).items()) if v not in (None, False) and k != "command")])
+    if a.partition_by_start:
+        f.save_as_partitioned_parquet(a.output, bin_size=a.partition_bin_size)
+        return
+    if a.sort_fastq and load.extension(a.output) in ("fq", "fastq"):
+        f = f.transform(rd.sort_by_read_name)
     _save_alignments(f, a.output, a.single)
 
 
@@ -187,7 +230,7 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument("output", nargs="?" if name in ("view", "print") else None)
         s.add_argument("--single", action="store_true", help="one output file")
         s.add_argument("--coalesce", type=int)
-        s.add_argument("--sort", choices=("reference", "index"))
+        s.add_argument("--sort", choices=("reference", "index", "name"))
         s.add_argument("--partition-by-start", action="store_true")
         if name in ("countKmers", "countSliceKmers"):
             s.add_argument("k", type=int)
@@ -196,12 +239,16 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument("--mates")
             s.add_argument("--mark-duplicates", action="store_true")
         if name == "transformAlignments":
-            for flag in ("--realign-indels", "--recalibrate", "--overwrite-tags"):
+            for flag in ("--realign-indels", "--recalibrate", "--overwrite-tags", "--limit-projection", "--aligned-only", "--unclip-reads", "--left-normalize-indels", "--force-shuffle", "--sort-fastq", "--cache", "--disable-steps"):
                 s.add_argument(flag, action="store_true")
-            for opt in ("--regions", "--concat", "--bin-quality-scores", "--known-snps", "--known-indels", "--md-tags"):
+            for opt in ("--regions", "--concat", "--bin-quality-scores", "--known-snps", "--known-indels", "--md-tags", "--read-group"):
                 s.add_argument(opt)
-            s.add_argument("--min-mapping-quality", type=int)
-            s.add_argument("--repartition", type=int)
+            s.add_argument("--load", choices=("sam", "bam", "fastq", "ifastq", "parquet"), help="what the input is, whatever its extension")
+            s.add_argument("--stringency", choices=("strict", "lenient", "silent"), default="lenient")
+            s.add_argument("--storage-level", default="MEMORY_AND_DISK")
+            for opt, default in (("--min-mapping-quality", None), ("--repartition", None), ("--min-acceptable-quality", 5), ("--sampling-seed", 0), ("--max-indel-size", 500), ("--max-consensus-number", 30), ("--max-target-size", 3000), ("--max-reads-per-target", 20_000), ("--md-tag-fragment-size", 1_000_000), ("--partition-bin-size", 1_000_000)):
+                s.add_argument(opt, type=int, default=default)
+            s.add_argument("--sampling-fraction", type=float)
             s.add_argument("--lod", type=float, default=5.0)
         if name == "coverage":
             s.add_argument("--strand", choices=("+", "-"))

@@ -105,6 +105,9 @@ class GenomicFrame:
     def filter_by_overlapping_regions(self, queries: list[tuple[str, int, int]]) -> GenomicFrame:
         """Rows that overlap a region, on either strand. Few regions become comparisons that prune row groups, many a semi join."""
         if len(queries) <= 200:
+            if f := self.fields.many:
+                one = lambda r: in_regions(Region(r[self.fields.reference], r[self.fields.start], r[self.fields.end]), queries)
+                return self.transform(lambda d: d.where(F.exists(f, one)))
             return self.transform(lambda d: d.where(in_regions(self.region(), queries)))
         q = self.df.sparkSession.createDataFrame(queries, "referenceName string, start long, end long")
         return self.transform(lambda d: joins.region_join(d, q, "left_semi", lf=replace(self.fields, strand=None)))

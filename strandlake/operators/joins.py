@@ -31,12 +31,24 @@ NARROW = 0.95
 
 @dataclass(frozen=True)
 class Fields:
-    """The columns of a side that make its region. strand None: independent."""
+    """The columns of a side that make its region. strand None: independent. many: an array whose structs hold these
+    fields, for rows of several regions; such a row takes part once per region."""
 
     reference: str = "referenceName"
     start: str = "start"
     end: str = "end"
     strand: str | None = None
+    many: str | None = None
+
+    def of(self, df: DataFrame) -> tuple[DataFrame, list]:
+        """df, a row per region, and the columns reference, start, end, strand."""
+        names = (self.reference, self.start, self.end, self.strand)
+        if self.many:
+            df = df.withColumn("_region", F.explode(self.many))
+            cols = [F.col("_region")[c] if c else F.lit(None).cast("string") for c in names]
+        else:
+            cols = [F.col(c) if c else F.lit(None).cast("string") for c in names]
+        return df, [cols[0], cols[1].cast("long"), cols[2].cast("long"), cols[3]]
 
 
 @dataclass(frozen=True)
@@ -60,9 +72,10 @@ class Grid:
 
 def _sizes(df: DataFrame, f: Fields, pad: int) -> dict[int, int]:
     """Rows by the bits of their length, so that a region of n bits is at most 2^n long; at most 64 counts."""
-    n = F.col(f.end).cast("long") - F.col(f.start).cast("long") + pad
+    df, (reference, start, end, _) = f.of(df)
+    n = end - start + pad
     bits = F.when(n <= 1, 0).otherwise(F.length(F.bin(n - 1)))
-    return {r[0]: r[1] for r in df.where(F.col(f.reference).isNotNull() & (n >= pad)).groupBy(bits.alias("bits")).agg(F.count("*")).collect()}
+    return {r[0]: r[1] for r in df.where(reference.isNotNull() & (n >= pad)).groupBy(bits.alias("bits")).agg(F.count("*")).collect()}
 
 
 def choose_grid(left: DataFrame, right: DataFrame, lf: Fields, rf: Fields, flank: int) -> Grid:
@@ -83,12 +96,12 @@ def _placed(slot: int):
 
 
 def _binned(df: DataFrame, f: Fields, pad: int, grid: Grid, side: str, row_id: str | None) -> DataFrame:
-    s, e = F.col(f.start).cast("long"), F.col(f.end).cast("long")
+    own = df.columns
+    df, (reference, s, e, strand) = f.of(df)
     if pad:
         s, e = F.greatest(F.lit(0).cast("long"), s - pad), e + pad
-    keep = [F.struct(*[F.col(f"`{c}`") for c in df.columns if c != row_id]).alias(side)] + ([F.col(row_id).alias(f"{side}_id")] if row_id else [])
-    strand = F.col(f.strand) if f.strand else F.lit(None).cast("string")
-    out = df.select(*keep, F.col(f.reference).alias(f"{side}_ref"), s.alias(f"{side}_s"), e.alias(f"{side}_e"), F.coalesce(strand, F.lit(".")).alias(f"{side}_strand"))
+    keep = [F.struct(*[F.col(f"`{c}`") for c in own if c != row_id]).alias(side)] + ([F.col(row_id).alias(f"{side}_id")] if row_id else [])
+    out = df.select(*keep, reference.alias(f"{side}_ref"), s.alias(f"{side}_s"), e.alias(f"{side}_e"), F.coalesce(strand, F.lit(".")).alias(f"{side}_strand"))
     out = out.where(F.col(f"{side}_ref").isNotNull() & (F.col(f"{side}_e") >= F.col(f"{side}_s")))
     size = F.col(f"{side}_e") - F.col(f"{side}_s")
     home, other = (grid.left, grid.right) if side == "left" else (grid.right, grid.left)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.intervals import OPEN_END
@@ -68,12 +68,21 @@ def extract(slices: DataFrame, reference: str, start: int, end: int) -> DataFram
     return extract_regions(hit, region)
 
 
+def _edges(slices: DataFrame, n: int, head: bool, out: str) -> DataFrame:
+    """(name, _at, out): the first or last n bases of the slices by the place where they begin or end; of several there the least."""
+    bases = F.left("sequence", F.lit(n)) if head else F.right("sequence", F.lit(n))
+    return slices.select(F.col("name").alias("_name"), F.col("start" if head else "end").alias("_at"), bases.alias(out)).groupBy("_name", "_at").agg(F.min(out).alias(out))
+
+
+def _beside(slices: DataFrame, edges: DataFrame, at: str) -> DataFrame:
+    """slices with the edge that abuts them at their start or end. Joined on name and place, so a chromosome is no single key."""
+    return slices.join(edges, (F.col("name") == F.col("_name")) & (F.col(at) == F.col("_at")), "left").drop("_name", "_at")
+
+
 def flank_adjacent(slices: DataFrame, n: int) -> DataFrame:
     """Every slice extended by up to n bases of the slices that abut it. Half-open bounds throughout."""
-    w = Window.partitionBy("name").orderBy("start")
-    after = F.when(F.lead("start").over(w) == F.col("end"), F.substring(F.lead("sequence").over(w), 1, n))
-    before = F.when(F.lag("end").over(w) == F.col("start"), F.expr(f"right(lag(sequence) over (partition by name order by start), {n})"))
-    out = slices.withColumn("_b", F.coalesce(before, F.lit(""))).withColumn("_a", F.coalesce(after, F.lit("")))
+    out = _beside(_beside(slices, _edges(slices, n, True, "_a"), "end"), _edges(slices, n, False, "_b"), "start")
+    out = out.withColumns({"_a": F.coalesce("_a", F.lit("")), "_b": F.coalesce("_b", F.lit(""))})
     return out.withColumns({"sequence": F.concat("_b", "sequence", "_a"), "start": F.col("start") - F.length("_b"), "end": F.col("end") + F.length("_a"), "length": (F.length("sequence") + F.length("_a") + F.length("_b")).cast("long")}).drop("_a", "_b")
 
 
@@ -84,9 +93,8 @@ def count_kmers(sequences: DataFrame, k: int) -> DataFrame:
 def count_slice_kmers(slices: DataFrame, k: int) -> DataFrame:
     """k-mers over slice borders counted once: every slice also sees the first k - 1 bases of the next
     one it abuts. Windows of exactly k, so a stretch shorter than k gives none."""
-    w = Window.partitionBy("name").orderBy("start")
-    after = F.when(F.lead("start").over(w) == F.col("end"), F.substring(F.lead("sequence").over(w), 1, k - 1))
-    s = slices.select(F.concat("sequence", F.coalesce(after, F.lit(""))).alias("s")).where(F.length("s") >= k)
+    after = _beside(slices.select("name", "end", "sequence"), _edges(slices, k - 1, True, "_a"), "end") if k > 1 else slices.withColumn("_a", F.lit(""))
+    s = after.select(F.concat("sequence", F.coalesce("_a", F.lit(""))).alias("s")).where(F.length("s") >= k)
     return s.select(F.explode(kmers(F.col("s"), k)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
 
 

@@ -32,7 +32,6 @@ def filter_to_reference(df: DataFrame, *names: str) -> DataFrame:
     return df.where(F.col("referenceName").isin(*names))
 
 
-
 def _snv() -> Column:
     return (F.length("referenceAllele") == 1) & (F.length("alternateAllele") == 1)
 
@@ -112,6 +111,9 @@ def copy_end_to_attribute(genotypes: DataFrame) -> DataFrame:
     return genotypes.withColumn("variant", F.col("variant").withField("annotation", F.coalesce("variant.annotation", F.from_json(F.lit("{}"), genotypes.schema["variant"].dataType["annotation"].dataType)).withField("attributes", both)))
 
 
+#: INFO flags and the columns of the annotation they are held in.
+INFO_FLAGS = {"dbSnp": "DB", "hapMap2": "H2", "hapMap3": "H3", "validated": "VALIDATED", "thousandGenomes": "1000G", "somatic": "SOMATIC"}
+
 # Transcript effects (ANN).
 
 #: The fields of an ANN entry, in order.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from strandlake.frame import GenomicFrame, Meta
 from strandlake.functions.intervals import parse_regions
 from strandlake.operators import coverage as cov
 from strandlake.operators import sequences as sq
+from strandlake.operators.joins import Fields
 from strandlake.operators.reads import to_fragments
 from strandlake.operators.sequences import slice_by_length
 from strandlake.operators.variants import to_variant_contexts, variants_to_contexts
@@ -65,8 +67,10 @@ def load_alignments(spark: SparkSession, path: str, mates: str | None = None, re
 
 
 def load_fragments(spark: SparkSession, path: str, mates: str | None = None) -> GenomicFrame:
+    """Fragments; the regions of one are those of its alignments."""
     f = load_alignments(spark, path, mates)
-    return f if "alignments" in f.df.columns else f.transmute(to_fragments)
+    fields = Fields(many="alignments")
+    return replace(f, fields=fields) if "alignments" in f.df.columns else f.transmute(to_fragments, fields)
 
 
 def load_features(spark: SparkSession, path: str, regions: str | None = None) -> GenomicFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from strandlake.operators.features import gather_attributes, interpolate_score, name_of, strand_text
 from strandlake.operators.reads import flags
+from strandlake.operators.variants import INFO_FLAGS, format_effects
 from strandlake.schemas import SCHEMAS
 
 
@@ -187,8 +188,15 @@ def vcf_lines(contexts: DataFrame, samples: list[str], keep: tuple[str, ...] = (
     info = lambda k, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{k}="), F.col(c).cast("string")))
     flag = lambda k, c: F.when(F.col(c), F.lit(k))
     a = v + "annotation."
+    held = contexts.select(a + "*").columns
     rest = F.transform(F.array_sort(F.map_entries(F.coalesce(F.col(a + "attributes"), F.create_map().cast("map<string,string>")))), lambda e: F.when(e["value"] == "true", e["key"]).otherwise(F.concat(e["key"], F.lit("="), e["value"])))
-    known = F.array_compact(F.array(info("AA", a + "ancestralAllele"), info("AC", a + "alleleCount"), info("AF", a + "alleleFrequency"), flag("DB", a + "dbSnp"), flag("H2", a + "hapMap2"), flag("H3", a + "hapMap3"), flag("VALIDATED", a + "validated"), flag("1000G", a + "thousandGenomes"), flag("SOMATIC", a + "somatic")))
+    both = lambda k, r, x: F.when(F.col(a + r).isNotNull() & F.col(a + x).isNotNull(), F.concat(F.lit(f"{k}="), F.col(a + r), F.lit(","), F.col(a + x)))
+    known = [(("ancestralAllele",), info("AA", a + "ancestralAllele")), (("alleleCount",), info("AC", a + "alleleCount")), (("alleleFrequency",), info("AF", a + "alleleFrequency")), (("cigar",), info("CIGAR", a + "cigar"))]
+    known += [(x, both(k, *x)) for k, x in (("AD", ("referenceReadDepth", "readDepth")), ("ADF", ("referenceForwardReadDepth", "forwardReadDepth")), ("ADR", ("referenceReverseReadDepth", "reverseReadDepth")))]
+    known += [((c,), flag(k, a + c)) for c, k in INFO_FLAGS.items()]
+    if "transcriptEffects" in held:
+        known.append((("transcriptEffects",), F.when(F.size(a + "transcriptEffects") > 0, F.concat(F.lit("ANN="), format_effects(F.col(a + "transcriptEffects"))))))
+    known = F.array_compact(F.array(*[c for need, c in known if set(need) <= set(held)]))
     filters = F.when(~F.coalesce(F.col(v + "filtersApplied"), F.lit(False)), ".").when(F.col(v + "filtersPassed"), "PASS").otherwise(F.array_join(v + "filtersFailed", ";"))
     code = lambda x: F.when(x == "REF", "0").when(x == "ALT", "1").otherwise(".")
     dot = lambda c: F.coalesce(c.cast("string"), F.lit("."))
@@ -199,7 +207,12 @@ def vcf_lines(contexts: DataFrame, samples: list[str], keep: tuple[str, ...] = (
         gt = F.when(F.coalesce(g["phased"], F.lit(False)), gt).otherwise(F.replace(gt, F.lit("|"), F.lit("/")))
         ad = F.when(g["referenceReadDepth"].isNull(), ".").otherwise(F.concat_ws(",", g["referenceReadDepth"], dot(g["alternateReadDepth"])))
         pl = F.array_join(F.transform(g["genotypeLikelihoods"], lambda p: F.floor(-p / 0.2302585092994046 + 0.5).cast("string")), ",")
-        return F.when(g.isNull(), "./.").otherwise(F.concat_ws(":", gt, ad, dot(g["readDepth"]), dot(g["genotypeQuality"]), dot(pl)))
+        notes = g["variantCallingAnnotations"] if "variantCallingAnnotations" in fields else None
+        ft = F.when(~F.coalesce(notes["filtersApplied"], F.lit(False)), ".").when(notes["filtersPassed"], "PASS").otherwise(F.array_join(notes["filtersFailed"], ";")) if notes is not None else F.lit(".")
+        more = [dot(g[c]) if c in fields else F.lit(".") for c in ("minReadDepth", "phaseSetId", "phaseQuality")]
+        return F.when(g.isNull(), "./.").otherwise(F.concat_ws(":", gt, ad, dot(g["readDepth"]), dot(g["genotypeQuality"]), dot(pl), *more, F.coalesce(ft, F.lit("."))))
+
+    fields = contexts.schema["genotypes"].dataType.elementType.fieldNames() if samples else []
 
     all_info = F.array_join(F.concat(known, rest), ";")
     cols = [
@@ -207,7 +220,7 @@ def vcf_lines(contexts: DataFrame, samples: list[str], keep: tuple[str, ...] = (
         F.when(F.col(v + "quality").isNull(), ".").otherwise(F.col(v + "quality").cast("string")), filters, F.when(all_info == "", ".").otherwise(all_info),
     ]
     if samples:
-        cols += [F.lit("GT:AD:DP:GQ:PL"), *[call(s) for s in samples]]
+        cols += [F.lit("GT:AD:DP:GQ:PL:MIN_DP:PS:PQ:FT"), *[call(s) for s in samples]]
     return contexts.select(*keep, F.concat_ws("\t", *cols).alias("value"))
 
 
@@ -215,6 +228,7 @@ def vcf_lines(contexts: DataFrame, samples: list[str], keep: tuple[str, ...] = (
 VCF_LINES = (
     '##fileformat=VCFv4.2', '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', '##FORMAT=<ID=AD,Number=R,Type=Integer,Description="Read depths per allele">', '##FORMAT=<ID=DP,Number=1,Type=Integer,Description="Read depth">',
     '##FORMAT=<ID=GQ,Number=1,Type=Integer,Description="Genotype quality">', '##FORMAT=<ID=PL,Number=G,Type=Integer,Description="Phred-scaled genotype likelihoods">',
+    '##FORMAT=<ID=MIN_DP,Number=1,Type=Integer,Description="Least read depth">', '##FORMAT=<ID=PS,Number=1,Type=Integer,Description="Phase set">', '##FORMAT=<ID=PQ,Number=1,Type=Integer,Description="Phase quality">', '##FORMAT=<ID=FT,Number=1,Type=String,Description="Filters of the genotype">',
 )
 
 

@@ -12,7 +12,7 @@ from strandlake.functions.cigar import reference_length
 from strandlake.functions.text import pair_number, strip_pair_suffix, tag_value
 from strandlake.operators.features import gff3_entries, gtf_entries, last_wins, to_dbxref, to_strand
 from strandlake.operators.reads import from_flags
-from strandlake.operators.variants import parse_effects
+from strandlake.operators.variants import INFO_FLAGS, parse_effects
 from strandlake.plans.runtime import join_bounded
 from strandlake.schemas import SCHEMAS
 from strandlake.sources import ranges
@@ -201,8 +201,7 @@ def read_interval_list(spark: SparkSession, path: Paths) -> DataFrame:
 
 # Variants.
 
-#: INFO keys that are columns of the annotation, flags and numbers.
-INFO_FLAGS = {"dbSnp": "DB", "hapMap2": "H2", "hapMap3": "H3", "validated": "VALIDATED", "thousandGenomes": "1000G", "somatic": "SOMATIC"}
+#: INFO and FORMAT keys that are columns.
 INFO_KNOWN = ("AA", "AC", "AF", "CIGAR", "AD", "ADF", "ADR", "ANN", "DP", *INFO_FLAGS.values())
 FORMAT_KNOWN = ("GT", "AD", "DP", "MIN_DP", "GQ", "PL", "SB", "PS", "PQ", "FT", "FS", "MQ", "MQ0")
 

@@ -1,5 +1,7 @@
 import importlib
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -13,6 +15,13 @@ def test_names_and_sql_agree():
     assert set(o) <= set(q) and {"p3_found", "j0_reads_per_feature"} <= set(q)
 
 
+def test_queries_are_listed_without_a_session():
+    """The driver may ask for the queries before it has a session."""
+    here = os.path.dirname(e.__file__)
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=here, capture_output=True, text=True, check=True).stdout
+    assert [int(x) for x in out.split()] == [len(e.queries()), len(e.oracle_sql())]
+
+
 def test_core_never_imports_the_llm_package():
     here = os.path.join(os.path.dirname(e.__file__), "strandlake")
     for folder, _, files in os.walk(here):

@@ -252,6 +252,8 @@ def test_vcf(spark, tmp_path):
     c = to_variant_contexts(load.load_genotypes(spark, p).df)
     sinks.save_vcf(c, str(tmp_path / "b.vcf"), ["s1", "s2"], single=True)
     again = load.load_genotypes(spark, str(tmp_path / "b.vcf")).df
+    note = again.where("sampleId = 's1' and variant.alternateAllele = 'G'").first().variant.annotation
+    assert (note.readDepth, note.referenceReadDepth, note.dbSnp, note.attributes) == (4, 9, True, {"XX": "y"})
     assert again.count() == 8 and {x.start for x in again.collect()} == {10, 19, 29}
     assert again.where("sampleId = 's1' and variant.alternateAllele = 'C'").collect()[0].alleles == ["REF", "ALT"]
 
@@ -277,6 +279,17 @@ def test_vcf_files_with_other_samples(spark, tmp_path):
     assert load.load_variant_contexts(spark, bare).df.first().genotypes == []
 
 
+def test_fragments_have_several_regions(spark, tmp_path):
+    """A fragment takes part in filters and joins by each of its alignments; an unmapped one has no region."""
+    f = load.load_fragments(spark, put(tmp_path / "a.sam", SAM))
+    assert f.filter_by_overlapping_region("1", 100, 105).df.count() == 1 and f.filter_by_overlapping_region("1", 30, 90).df.count() == 0
+    g = GenomicFrame(spark.createDataFrame([("1", 15, 16, "a"), ("1", 105, 106, "b"), ("1", 50, 60, "c"), ("1", 0, 500, "d")], "referenceName string, start long, end long, i string"))
+    pairs = [(r.left.name, r.right.i) for r in f.shuffle_region_join(g).collect()]
+    assert sorted(pairs) == [("r1", "a"), ("r1", "b"), ("r1", "d"), ("r1", "d")] and g.broadcast_region_join(f).count() == 4
+    lone = f.left_outer_shuffle_region_join(g).where("right is null").collect()
+    assert [r.left.name for r in lone] == ["r2"]
+
+
 def test_many_regions_mean_the_same_as_few(spark):
     from strandlake.operators.joins import Fields
 
@@ -371,6 +384,15 @@ def test_command_line(spark, tmp_path, capsys):
     sam, out = put(tmp_path / "a.sam", SAM), lambda n: str(tmp_path / n)
     cli.main(["transformAlignments", sam, out("x"), "--mark-duplicates", "--sort", "reference", "--bin-quality-scores", "0,60,20"])
     assert load.load_alignments(spark, out("x")).df.where("qualityScores is not null").select("qualityScores").distinct().collect()[0][0] == "5" * 10
+    more = ["--recalibrate", "--realign-indels", "--unclip-reads", "--left-normalize-indels", "--limit-projection", "--aligned-only", "--cache", "--read-group", "g2", "--sampling-fraction", "1.0", "--coalesce", "2", "--force-shuffle", "--sort", "name"]
+    cli.main(["transformAlignments", sam, out("y"), *more])
+    y = load.load_alignments(spark, out("y"))
+    assert y.df.count() == 2 and {r.readGroupId for r in y.df.collect()} == {"g2"} and "attributes" not in y.df.columns and y.meta.steps[-1].startswith("transformAlignments")
+    cli.main(["transformAlignments", sam, out("z.bam"), "--single", "--disable-steps", "--md-tag-fragment-size", "9"])
+    cli.main(["transformAlignments", out("z.bam"), out("p"), "--load", "bam", "--partition-by-start", "--partition-bin-size", "50"])
+    assert spark.read.parquet(out("p")).where("referenceName = '1'").select("positionBin").distinct().count() == 2
+    with pytest.raises(ValueError, match="exclude"):
+        cli.main(["transformAlignments", sam, out("q"), "--aligned-only", "--regions", "1:0-5"])
     cli.main(["countKmers", sam, out("k"), "4"])
     assert "ACGT\t5" in lines(spark, out("k"))
     cli.main(["coverage", sam, out("c"), "--collapse"])

@@ -21,7 +21,7 @@ from strandlake.operators import variants as va
 from strandlake.operators.bqsr import covariates, observe, recalibrate, recalibration_table
 from strandlake.operators.markdup import mark_duplicates
 from strandlake.operators.mdtags import compute_mismatching_positions, left_normalize_indels
-from strandlake.operators.realign import place, realign_indels, sweep
+from strandlake.operators.realign import left_out, place, realign_indels, sweep
 from strandlake.schemas import SCHEMAS
 
 COV = "referenceName string, start long, end long, count double, optSampleId string"
@@ -241,6 +241,12 @@ def test_realignment(spark):
     out = {r.readName: r for r in realign_indels(frame(spark, good + bad + far)).collect()}
     assert len(out) == 9 and out["r10"].cigar == "15M4D5M" and out["r10"].start == 3 and out["r10"].mismatchingPositions == f"15^{ref[18:22]}5"
     assert out["r10"].originalCigar == "20M" and out["r10"].mappingQuality == 70 and out["r50"].cigar == "10M" and out["r51"].cigar is None
+    # Soft-clipped bases are aligned too where asked for; targets with too many reads are told of.
+    clipped = [read(20, sequence=hap[8:28], cigar="10M10S", start=8, end=18, mismatchingPositions="10", qualityScores="I" * 20)]
+    asked = {r.readName: r.cigar for r in realign_indels(frame(spark, good + bad + clipped), unclip=True).collect()}
+    assert asked["r20"] == "10M4D10M" and {r.readName: r.cigar for r in realign_indels(frame(spark, good + bad + clipped)).collect()}["r20"].endswith("10S")
+    few = left_out(frame(spark, good + bad), max_reads=5).collect()
+    assert [(r.start, r.end, r.reads, r.why) for r in few] == [(8, 32, 7, "reads")] and left_out(frame(spark, good + bad)).count() == 0
     assert place(2, 6, mt.Consensus("GG", 14, 14), 10) == (12, 16, "2M2I2M") and place(5, 4, mt.Consensus("GG", 14, 14), 10) == (14, 17, "1S3M")
 
 
