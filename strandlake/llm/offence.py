@@ -27,6 +27,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,8 @@ BLOCK = 64
 BUCKETS = 1 << 20
 #: Least weight of a feature.
 LEAST_IDF = 0.05
+#: Rows that are bounded at once, so that their numbers stay in a core's cache.
+ROWS = 400
 #: Results of sentences that a worker keeps, as many sentences return.
 CACHED = 200_000
 KINDS = ("clean", "abuse", "hate", "sexual")
@@ -51,6 +54,8 @@ LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"')\]]*\s+|[\r\n]+")
 _SPACED = re.compile(r"(?<!\w)(?:\w[ .\-_*]){2,}\w(?!\w)")
 _GAP = re.compile(r"[ .\-_*]")
+#: What every match of _SPACED ends in; few texts have it.
+_MAY_BE_SPACED = re.compile(r"[ .\-_*]\w[ .\-_*]\w\b")
 _MASKED = re.compile(r"^([^\W\d_])\*{2,}([^\W\d_])?$")
 _PURE = re.compile(r"^[^\W\d_]+$")
 _WORD = re.compile(r"[^\W_]+")
@@ -85,12 +90,17 @@ def token(t: str) -> tuple[str, ...]:
     """The words that a blank-separated token of a plain text stands for, folded: letter-like signs
     read as letters, repeated letters as one, a masked word (w***d) as w*length*d, pictographs as
     words. Code names and addresses count as one word, numbers as another: they are no words to compare by."""
+    core = t.strip(_EDGE)
+    if core.isalpha() and t.isascii() and (core.isupper() or core[1:].islower() or len(core) == 1):
+        # A plain word between plain signs: no pattern but that of repeated letters can match.
+        return (_REPEAT.sub(r"\1", core.lower()),)
     return tuple(w for x in _fold(_NUMBER.sub("0", _CODE.sub(" idf ", t))).split() for w in _word(x))
 
 
 def sentences(text: str) -> list[str]:
     """Sentences and lines of the whole plain text, spaced-out letters (w o r d) joined."""
-    return _SENTENCE.split(_SPACED.sub(lambda m: _GAP.sub("", m.group()), plain(text, emphasis=True)))
+    t = plain(text, emphasis=True)
+    return _SENTENCE.split(_SPACED.sub(lambda m: _GAP.sub("", m.group()), t) if _MAY_BE_SPACED.search(t) else t)
 
 
 def split(sentence: str, most: int = 40, overlap: int = 10) -> list[list[str]]:
@@ -120,8 +130,9 @@ _SHIFT = 64 - (BUCKETS.bit_length() - 1)
 
 
 def word_key(w: str) -> int:
-    """64 bits of a word; the last one tells masked words."""
-    return xxhash.xxh64_intdigest(w) & ~1 | ("*" in w)
+    """32 bits of a word; the last one tells masked words. Two words of one key share their counts, and the bounds take either
+    for the other; examples are compared by the words themselves."""
+    return xxhash.xxh32_intdigest(w) & ~1 | ("*" in w)
 
 
 def feature_key(f) -> int:
@@ -138,7 +149,17 @@ _FIRST, _LAST = np.uint64(word_key("^")), np.uint64(word_key("$"))
 
 @functools.lru_cache(maxsize=CACHED)
 def token_bytes(t: str) -> bytes:
-    return b"".join(word_key(w).to_bytes(8, "little") for w in token(t))
+    return b"".join(word_key(w).to_bytes(4, "little") for w in token(t))
+
+
+@functools.lru_cache(maxsize=CACHED // 4)
+def sentence_bytes(s: str) -> bytes:
+    """The keys of a sentence's words; many sentences return."""
+    return b"".join(map(token_bytes, s.split()))
+
+
+def keys_of(h: bytes) -> np.ndarray:
+    return np.frombuffer(h, "uint32").astype("uint64")
 
 
 #: What stands between the sentences of a plain text; it is a blank, so no word holds it.
@@ -148,8 +169,8 @@ BREAK = "\x1e"
 def hashed(text: str) -> tuple[bytes, bytes, str]:
     """(keys of the words, number of words of each sentence, the sentences), empty sentences too."""
     held = [s.replace(BREAK, " ") for s in sentences(text)] if BREAK in text else sentences(text)
-    parts = [b"".join(map(token_bytes, s.split())) for s in held]
-    return b"".join(parts), np.array([len(p) // 8 for p in parts], "int32").tobytes(), BREAK.join(held)
+    parts = list(map(sentence_bytes, held))
+    return b"".join(parts), np.array([len(p) // 4 for p in parts], "int32").tobytes(), BREAK.join(held)
 
 
 def _sentence_pairs(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -192,7 +213,7 @@ def windows_of(n: int, most: int = 40, overlap: int = 10, long: int = 16, size:
     return tuple(out + [(o + i, min(size, k - i)) for o, k in out if k > long for i in range(0, k - size // 2, size // 2)])
 
 
-#: Least ratio of a squared weight (1 + log c)^2 to the count c among n words: what repeats may take from a norm.
+#: Least ratio of a squared weight (1 + log c)^2 to the count c, by the greatest c there may be: what repeats may take from a norm.
 _REPEATS = np.minimum.accumulate([1.0] + [(1 + math.log(c)) ** 2 / c for c in range(1, 64)])
 
 
@@ -201,7 +222,7 @@ class Index:
 
     examples: (tokens, share of raters who found offence, kind, doc_id); weights: of all features;
     strong: words of offending examples, which masked words are read as, and their
-    weight; held: vectors by tokens, shared between indexes with the same weights.
+    weight; held: the clean postings, shared between indexes with the same weights.
     """
 
     def __init__(self, examples: list[tuple], weights: Weights, min_sim: float, k: int, strong: dict[str, float], held: dict):
@@ -218,25 +239,16 @@ class Index:
         self.text = [" ".join(e[0]) for e in examples]
         self.n_bad = int((self.label >= 0.5).sum())
         self.of_doc = defaultdict(list)
-        post_rows, post_weights = defaultdict(list), defaultdict(list)
-        for i, (w, _, _, d) in enumerate(examples):
-            if i < self.n_bad:
-                self.of_doc[d].append(i)
-            key = tuple(w)
-            if (v := held.get(key)) is None:
-                v = held[key] = self.vector(w)
-            for f, x in v:
-                post_rows[f].append(i)
-                post_weights[f].append(x)
+        for i, (_, _, _, d) in enumerate(examples[: self.n_bad]):
+            self.of_doc[d].append(i)
         self.of_doc = dict(self.of_doc)
-        self.ids = {f: j for j, f in enumerate(post_rows)}
-        # Per side (clean, offending) and feature: examples, weights, greatest weight.
-        self.post: tuple[list, list] = ([], [])
-        for r, x in zip(post_rows.values(), post_weights.values()):
-            r, x = np.array(r, dtype="int32"), np.array(x, dtype="float32")
-            c = int(np.searchsorted(r, self.n_bad))
-            self.post[1].append((r[:c], x[:c], float(x[:c].max())) if c else None)
-            self.post[0].append((r[c:] - self.n_bad, x[c:], float(x[c:].max())) if c < len(r) else None)
+        # Per side (clean, offending) and feature: examples, weights, greatest weight. The clean side is that of `held` if it is the same.
+        clean = [tuple(e[0]) for e in examples[self.n_bad :]]
+        if held.get(None, (None,))[0] != clean:
+            held[None] = (clean, self.postings(clean))
+        sides = (held[None][1], self.postings([tuple(e[0]) for e in examples[: self.n_bad]]))
+        self.ids = {f: j for j, f in enumerate(dict.fromkeys(chain(sides[1], sides[0])))}
+        self.post: tuple[list, list] = tuple([side.get(f) for f in self.ids] for side in sides)
         # Block maxima of the offending blocks, a row per feature that any of them has; gain: what a
         # feature may add to the product with any of them.
         self.n_blocks = -(-self.n_bad // BLOCK)
@@ -256,6 +268,31 @@ class Index:
         masks = sorted((word_key(m), word_key(w)) for m, w in self.masks.items())
         self.mask_keys = (np.array([k for k, _ in masks], "uint64"), np.array([w for _, w in masks], "uint64"))
 
+    def postings(self, texts: list[tuple]) -> dict:
+        """Feature to (numbers of the texts that have it, its weights there, the greatest one)."""
+        if not texts:
+            return {}
+        ids: dict = {}
+        of, factors, sizes = [], [], []
+        for key in texts:
+            fs = features(key)
+            if len(set(fs)) < len(fs):
+                counts = Counter(fs)
+                fs = list(counts)
+                factors += [1 + math.log(c) for c in counts.values()]
+            else:
+                factors += [1.0] * len(fs)
+            of += [ids.setdefault(f, len(ids)) for f in fs]
+            sizes.append(len(fs))
+        of, starts = np.array(of, "int64"), np.cumsum(sizes) - sizes
+        w = np.array([self.weight(f) for f in ids])[of] * np.array(factors)
+        w /= np.repeat(np.sqrt(np.add.reduceat(w * w, starts)), sizes)
+        order = np.argsort(of, kind="stable")
+        rows, weights = np.repeat(np.arange(len(texts), dtype="int32"), sizes)[order], w[order].astype("float32")
+        ends = np.cumsum(np.bincount(of, minlength=len(ids)))
+        starts = [0, *ends[:-1]]
+        return {f: (rows[a:b], weights[a:b], float(m)) for f, a, b, m in zip(ids, starts, ends, np.maximum.reduceat(weights, starts))}
+
     def weight(self, f) -> float:
         if (x := self.idf.get(f)) is None:
             x = self.idf[f] = self.weights.of(f)
@@ -264,7 +301,11 @@ class Index:
         return x
 
     def vector(self, w: list[str]) -> list[tuple]:
-        v = [(f, (1 + math.log(c)) * self.weight(f)) for f, c in Counter(features(w)).items()]
+        fs = features(w)
+        if len(set(fs)) == len(fs):
+            v = [(f, self.weight(f)) for f in fs]
+        else:
+            v = [(f, (1 + math.log(c)) * self.weight(f)) for f, c in Counter(fs).items()]
         norm = math.sqrt(sum(x * x for _, x in v)) or 1.0
         return [(f, x / norm) for f, x in v]
 
@@ -303,7 +344,7 @@ class Index:
             w, p = upto(words[i]), upto(pairs[i])
             total[i] = w[b] - w[a] + p[b - 1] - p[a] + begin[i] + end[i]
         # Repeats make a norm smaller than the sum over all occurrences, by no more than this.
-        least = self.min_sim * np.sqrt(_REPEATS[np.minimum(2 * size, 63)] * total[0]) * (1 - 1e-5) - 1e-6
+        least = self.min_sim * np.sqrt(_REPEATS[np.minimum(size + 1, 63)] * total[0]) * (1 - 1e-5) - 1e-6
         may = np.flatnonzero(total[1] >= least)
         keep = []
         next_row = np.append(pairs[2], len(self.bad_row))
@@ -347,14 +388,14 @@ class Index:
             total += np.where(r[at] == found, x * v[at], np.float32(0))
         return found[total >= least], total[total >= least]
 
-    def nearest(self, w: list[str], skip: list[int] = (), alone: bool = False) -> tuple[float, int, float]:
+    def nearest(self, w: list[str], skip: list[int] = (), alone: bool = False, bounded: bool = False) -> tuple[float, int, float]:
         """(score, nearest offending example or -1, its similarity). skip: offending examples that
-        don't count. alone: a passage near to no example at all scores 1 instead of 0."""
+        don't count. alone: a passage near to no example at all scores 1 instead of 0. bounded: it is one of candidates()."""
         none = (0.0, -1, 0.0)
         if not self.n_bad:
             return none
         fs = features([self.masks.get(t, t) if "*" in t else t for t in w])
-        if not alone:
+        if not alone and not bounded:
             # Each occurrence counted in full in the product, each feature once in the norm: above the
             # cosine, first of all blocks together, then of each.
             least = self.min_sim * math.sqrt(sum(self.weight(f) ** 2 for f in set(fs)))
@@ -403,7 +444,7 @@ def fit(labelled: list[tuple[int, str, dict[str, int]]], min_sim: float = 0.35,
         counts, n = np.zeros(BUCKETS, "int64"), 0
         for _, t, _ in labelled:
             h, m, _ = hashed(t)
-            n += add_counts(counts, np.frombuffer(h, "uint64"), np.frombuffer(m, "int32"))
+            n += add_counts(counts, keys_of(h), np.frombuffer(m, "int32"))
         weights = Weights(counts, n)
     docs = [(d, *majority(ls), [p for s in sentences(t) for p in split(s)]) for d, t, ls in labelled]
     bad, clean = Counter(), Counter()
@@ -469,7 +510,7 @@ def worst_of_rows(ix: Index, said: list[str], h: list[bytes], n: list[bytes]) ->
     counts = np.frombuffer(b"".join(n), "int32")
     per = np.array([len(x) // 4 for x in n], "int64")
     first, row = np.cumsum(per) - per, np.repeat(np.arange(len(said)), per)
-    sent, off, size = ix.candidates(np.frombuffer(b"".join(h), "uint64"), counts)
+    sent, off, size = ix.candidates(keys_of(b"".join(h)), counts)
     at, held, no = -1, [], -1
     for s, o, k in zip(sent.tolist(), off.tolist(), size.tolist()):
         r = int(row[s])
@@ -479,7 +520,7 @@ def worst_of_rows(ix: Index, said: list[str], h: list[bytes], n: list[bytes]) ->
             no, w = s, list(chain.from_iterable(map(token, held[s - int(first[r])].split())))
         key = tuple(w[o : o + k])
         if (hit := ix.cache.get(key)) is None:
-            score, i, sim = ix.nearest(list(key))
+            score, i, sim = ix.nearest(list(key), bounded=True)
             hit = (score, ix.kind[i], sim, " ".join(key), ix.text[i]) if score else (0.0,)
             if len(ix.cache) >= CACHED:
                 ix.cache.clear()
@@ -535,19 +576,22 @@ def hash_corpus(docs: DataFrame) -> tuple[DataFrame, Weights]:
     them. A task adds its counts up; tasks' counts are summed by block of buckets, so what comes to the driver is the
     table of BUCKETS numbers, whatever the corpus."""
 
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, total = np.zeros(BUCKETS, "int64"), 0
         for b in batches:
-            rows = [hashed(t) if t else (b"", b"", "") for t in b["text"]]
-            total += add_counts(counts, np.frombuffer(b"".join(r[0] for r in rows), "uint64"), np.frombuffer(b"".join(r[1] for r in rows), "int32"))
-            yield b[["doc_id", "source"]].assign(said=[r[2] for r in rows], h=[r[0] for r in rows], n=[r[1] for r in rows], block=None, c=None)
+            rows = [hashed(t) if t else (b"", b"", "") for t in b.column("text").to_pylist()]
+            total += add_counts(counts, keys_of(b"".join(r[0] for r in rows)), np.frombuffer(b"".join(r[1] for r in rows), "int32"))
+            h, n, said = (pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.binary(), pa.binary(), pa.string())))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), said, h, n, pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.list_(pa.int64()))], names)
         blocks = counts.reshape(-1, ROW)
         some = np.flatnonzero(blocks.any(axis=1))
-        yield pd.DataFrame({"doc_id": None, "source": None, "said": None, "h": None, "n": None, "block": [-1, *some], "c": [[total], *map(list, blocks[some].tolist())]})
+        c = pa.array([[total], *blocks[some].tolist()], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(c), k) for k in (pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary())), pa.array([-1, *some.tolist()], pa.int32()), c], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
     path = scratch(docs.sparkSession, "hashed")
-    spread(rows).mapInPandas(kernel, HASHED).write.parquet(path)
+    names = [c.split()[0] for c in HASHED.split(", ")]
+    spread(rows).mapInArrow(kernel, HASHED).write.option("compression", "zstd").parquet(path)
     held = docs.sparkSession.read.schema(HASHED).parquet(path)
     sums = held.where("block is not null").groupBy("block").agg(*[F.sum(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(ROW)])
     counts, n = np.zeros((BUCKETS // ROW, ROW), "int64"), 0
@@ -581,7 +625,8 @@ def score_offence(docs: DataFrame, labels: DataFrame, min_sim: float = 0.35, k:
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix, a, b = sent.value
         for batch in batches:
-            rows = worst_of_rows(ix, batch["said"].to_list(), batch["h"].to_list(), batch["n"].to_list())
+            cols = [batch[c].to_list() for c in ("said", "h", "n")]
+            rows = [x for i in range(0, len(batch), ROWS) for x in worst_of_rows(ix, *(c[i : i + ROWS] for c in cols))]
             raw = np.array([r[0] for r in rows], dtype=float)
             yield pd.DataFrame(
                 {"doc_id": batch["doc_id"], "source": batch["source"], "raw_score": raw, "score": raw if a is None else 1 / (1 + np.exp(-a - b * raw))}

@@ -248,7 +248,7 @@ def test_counts_cover_the_corpus(spark):
     counts, n = np.zeros(of.BUCKETS, "int64"), 0
     for _, t, _ in docs:
         h, m, _ = of.hashed(t)
-        n += of.add_counts(counts, np.frombuffer(h, "uint64"), np.frombuffer(m, "int32"))
+        n += of.add_counts(counts, of.keys_of(h), np.frombuffer(m, "int32"))
     assert rows.count() == 202 and np.array_equal(w.table, of.Weights(counts, n).table)
     assert w.of("parser") == w.of_keys(np.array([of.feature_key("parser")], "uint64"))[0] and w.of(("the", "parser")) > w.of("the")
 
