@@ -235,15 +235,16 @@ class Index:
         self.idf: dict = {}
         examples = sorted(examples, key=lambda e: (e[1] < 0.5, e[2], e[0], e[3]))
         self.label = np.array([e[1] for e in examples], dtype="float64")
-        self.kind = [e[2] for e in examples]
-        self.text = [" ".join(e[0]) for e in examples]
         self.n_bad = int((self.label >= 0.5).sum())
+        # Of the offending examples only, which are the evidence.
+        self.kind = [e[2] for e in examples[: self.n_bad]]
+        self.text = [" ".join(e[0]) for e in examples[: self.n_bad]]
         self.of_doc = defaultdict(list)
         for i, (_, _, _, d) in enumerate(examples[: self.n_bad]):
             self.of_doc[d].append(i)
         self.of_doc = dict(self.of_doc)
         # Per side (clean, offending) and feature: examples, weights, greatest weight. The clean side is that of `held` if it is the same.
-        clean = [tuple(e[0]) for e in examples[self.n_bad :]]
+        self.clean = clean = [tuple(e[0]) for e in examples[self.n_bad :]]
         if held.get(None, (None,))[0] != clean:
             held[None] = (clean, self.postings(clean))
         sides = (held[None][1], self.postings([tuple(e[0]) for e in examples[: self.n_bad]]))
@@ -268,6 +269,26 @@ class Index:
         masks = sorted((word_key(m), word_key(w)) for m, w in self.masks.items())
         self.mask_keys = (np.array([k for k, _ in masks], "uint64"), np.array([w for _, w in masks], "uint64"))
 
+    def __getstate__(self) -> dict:
+        """As it is sent: postings end to end, without what can be looked up again."""
+        state = {k: v for k, v in self.__dict__.items() if k not in ("post", "idf", "cache", "clean")}
+        empty = (np.zeros(0, "int32"), np.zeros(0, "float32"), 0.0)
+        state["packed"] = [(np.array([len(p[0]) if p else 0 for p in side]), *(np.concatenate([(p or empty)[i] for p in side] or [empty[i]]) for i in (0, 1))) for side in self.post]
+        return state
+
+    def __setstate__(self, state: dict) -> None:
+        packed = state.pop("packed")
+        self.__dict__.update(state, idf={}, cache={})
+        sides = []
+        for sizes, rows, weights in packed:
+            ends = np.cumsum(sizes).tolist()
+            starts = [0, *ends[:-1]]
+            most = np.zeros(len(sizes))
+            if len(rows):
+                most[sizes > 0] = np.maximum.reduceat(weights, np.array(starts)[sizes > 0])
+            sides.append([(rows[a:b], weights[a:b], m) if b > a else None for a, b, m in zip(starts, ends, most.tolist())])
+        self.post = tuple(sides)
+
     def postings(self, texts: list[tuple]) -> dict:
         """Feature to (numbers of the texts that have it, its weights there, the greatest one)."""
         if not texts:
@@ -428,8 +449,8 @@ def majority(labels: dict[str, int]) -> tuple[float, str]:
     return sum(bad.values()) / max(1, sum(labels.values())), min(bad, key=lambda x: (-bad[x], x)) if bad else "clean"
 
 
-def fit(labelled: list[tuple[int, str, dict[str, int]]], min_sim: float = 0.35, k: int = 12, weights: Weights | None = None) -> Index:
-    """The index of labelled (doc_id, text, count of each label). weights: those of the corpus; without, those of
+def fit(labelled: list[tuple[int, str | list[str], dict[str, int]]], min_sim: float = 0.35, k: int = 12, weights: Weights | None = None) -> Index:
+    """The index of labelled (doc_id, text or its sentences, count of each label). weights: those of the corpus; without, those of
     the labelled documents.
 
     A passage's evidence is the sum of the log odds, between offending and clean documents, of its
@@ -446,7 +467,7 @@ def fit(labelled: list[tuple[int, str, dict[str, int]]], min_sim: float = 0.35,
             h, m, _ = hashed(t)
             n += add_counts(counts, keys_of(h), np.frombuffer(m, "int32"))
         weights = Weights(counts, n)
-    docs = [(d, *majority(ls), [p for s in sentences(t) for p in split(s)]) for d, t, ls in labelled]
+    docs = [(d, *majority(ls), [p for s in (sentences(t) if isinstance(t, str) else t) for p in split(s)]) for d, t, ls in labelled]
     bad, clean = Counter(), Counter()
     n_bad = sum(share >= 0.5 for _, share, _, _ in docs)
     for _, share, _, ps in docs:
@@ -485,10 +506,10 @@ def fit(labelled: list[tuple[int, str, dict[str, int]]], min_sim: float = 0.35,
     return build(kept)
 
 
-def worst(ix: Index, text: str, skip: list[int] | None = None) -> tuple[float, str, float, str, str]:
-    """(score, kind, similarity, passage, nearest example) of the passage that scores highest, of equals the first."""
+def worst(ix: Index, text: str | list[str], skip: list[int] | None = None) -> tuple[float, str, float, str, str]:
+    """(score, kind, similarity, passage, nearest example) of the passage that scores highest, of equals the first. text: or its sentences."""
     top = (0.0, "clean", 0.0, "", "")
-    for s in sentences(text):
+    for s in sentences(text) if isinstance(text, str) else text:
         for p in passages(s):
             key = tuple(p)
             hit = ix.cache.get(key) if skip is None else None
@@ -541,8 +562,9 @@ def calibrate(scores: list[float], truth: list[bool], rounds: int = 50) -> tuple
     return float(t[0]), float(t[1])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str, dict[str, int]]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, text: str = "text") -> list[tuple[int, str, dict[str, int]]]:
     """At most MAX_LABELLED labelled documents with text and label counts, those of the least hash of their id."""
+    docs = docs.select("doc_id", F.col(text).alias("text"))
     l = labels.select("doc_id", F.lower(F.trim("label")).alias("label")).where(F.col("label").isin(*KINDS))
     l = l.groupBy("doc_id").agg(*[F.count(F.when(F.col("label") == k, 1)).alias(k) for k in KINDS])
     l = l.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
@@ -613,7 +635,8 @@ def score_offence(docs: DataFrame, labels: DataFrame, min_sim: float = 0.35, k:
     none of KINDS are ignored; a document counts as offending if at least half of its labels say so.
     """
     rows, weights = hash_corpus(docs)
-    sample = sorted(labelled_sample(docs, labels), key=lambda r: (r[0], r[1]))
+    sample = sorted(labelled_sample(rows, labels, "said"), key=lambda r: (r[0], r[1]))
+    sample = [(d, t.split(BREAK), n) for d, t, n in sample]
     ix = fit(sample, min_sim, k, weights)
     a = b = None
     test = sample[::held_out]

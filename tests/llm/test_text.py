@@ -1,5 +1,6 @@
 """Problems 8, 9 and 10 on small fixtures."""
 
+import pickle
 import random
 
 import numpy as np
@@ -235,6 +236,9 @@ def test_rows_by_hashes_equal_texts_one_by_one():
     got = of.worst_of_rows(ix, [x[2] for x in h], [x[0] for x in h], [x[1] for x in h])
     want = [of.worst(ix, t) for t in texts]
     assert got == want and sum(w[0] >= 0.5 for w in want) > 50
+    # The same after it is sent.
+    sent = pickle.loads(pickle.dumps(ix))
+    assert of.worst_of_rows(sent, [x[2] for x in h], [x[0] for x in h], [x[1] for x in h]) == want
     some = [a + b + c for a in "bcdfg" for b in "hjklm" for c in "npqrs"]
     for n in (1, 16, 17, 40, 41, 100):
         assert of.windows_of(n) == tuple((some.index(p[0]), len(p)) for p in of.passages(" ".join(some[:n])))
@@ -260,7 +264,7 @@ def test_bounds_lose_no_neighbour():
     for i, l, _ in labels:
         count.setdefault(i, {"clean": 0, "abuse": 0})[l] += 1
     ix = of.fit([(i, t, count[i]) for i, t, _ in docs])
-    vectors = [dict(ix.vector(t.split())) for t in ix.text]
+    vectors = [dict(ix.vector(t)) for t in [*map(str.split, ix.text), *map(list, ix.clean)]]
     tried = 0
     for _, t, _ in corpus(60, 11)[0]:
         for s in of.sentences(t):
