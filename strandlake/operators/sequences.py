@@ -42,18 +42,32 @@ def merge_slices(slices: DataFrame) -> DataFrame:
     return g.withColumn("length", F.length("sequence").cast("long"))
 
 
-def extract_regions(slices: DataFrame, regions: DataFrame, strict: bool = True) -> DataFrame:
+def extract_regions(slices: DataFrame, regions: DataFrame, strict: bool = True, length: int | None = None) -> DataFrame:
     """(referenceName, start, end, sequence) per distinct region, put together from the slices it overlaps.
 
     strict: a region not fully covered by slices fails the query; otherwise it comes out as far as covered.
+    length: slices begin at multiples of it, as slice_by_length makes them; they are then joined by their start,
+    and only the pieces under regions are shuffled further.
     """
     r = regions.select("referenceName", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).where(F.col("end") > F.col("start")).distinct()
-    s = slices.select("name", "start", "end", "sequence")
-    p = region_join(s, r, "inner", lf=Fields("name"), rf=Fields())
-    lo, hi = F.greatest("left.start", "right.start"), F.least("left.end", "right.end")
-    piece = F.substring(F.col("left.sequence"), (lo - F.col("left.start") + 1).cast("int"), (hi - lo).cast("int"))
-    g = p.groupBy(F.col("right.referenceName").alias("referenceName"), F.col("right.start").alias("start"), F.col("right.end").alias("end")).agg(F.array_sort(F.collect_set(F.struct(lo.alias("at"), piece.alias("piece")))).alias("p"))
-    out = r.join(g, ["referenceName", "start", "end"], "left").withColumn("sequence", F.coalesce(F.array_join(F.transform("p", lambda x: x["piece"]), ""), F.lit(""))).drop("p")
+    s = slices.select("name", F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("sequence").alias("_bases"))
+    lo, hi = F.greatest("_s", "start"), F.least("_e", "end")
+    piece = F.struct(lo.alias("at"), F.substring(F.col("_bases"), (lo - F.col("_s") + 1).cast("int"), (hi - lo).cast("int")).alias("piece"))
+    keys = ["referenceName", "start", "end"]
+    if length:
+        step = F.lit(length).cast("long")
+        last = s.groupBy("name").agg(F.max("_e").alias("_last"))
+        # Open-ended regions end where their sequence does.
+        placed = r.join(last, F.col("referenceName") == F.col("name"), "left").drop("name").withColumn("_last", F.least("end", F.coalesce("_last", F.col("start") + 1)))
+        first = F.floor(F.col("start") / step) * step
+        placed = placed.withColumn("_at", F.explode(F.sequence(first, F.greatest(first, F.col("_last") - 1), step)))
+        p = placed.join(s, (F.col("referenceName") == F.col("name")) & (F.col("_at") == F.col("_s")), "left").select(*keys, F.when((F.col("_s") < F.col("end")) & (F.col("_e") > F.col("start")), piece).alias("p"))
+        out = p.groupBy(*keys).agg(F.array_sort(F.collect_set("p")).alias("p"))
+    else:
+        p = region_join(s, r, "inner", lf=Fields("name", "_s", "_e"), rf=Fields()).select(*[F.col(f"right.{c}").alias(c) for c in keys], *[F.col(f"left.{c}").alias(c) for c in ("_s", "_e", "_bases")])
+        g = p.select(*keys, piece.alias("p")).groupBy(*keys).agg(F.array_sort(F.collect_set("p")).alias("p"))
+        out = r.join(g, keys, "left")
+    out = out.withColumn("sequence", F.coalesce(F.array_join(F.transform("p", lambda x: x["piece"]), ""), F.lit(""))).drop("p")
     if strict:
         short = (F.col("end") < OPEN_END) & (F.length("sequence") != F.col("end") - F.col("start"))
         fail = F.raise_error(F.concat(F.lit("not covered by slices: "), "referenceName", F.lit(":"), "start", F.lit("-"), "end")).cast("string")

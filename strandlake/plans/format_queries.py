@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.frame import GenomicFrame, Meta
-from strandlake.functions import intervals as iv
 from strandlake.functions.mdtag import mismatch_positions
 from strandlake.functions.text import pair_number
 from strandlake.operators import coverage as cov
@@ -21,6 +20,7 @@ from strandlake.operators.pipe import pipe
 from strandlake.operators.realign import realign_indels
 from strandlake.operators.variants import to_variant_contexts
 from strandlake.plans.genomic_queries import _COV, _READS, coverages, reads
+from strandlake.plans.islands import with_genome_bins
 from strandlake.plans.runtime import scratch, table
 from strandlake.sources import binary, load, sinks, text
 
@@ -390,9 +390,8 @@ def a5_sorted_by_position(spark: SparkSession, d: str) -> DataFrame:
 def r18_genome_bins(spark: SparkSession, d: str) -> DataFrame:
     """Bins numbered through all references. The dictionary is made of the references in the reads."""
     r = reads(spark, d).where("readMapped and referenceName is not null")
-    refs = [(x[0], x[1]) for x in r.groupBy("referenceName").agg(F.max("end")).toLocalIterator()]
-    first, last = iv.genome_bins(iv.Region.of(), refs, 1_000_000)
-    return r.where("end > start").select("id", first.alias("first_bin"), last.alias("last_bin"))
+    refs = r.groupBy(F.col("referenceName").alias("name")).agg(F.max("end").alias("length"))
+    return with_genome_bins(r.where("end > start"), refs, 1_000_000).select("id", "first_bin", "last_bin")
 
 
 @query(f"with {_COV} select ref as \"referenceName\", s as \"start\", e as \"end\", 'seen' as name, c as score from cov where ref is not null")

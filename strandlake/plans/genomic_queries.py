@@ -448,7 +448,16 @@ def q7_extracted_regions(spark: SparkSession, d: str) -> DataFrame:
     t = texts(spark, d)
     s = F.lit(30).cast("long") + F.col("name").cast("long") % 50
     regions = t.where("length >= 400").select(F.col("name").alias("referenceName"), s.alias("start"), (s + 250).alias("end"))
-    return sq.extract_regions(sq.slice_by_length(t, 100), regions)
+    return sq.extract_regions(sq.slice_by_length(t, 100), regions, length=100)
+
+
+@query("""with reg as (select cast(doc_id as varchar) name, doc_id % 40 s, length(text) - doc_id % 30 e, text from documents where length(text) >= 400) select name as "referenceName", s as "start", e as "end", substr(text, s + 1, cast(e - s as int)) as sequence from reg""")
+def q7_extracted_by_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Regions that leave out a little at both ends of their texts, from slices of any length."""
+    t = texts(spark, d)
+    i = F.col("name").cast("long")
+    regions = t.where("length >= 400").select(F.col("name").alias("referenceName"), (i % 40).alias("start"), (F.col("length") - i % 30).alias("end"))
+    return sq.extract_regions(sq.slice_by_length(t, 170), regions)
 
 
 @query(f"""with {_CUT}, x as (select *, substr(text, pos + 1, 100) seq from cut) select name, pos - length(coalesce(case when pos > 0 then substr(text, pos - 10 + 1, 10) end, '')) as "start", least(total, least(pos + 100, total) + 10) as "end",

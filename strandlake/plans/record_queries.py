@@ -395,7 +395,7 @@ def q7_whole_texts(spark: SparkSession, d: str) -> DataFrame:
     """Regions as long as their sequences, put together from all their slices."""
     t = texts(spark, d)
     regions = t.select(F.col("name").alias("referenceName"), F.lit(0).cast("long").alias("start"), F.col("length").alias("end"))
-    return sq.extract_regions(sq.slice_by_length(t, 100), regions)
+    return sq.extract_regions(sq.slice_by_length(t, 100), regions, length=100)
 
 
 # Features and coverage

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions.intervals import Region, in_bins, in_regions
@@ -36,20 +36,25 @@ def save(df: DataFrame, path: str, meta: dict | None = None, mode: str = "overwr
 def save_partitioned(df: DataFrame, path: str, meta: dict | None = None, bin_size: int = BIN, mode: str = "overwrite", compression: str = "zstd", files_per_bin_rows: int = 5_000_000) -> None:
     """Directories referenceName=/positionBin=. Rows are dealt out by bin so a directory gets few files; a bin
     with very many rows is written by several tasks, by the hash of the row's start."""
-    out = df.withColumn("positionBin", F.floor(F.col("start") / F.lit(bin_size)).cast("int"))
+    seen = Observation()
+    out = df.observe(seen, F.max(F.col("end") - F.col("start")).alias("longest")) if "end" in df.columns else df
+    out = out.withColumn("positionBin", F.floor(F.col("start") / F.lit(bin_size)).cast("int"))
     spread_over = F.pmod(F.xxhash64("start"), F.lit(8)) if files_per_bin_rows else F.lit(0)
     out = out.repartition("referenceName", "positionBin", spread_over).sortWithinPartitions("referenceName", "positionBin", "start")
     w = out.write.mode(mode).option("compression", compression)
     if files_per_bin_rows:
         w = w.option("maxRecordsPerFile", files_per_bin_rows)
     w.partitionBy("referenceName", "positionBin").parquet(path)
-    save_meta(df.sparkSession, path, {**(meta or {}), "bin_size": bin_size})
+    longest = seen.get["longest"] if "end" in df.columns else None
+    save_meta(df.sparkSession, path, {**(meta or {}), "bin_size": bin_size, "longest": longest or 0})
 
 
 def load_partitioned(spark: SparkSession, path: str, regions: list[tuple[str, int, int]] | None = None, lookback: int = 1) -> DataFrame:
-    """Rows overlapping the regions; only directories of their bins, and `lookback` bins before, are read.
-    Rows longer than lookback bins need a greater lookback."""
-    size = load_meta(spark, path).get("bin_size", BIN)
+    """Rows overlapping the regions; only directories of their bins, and `lookback` bins before, are read, or as
+    many as the longest row written needs."""
+    meta = load_meta(spark, path)
+    size = meta.get("bin_size", BIN)
+    lookback = max(lookback, -(-meta.get("longest", 0) // size))
     df = spark.read.parquet(path)
     if regions is None:
         return df.drop("positionBin")

@@ -314,6 +314,10 @@ def test_partitioned_layout_prunes(spark, tmp_path):
     assert f.meta.references == (("a", 10), ("b", 20)) and sorted(r.start for r in f.df.collect()) == list(range(1_000_000, 2_100_001 - 1, 200_000))
     plan = f.df._jdf.queryExecution().toString()
     assert "PartitionFilters" in plan and "positionBin" in plan.split("PartitionFilters")[1]
+    # A row of many bins is found from its far end.
+    long_ = features(spark).unionByName(spark.createDataFrame([("a", 100, 9_000_000)], "referenceName string, start long, end long"))
+    GenomicFrame(long_).save_as_partitioned_parquet(p)
+    assert parquet.load_meta(spark, p)["longest"] == 8_999_900 and load.load_features(spark, p, "a:8500000-8500001").df.where("start = 100").count() == 1
     q = str(tmp_path / "q")
     GenomicFrame(features(spark)).save_as_parquet(q)
     assert load.load_features(spark, q, "b").df.count() == 30 and parquet.load_meta(spark, str(tmp_path / "none")) == {}

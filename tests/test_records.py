@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake.functions import cigar as cg
+from strandlake.functions import intervals as iv
 from strandlake.functions import mdtag as mt
 from strandlake.functions import phred as ph
 from strandlake.functions import text as tx
@@ -256,6 +257,12 @@ def test_sequences(spark):
     assert sorted((r.name, r.start, r.end, r.sequence, r["index"], r.slices) for r in sl.collect()) == [("a", 0, 4, "ACGT", 0, 3), ("a", 4, 8, "ACGT", 1, 3), ("a", 8, 10, "AC", 2, 3), ("c", 0, 2, "AC", 0, 1)]
     assert {r.name: r.sequence for r in sq.merge_slices(sl).collect()} == {"a": "ACGTACGTAC", "c": "AC"}
     assert [r.sequence for r in sq.extract(sl, "a", 2, 9).collect()] == ["GTACGTA"]
+    wanted = spark.createDataFrame([("a", 2, 9), ("a", 0, 10), ("a", 3, iv.OPEN_END), ("c", 1, 2), ("c", 1, 9), ("none", 0, 3)], "referenceName string, start long, end long")
+    both = [{(r.referenceName, r.start, r.end): r.sequence for r in sq.extract_regions(sl, wanted, strict=False, length=n).collect()} for n in (None, 4)]
+    assert both[0] == both[1] == {("a", 2, 9): "GTACGTA", ("a", 0, 10): "ACGTACGTAC", ("a", 3, iv.OPEN_END): "TACGTAC", ("c", 1, 2): "C", ("c", 1, 9): "C", ("none", 0, 3): ""}
+    for n in (None, 4):
+        with pytest.raises(Exception, match="not covered"):
+            sq.extract_regions(sl, wanted, length=n).collect()
     with pytest.raises(Exception, match="not covered"):
         sq.extract(sl, "a", 8, 12).collect()
     assert {(r.start, r.sequence, r.end) for r in sq.flank_adjacent(sl, 2).where("name = 'a'").collect()} == {(0, "ACGTAC", 6), (2, "GTACGTAC", 10), (6, "GTAC", 10)}
