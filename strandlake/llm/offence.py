@@ -21,6 +21,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -51,7 +52,8 @@ KINDS = ("clean", "abuse", "hate", "sexual")
 #: Signs written in place of letters.
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "+": "t", "|": "l", "€": "e"})
 
-_SENTENCE = re.compile(r"(?<=[.!?…])[\"')\]]*\s+|[\r\n]+")
+#: Where a sentence ends: behind its sign, or at a line break. The first group is the sign.
+_SENTENCE = re.compile(r"([.!?…])[\"')\]]*\s+|[\r\n]+")
 _SPACED = re.compile(r"(?<!\w)(?:\w[ .\-_*]){2,}\w(?!\w)")
 _GAP = re.compile(r"[ .\-_*]")
 #: What every match of _SPACED ends in; few texts have it.
@@ -100,7 +102,12 @@ def token(t: str) -> tuple[str, ...]:
 def sentences(text: str) -> list[str]:
     """Sentences and lines of the whole plain text, spaced-out letters (w o r d) joined."""
     t = plain(text, emphasis=True)
-    return _SENTENCE.split(_SPACED.sub(lambda m: _GAP.sub("", m.group()), t) if _MAY_BE_SPACED.search(t) else t)
+    if _MAY_BE_SPACED.search(t):
+        t = _SPACED.sub(lambda m: _GAP.sub("", m.group()), t)
+    parts = _SENTENCE.split(t)
+    out = [a + sign if sign else a for a, sign in zip(parts[::2], parts[1::2])]
+    out.append(parts[-1])
+    return out
 
 
 def split(sentence: str, most: int = 40, overlap: int = 10) -> list[list[str]]:
@@ -147,15 +154,17 @@ def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 _FIRST, _LAST = np.uint64(word_key("^")), np.uint64(word_key("$"))
 
 
-@functools.lru_cache(maxsize=CACHED)
-def token_bytes(t: str) -> bytes:
-    return b"".join(word_key(w).to_bytes(4, "little") for w in token(t))
+class _Tokens(dict):
+    """Keys of the words of a token, by the token; emptied when it holds CACHED of them."""
+
+    def __missing__(self, t: str) -> bytes:
+        if len(self) >= CACHED:
+            self.clear()
+        out = self[t] = b"".join(word_key(w).to_bytes(4, "little") for w in token.__wrapped__(t))
+        return out
 
 
-@functools.lru_cache(maxsize=CACHED // 4)
-def sentence_bytes(s: str) -> bytes:
-    """The keys of a sentence's words; many sentences return."""
-    return b"".join(map(token_bytes, s.split()))
+_TOKENS = _Tokens()
 
 
 def keys_of(h: bytes) -> np.ndarray:
@@ -169,8 +178,9 @@ BREAK = "\x1e"
 def hashed(text: str) -> tuple[bytes, bytes, str]:
     """(keys of the words, number of words of each sentence, the sentences), empty sentences too."""
     held = [s.replace(BREAK, " ") for s in sentences(text)] if BREAK in text else sentences(text)
-    parts = list(map(sentence_bytes, held))
-    return b"".join(parts), np.array([len(p) // 4 for p in parts], "int32").tobytes(), BREAK.join(held)
+    of, join = _TOKENS.__getitem__, b"".join
+    parts = [join(map(of, s.split())) for s in held]
+    return join(parts), array("i", [len(p) // 4 for p in parts]).tobytes(), BREAK.join(held)
 
 
 def _sentence_pairs(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -23,6 +23,8 @@ _TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)(?:\s[^<>]*)?/?>|<!--[^<>]*-->")
 _LINK = re.compile(r"\]\([^()\s]*(?:\s\"[^\"]*\")?\)")
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿]")
 _HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐‑¬][ \t]*\r?\n[ \t>*#|]*(?=[^\W\d_])")
+#: What every match of _HYPHEN holds; quick to look for.
+_MAY_HYPHEN = re.compile(r"[-‐‑¬][ \t]*\r?\n")
 _EMPHASIS = re.compile(r"(?<=[^\W_])(?:\*{1,3}|_{2,3}|~~|`)(?=[^\W_])")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -63,7 +65,7 @@ def plain(text: str, emphasis: bool = False) -> str:
         if needs is None:
             if emphasis and pattern is _EMPHASIS or pattern is _INVISIBLE and text.isascii() or pattern is _EMPHASIS and not ("*" in text or "`" in text or "__" in text or "~~" in text):
                 continue
-        elif needs not in text:
+        elif needs not in text or pattern is _HYPHEN and not _MAY_HYPHEN.search(text):
             continue
         text = pattern.sub(by, text)
     return text
