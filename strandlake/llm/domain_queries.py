@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm import collapse_runs as runs
@@ -123,6 +123,19 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).where("pieces > 1 and piece_no = 0").select(F.col("name").alias("seq_name")).distinct()
 
 
+def p4_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Split sequences, and what must not be: pieces above the limit, or that don't overlap the one before by just the
+    overlap of their assembly, or sequences not covered from their start to their end."""
+    s = sized_sequences(spark, d).where("size > max_bases").select(F.col("name").alias("n"), F.col("assembly").alias("a"), "size", "max_bases", "overlap_bases")
+    p = _pieces(spark, d).join(s, F.col("name").eqNullSafe(F.col("n")) & F.col("assembly").eqNullSafe(F.col("a")))
+    # A window holds the pieces of one sequence.
+    before = F.lag("piece_end").over(Window.partitionBy("n", "a").orderBy("piece_no"))
+    overlap = F.least(F.coalesce("overlap_bases", F.lit(0)), before)
+    bad = F.when(before.isNotNull(), F.col("piece_start") != before - overlap).otherwise(F.col("piece_start") != 0)
+    per = p.withColumn("bad", bad).groupBy("n", "a").agg(F.max("size").alias("size"), F.max("piece_end").alias("end"), F.sum(F.col("bad").cast("long")).alias("bad"), F.sum((F.col("piece_end") - F.col("piece_start") > F.col("max_bases")).cast("long")).alias("long"))
+    return per.agg(F.count("*").alias("sequences"), F.sum("long").alias("too_long"), F.sum("bad").alias("misplaced"), F.count(F.when(F.col("end") != F.col("size"), 1)).alias("cut_short"))
+
+
 _P4 = """
 with latest as (select trim(seq_name) n, dna_size from twobit_records qualify row_number() over (partition by trim(seq_name) order by built_at desc nulls last, dna_size desc) = 1)
 select distinct trim(s.seq_name) seq_name from sequence_records s join split_limits l on trim(s.assembly) = trim(l.assembly) left join latest t on t.n = trim(s.seq_name)
@@ -167,7 +180,7 @@ select sample_id, reference_name, cast(percentile as double) percentile, round(c
 QUERIES = {
     "p1_found": p1_found, "p1_survivors": p1_survivors, "p1_fused": p1_fused, "p1_sources": p1_sources, "p1_copying": p1_copying,
     "p2_found": p2_found, "p2_runs": p2_runs,
-    "p4_found": p4_found, "p4_pieces": p4_pieces,
+    "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_checks": p4_checks,
     "p5_percentiles": p5_percentiles, "p5_days": p5_days, "p5_merged": p5_merged,
 }
 ORACLE = {
@@ -178,6 +191,7 @@ from best join fragments f using (fragment_id) group by group_id""",
     "p2_found": f"{_P2} select sample_id, reference_name, min(s) as run_start, max(e) as run_end from numbered group by sample_id, reference_name, run having count(*) > 1",
     "p2_runs": f"{_P2} select sample_id, reference_name, min(s) as run_start, max(e) as run_end, max(e) - min(s) as length, round(sum(v * (e - s)) / (max(e) - min(s)) + 1e-10, 6) as mean_value, count(*) as rows from numbered group by sample_id, reference_name, run having count(*) > 1",
     "p4_found": _P4,
+    "p4_checks": "with x as (" + _P4.replace("select distinct trim(s.seq_name) seq_name from", "select distinct trim(s.seq_name) n, trim(s.assembly) a from") + ") select count(*) as sequences, 0::bigint as too_long, 0::bigint as misplaced, 0::bigint as cut_short from x",
     "p5_percentiles": _P5_RANKED,
     "p5_merged": _P5_RANKED,
     "p5_days": f"""{_P5}, numbered as (select *, row_number() over w rn, count(*) over (partition by sample_id, reference_name) n from cells window w as (partition by sample_id, reference_name order by cell)),
