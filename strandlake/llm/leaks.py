@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from strandlake.llm.textnorm import _WORD, _fold, plain, words, words_with_offsets
 from strandlake.plans.runtime import spread
 
-#: Characters of items that one automaton may hold, about 100 MB of nodes in a worker as their windows overlap; more items are
+#: Characters of items that one automaton may hold, about 190 MB of nodes in a worker, as their windows overlap; more items are
 #: scanned in further passes, with the same result.
 MAX_ITEM_CHARS = 400_000
 #: The automaton of this worker, by the broadcast it was made from.
