@@ -42,6 +42,8 @@ def tag_value(tags: Column, tag: str) -> Column:
 
 
 def kmers(s: Column, k: int) -> Column:
-    """All windows of k characters; a shorter text is one window of itself, an empty one none."""
-    n = F.greatest(F.length(s) - k + 1, F.lit(1))
-    return F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), n), lambda i: s.substr(i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """All windows of k characters; a shorter text is one window of itself, an empty one none. One walk over the text
+    whatever its length: a window is what can be seen ahead, from every place but the second half of a surrogate pair."""
+    ahead = F.regexp_extract_all(s, F.lit(rf"(?s)(?![\uDC00-\uDFFF])(?=(.{{{k}}}))"), F.lit(1))
+    n = F.length(s)
+    return F.when(n > k, ahead).when(n > 0, F.array(s)).otherwise(F.array().cast("array<string>"))

@@ -17,11 +17,12 @@ def _base(df: DataFrame) -> list[str]:
 
 
 def slice_by_length(sequences: DataFrame, most: int) -> DataFrame:
-    """Slices [i * most, (i + 1) * most) with index and number of slices; an empty sequence has none."""
-    n = F.length("sequence")
-    cut = sequences.where(n > 0).select(*_base(sequences), "sequence", n.cast("long").alias("totalLength"), F.explode(F.sequence(F.lit(0), n - 1, F.lit(most))).alias("at"))
-    s = F.substring(F.col("sequence"), F.col("at") + 1, F.lit(most))
-    return cut.select(*_base(sequences), s.alias("sequence"), F.col("at").cast("long").alias("start"), (F.col("at") + F.length(s)).cast("long").alias("end"), F.length(s).cast("long").alias("length"), "totalLength", F.floor(F.col("at") / most).cast("int").alias("index"), F.ceil(F.col("totalLength") / most).cast("int").alias("slices"), F.lit("INDEPENDENT").alias("strand"))
+    """Slices [i * most, (i + 1) * most) with index and number of slices; an empty sequence has none. A sequence is cut in one
+    walk: a substring by number would walk to its place anew for every slice."""
+    pieces = F.regexp_extract_all("sequence", F.lit(f"(?s).{{1,{most}}}"), F.lit(0))
+    cut = sequences.where(F.length("sequence") > 0).select(*_base(sequences), F.length("sequence").cast("long").alias("totalLength"), F.posexplode(pieces).alias("index", "_s"))
+    n, start = F.length("_s").cast("long"), F.col("index").cast("long") * most
+    return cut.select(*_base(sequences), F.col("_s").alias("sequence"), start.alias("start"), (start + n).alias("end"), n.alias("length"), "totalLength", F.col("index").cast("int").alias("index"), F.ceil(F.col("totalLength") / most).cast("int").alias("slices"), F.lit("INDEPENDENT").alias("strand"))
 
 
 def slice_by_regions(sequences: DataFrame, regions: list[tuple[str, int, int]]) -> DataFrame:
@@ -106,10 +107,14 @@ def count_kmers(sequences: DataFrame, k: int) -> DataFrame:
 
 def count_slice_kmers(slices: DataFrame, k: int) -> DataFrame:
     """k-mers over slice borders counted once: every slice also sees the first k - 1 bases of the next
-    one it abuts. Windows of exactly k, so a stretch shorter than k gives none."""
-    after = _beside(slices.select("name", "end", "sequence"), _edges(slices, k - 1, True, "_a"), "end") if k > 1 else slices.withColumn("_a", F.lit(""))
-    s = after.select(F.concat("sequence", F.coalesce("_a", F.lit(""))).alias("s")).where(F.length("s") >= k)
-    return s.select(F.explode(kmers(F.col("s"), k)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    one it abuts. Windows of exactly k, so a stretch shorter than k gives none. k-mers inside slices are taken where the
+    slices lie; only the last and first k - 1 bases of slices are joined for those over borders."""
+    texts = slices.select(F.col("sequence").alias("s"))
+    if k > 1:
+        # Rows of one text stay rows, so the ends aren't made distinct.
+        tails = slices.select("name", "end", F.right("sequence", F.lit(k - 1)).alias("_t"))
+        texts = texts.unionAll(_beside(tails, _edges(slices, k - 1, True, "_a"), "end").where("_a is not null").select(F.concat("_t", "_a")))
+    return texts.where(F.length("s") >= k).select(F.explode(kmers(F.col("s"), k)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
 def create_references(df: DataFrame) -> list[tuple[str, int]]:

@@ -100,6 +100,10 @@ def test_fragments_pairs_and_kmers(spark):
     assert rd.reassemble_pairs(a, b.unionByName(b), strict=False).count() == 0
     k = spark.createDataFrame([("ACGTA",), ("AC",), ("",), (None,)], "sequence string")
     assert {r.kmer: r.n for r in rd.count_kmers(k, 3).collect()} == {"ACG": 1, "CGT": 1, "GTA": 1, "AC": 1}
+    # Line breaks, signs of the pattern language, characters of two and four bytes; a text of a million is walked once.
+    for t in ("a\nb.c\n", "éx😀y😀😀z", "(((", "A" * 1_000_000):
+        got = {r.kmer: r.n for r in rd.count_kmers(spark.createDataFrame([(t,)], "sequence string"), 3).collect()}
+        assert got == Counter(t[i : i + 3] for i in range(len(t) - 2)), t[:9]
 
 
 def test_scalars(spark):
