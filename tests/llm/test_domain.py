@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strandlake.llm import collapse_runs as runs
+from strandlake.llm import domain_queries as dq
 from strandlake.llm import fuse_groups as fg
 from strandlake.llm import percentiles as pc
 from strandlake.llm import split_items as si
@@ -74,6 +75,27 @@ def test_trusted_fusion_equals_the_order_by_brute_force(spark):
     assert found(spark, rows, pipes) == want and len(want) > 200
 
 
+def test_p1_queries_run_no_step_that_cannot_change_their_rows(spark, tmp_path, monkeypatch):
+    rng = random.Random(9)
+    rows = [fragment(i, ("chr1", rng.randint(0, 30), "+"), unit=rng.choice(("u", " v", None, "n/a")), size=rng.choice((None, 0, 50, 60)), sample=rng.choice(("s", "t", "")), rg=rng.choice(("g", "*")), mapped=rng.choice((None, (), ((0, 9, 9, "5M"),))), pipe=rng.choice(("p1", "p2", "p3", "zz", None)), at=rng.choice((None, 1, 2))) for i in range(1, 200)]
+    fragments, pipes = spark.createDataFrame(rows, FRAGMENT), spark.createDataFrame([("p1", 2), ("p2", 1), ("p3", 2)], "pipeline_name string, trust_rank int")
+    fragments.write.parquet(f"{tmp_path}/fragments.parquet")
+    pipes.write.parquet(f"{tmp_path}/pipelines.parquet")
+    picks = fg.fuse(fg.keyed_fragments(fragments, pipes), trusted=True)[0].cache()
+    want = {tuple(r) for r in picks.select("group_id", "field_name", "fragment_id").collect()}
+    whole = lambda df: {(r.group_id, r.insert_size, r.platform_unit, None if r.primary_mapped is None else len(r.primary_mapped), r.read_group_id, r.sample_id) for r in df.collect()}
+    kept = {(*r[:3], -1 if r[3] is None else r[3], *r[4:]) for r in whole(fg.survivors(fragments, picks))}
+
+    def fuse(*_, **__):
+        raise AssertionError("the order of trust leaves the fusion nothing to decide")
+
+    monkeypatch.setattr(fg, "fuse", fuse)
+    got = dq.p1_found(spark, str(tmp_path))
+    assert got.columns == ["group_id", "field_name", "fragment_id"]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 80
+    assert {tuple(r[c] for c in ("group_id", "insert_size", "platform_unit", "primary_mapped", "read_group_id", "sample_id")) for r in dq.p1_survivors(spark, str(tmp_path)).collect()} == kept
+
+
 def test_fusion_discounts_copies(spark):
     """Three sources repeat one source's mistakes; two independent ones tell the truth."""
     rng, rows, i = random.Random(4), [], 0
