@@ -115,6 +115,31 @@ def test_wide_regions_on_either_side(spark, monkeypatch, broadcast):
         jn.region_join(p, r, "left")
 
 
+def test_grouped_joins_reduce_partners_before_the_shuffle(spark):
+    """Aggregates in place of the array: same numbers, and no pair is gathered."""
+    rng = random.Random(4)
+    make = lambda n: [(i, rng.choice("ab"), s, s + rng.choice((0, 5, 40, 900))) for i, s in enumerate(rng.randint(0, 2000) for _ in range(n))]
+    a, b = make(60), make(50) + [(99, "c", 0, 5)]
+    l, r = spark.createDataFrame(a, SIDE.format("i")), spark.createDataFrame(b, SIDE.format("j"))
+    want = [(i, j) for i, m, s, e in a for j, n, t, u in b if m == n and s < u and e > t]
+    ids = {"left_id": "i", "right_id": "j"}
+    key = lambda p: tuple(-1 if x is None else x for x in p)
+    total = lambda k, at: (sum(p[at] == k for p in want), sum(p[1 - at] for p in want if p[at] == k))
+    by_left, by_right = [F.count("*").alias("n"), F.sum("right.j").alias("ids")], [F.count("*").alias("n"), F.sum("left.i").alias("ids")]
+    for how in ("inner", "left", "right", "full"):
+        kept = [i for i, *_ in a if how != "inner" or total(i, 0)[0]]
+        lone = [(None, 1, j) for j, *_ in b if how in ("right", "full") and not total(j, 1)[0]]
+        g = jn.region_join(l, r, how, "left", agg=by_left, broadcast=None, **ids)
+        assert "collect_list" not in g._jdf.queryExecution().executedPlan().toString()
+        assert sorted((key((x[0], x[1] or 0, x[2] or 0)) for x in g.select("left.i", "n", "ids").collect())) == sorted(map(key, [*((i, *total(i, 0)) for i in kept), *lone]))
+    for how in ("inner", "right"):
+        want_r = sorted((j, *total(j, 1)) for j, *_ in b if how != "inner" or total(j, 1)[0])
+        for side in (l, jn.prepare(l)):
+            assert sorted((x[0], x[1] or 0, x[2] or 0) for x in jn.region_join(side, r, how, "right", right_id="j", agg=by_right).select("right.j", "n", "ids").collect()) == want_r
+    with pytest.raises(ValueError):
+        jn.region_join(l, r, agg=by_left)
+
+
 def test_one_wide_region_costs_only_its_overlaps(spark):
     """Narrow rows don't meet at the level of a wide one: the candidates of the join are those of the narrow bins and of the wide region."""
     l = spark.range(20_000).select(F.col("id").alias("i"), F.lit("c").alias("referenceName"), (F.col("id") * 50).alias("start"), (F.col("id") * 50 + 10).alias("end"))
