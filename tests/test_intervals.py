@@ -140,6 +140,17 @@ def test_grouped_joins_reduce_partners_before_the_shuffle(spark):
         jn.region_join(l, r, agg=by_left)
 
 
+def test_prepared_side_is_sent_only_within_the_bounds(spark, monkeypatch):
+    """No copies are written, and Spark's estimate, which doesn't know of them, doesn't decide."""
+    monkeypatch.setattr(jn, "BROADCAST_ROWS", 80)
+    l = spark.range(100).select(F.col("id").alias("i"), F.lit("c").alias("referenceName"), (F.col("id") * 10).alias("start"), (F.col("id") * 10 + 10).alias("end"))
+    r = l.withColumnRenamed("i", "j")
+    p = jn.prepare(l)
+    assert not p.small and p.rows.count() == 100
+    g = jn.pairs(p, r)
+    assert "BroadcastHashJoin" not in g._jdf.queryExecution().executedPlan().toString() and g.count() == 100
+
+
 def test_one_wide_region_costs_only_its_overlaps(spark):
     """Narrow rows don't meet at the level of a wide one: the candidates of the join are those of the narrow bins and of the wide region."""
     l = spark.range(20_000).select(F.col("id").alias("i"), F.lit("c").alias("referenceName"), (F.col("id") * 50).alias("start"), (F.col("id") * 50 + 10).alias("end"))
