@@ -151,6 +151,14 @@ def test_prepared_side_is_sent_only_within_the_bounds(spark, monkeypatch):
     assert "BroadcastHashJoin" not in g._jdf.queryExecution().executedPlan().toString() and g.count() == 100
 
 
+def test_right_outer_against_a_prepared_side_beyond_the_bounds(spark, monkeypatch):
+    monkeypatch.setattr(jn, "BROADCAST_ROWS", 80)
+    l = spark.range(100).select(F.col("id").alias("i"), F.lit("c").alias("referenceName"), (F.col("id") * 10).alias("start"), (F.col("id") * 10 + 10).alias("end"))
+    g = jn.region_join(jn.prepare(l), l.withColumn("start", F.col("start") + 500).withColumn("end", F.col("end") + 500), "right", right_id="i")
+    assert "SortMergeJoin" in g._jdf.queryExecution().executedPlan().toString()
+    assert g.count() == 100 and g.where("left is null").count() == 50
+
+
 def test_one_wide_region_costs_only_its_overlaps(spark):
     """Narrow rows don't meet at the level of a wide one: the candidates of the join are those of the narrow bins and of the wide region."""
     l = spark.range(20_000).select(F.col("id").alias("i"), F.lit("c").alias("referenceName"), (F.col("id") * 50).alias("start"), (F.col("id") * 50 + 10).alias("end"))
