@@ -18,7 +18,7 @@ from strandlake.operators import reads as rd
 from strandlake.operators import sequences as sq
 from strandlake.operators import variants as va
 from strandlake.plans import islands
-from strandlake.plans.genomic_queries import _CUT, _MARKDUP, _OVERLAP, _READS, _VAR, _libraries, _numbers, _pairs, _reduced, _sum, coverages, event_reads, genotypes, order_features, reads, texts, variants
+from strandlake.plans.genomic_queries import _CUT, _MARKDUP, _OVERLAP, _READS, _VAR, _libraries, _numbers, _pairs, _reduced, coverages, event_reads, genotypes, order_features, reads, texts, variants
 from strandlake.plans.runtime import table
 from strandlake.sources import sinks, text
 
@@ -131,14 +131,10 @@ def j4_right_outer_against_prepared(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(jn.region_join(p, f, "right", right_id="fid"))
 
 
-def _by_right(g: DataFrame) -> DataFrame:
-    return g.select(F.col("right.fid").alias("fid"), F.size("left").cast("long").alias("n"), _sum("left", "rid").alias("rids"))
-
-
 @query(f"with {_OVERLAP} {_BY_R.format(how='')}")
 def j6_grouped_against_prepared(spark: SparkSession, d: str) -> DataFrame:
     p, f = _prepared(spark, d)
-    return _by_right(jn.region_join(p, f, "inner", "right", right_id="fid"))
+    return _numbers(jn.region_join(p, f, "inner", "right", right_id="fid", agg=_reduced("left", "rid")), "right.fid", "rids")
 
 
 @query(f"with {_OVERLAP} {_BY_R.format(how='left')}")
