@@ -13,7 +13,7 @@ from strandlake.functions.text import pair_number, strip_pair_suffix, tag_value
 from strandlake.operators.features import gff3_entries, gtf_entries, last_wins, to_dbxref, to_strand
 from strandlake.operators.reads import from_flags
 from strandlake.operators.variants import INFO_FLAGS, parse_effects
-from strandlake.plans.runtime import join_bounded
+from strandlake.plans.runtime import join_bounded, spread
 from strandlake.schemas import SCHEMAS
 from strandlake.sources import ranges
 
@@ -227,12 +227,13 @@ def _numbers(lines: list[str]) -> dict[str, str]:
     return {m[1]: m[2] for m in found if m}
 
 
-def _sites(spark: SparkSession, path: Paths, info: list[str] | None = None) -> DataFrame:
+def _sites(spark: SparkSession, path: Paths, info: list[str] | None = None, dealt: bool = False) -> DataFrame:
     """One row per site and ALT allele, multi-allelic sites split; `alt` is the allele's number from 1, `non_ref`
-    that of the <NON_REF> allele of a reference model, which gives no row beside others. info: INFO keys to read, None for all."""
+    that of the <NON_REF> allele of a reference model, which gives no row beside others. info: INFO keys to read, None for all.
+    dealt: lines of few splits are dealt out over the cores first."""
     t = _vcf_text(spark, path)
     lines = t.select(F.regexp_replace("value", "\r$", "").alias("value"), "_file", *_task(t)).where((F.trim("value") != "") & ~F.col("value").startswith("#"))
-    lines = lines.withColumn("c", F.split("value", "\t", -1)).where(F.size("c") >= 8)
+    lines = (spread(lines, at_least=4) if dealt else lines).withColumn("c", F.split("value", "\t", -1)).where(F.size("c") >= 8)
     every = F.split(F.col("c")[4], ",")
     alts = F.filter(every, lambda a: a != "<NON_REF>")
     alts = F.when(F.size(alts) == 0, F.array(F.lit(None).cast("string"))).otherwise(alts)
@@ -245,6 +246,10 @@ def _sites(spark: SparkSession, path: Paths, info: list[str] | None = None) -> D
 
 
 def _variant(numbers: dict[str, str]) -> Column:
+    return F.struct(*[x.alias(n) for n, x in _variant_fields(numbers).items()])
+
+
+def _variant_fields(numbers: dict[str, str]) -> dict[str, Column]:
     c, info = F.col("c"), lambda k: F.try_element_at("info", F.lit(k))
     start = c[1].try_cast("long") - 1
     end = F.coalesce(info("END").try_cast("long"), start + F.length(c[3]))
@@ -264,10 +269,10 @@ def _variant(numbers: dict[str, str]) -> Column:
         alt_of("AD").alias("readDepth"), ref_of("AD").alias("referenceReadDepth"), alt_of("ADF").alias("forwardReadDepth"), ref_of("ADF").alias("referenceForwardReadDepth"), alt_of("ADR").alias("reverseReadDepth"), ref_of("ADR").alias("referenceReverseReadDepth"),
         F.filter(parse_effects(info("ANN")), lambda e: e["alternateAllele"].eqNullSafe(F.col("allele"))).alias("transcriptEffects"), rest.alias("attributes"),
     )
-    return F.struct(
-        c[0].alias("referenceName"), start.alias("start"), end.alias("end"), F.when(c[2] != ".", F.split(c[2], ";")).alias("names"), c[3].alias("referenceAllele"), F.nullif(F.col("allele"), F.lit(".")).alias("alternateAllele"), F.when(c[5] != ".", c[5].try_cast("double")).alias("quality"), (F.col("n_alt") > 1).alias("splitFromMultiAllelic"),
-        (c[6] != ".").alias("filtersApplied"), passed.alias("filtersPassed"), F.when((c[6] != ".") & (c[6] != "PASS"), F.split(c[6], ";")).otherwise(F.array().cast("array<string>")).alias("filtersFailed"), annotation.alias("annotation"),
-    )
+    return {
+        "referenceName": c[0], "start": start, "end": end, "names": F.when(c[2] != ".", F.split(c[2], ";")), "referenceAllele": c[3], "alternateAllele": F.nullif(F.col("allele"), F.lit(".")), "quality": F.when(c[5] != ".", c[5].try_cast("double")), "splitFromMultiAllelic": F.col("n_alt") > 1,
+        "filtersApplied": c[6] != ".", "filtersPassed": passed, "filtersFailed": F.when((c[6] != ".") & (c[6] != "PASS"), F.split(c[6], ";")).otherwise(F.array().cast("array<string>")), "annotation": annotation,
+    }
 
 
 def read_variants(spark: SparkSession, path: Paths, info: list[str] | None = None) -> DataFrame:
@@ -286,11 +291,13 @@ def read_genotypes(spark: SparkSession, path: Paths, info: list[str] | None = No
     heads = heads.select("_file", F.slice("_h", 10, F.greatest(F.size("_h") - 9, F.lit(1))).alias("_samples")).distinct()
     if isinstance(path, DataFrame) and heads.limit(2).count() > 1:
         raise ValueError("lines under headers with other samples; give the files")
-    s = _sites(spark, path, info).where(F.size("c") > 9)
-    s = s.withColumn("variant", _variant(_numbers(vcf_header(spark, path)[0]))).withColumn("_file", F.coalesce("_file", F.lit("")))
+    s = _sites(spark, path, info, dealt=True).where(F.size("c") > 9)
+    # A column per field, as Spark carries a struct whole through the steps below, with fields that nobody reads.
+    fields = _variant_fields(_numbers(vcf_header(spark, path)[0]))
+    s = s.select(F.coalesce("_file", F.lit("")).alias("_file"), "value", "c", "alt", "n_all", "non_ref", "i", *[x.alias(f"_v_{n}") for n, x in fields.items()])
     # One row of names per file.
     s = join_bounded(s, heads.withColumn("_file", F.coalesce("_file", F.lit(""))), ["_file"], "left", max_rows=50_000, salt_of="value")
-    s = s.select("variant", "c", "alt", "n_all", "non_ref", "i", "_samples", F.posexplode(F.slice("c", 10, F.size("c") - 9)).alias("at", "call"))
+    s = s.select(*[f"_v_{x}" for x in fields], "c", "alt", "n_all", "non_ref", "i", "_samples", F.posexplode(F.slice("c", 10, F.size("c") - 9)).alias("at", "call"))
     sample = F.get("_samples", F.col("at"))
     kv = F.arrays_zip(F.split(F.col("c")[8], ":").alias("key"), F.split("call", ":").alias("value"))
     wanted = lambda x: F.lit(True) if formats is None else x["key"].isin(*formats)
@@ -305,7 +312,7 @@ def read_genotypes(spark: SparkSession, path: Paths, info: list[str] | None = No
     logs = lambda p: F.transform(p, lambda x: -x.cast("double") * F.lit(0.2302585092994046))
     ft = of("FT")
     out = f.select(
-        "variant", F.col("variant.referenceName").alias("referenceName"), F.col("variant.start").alias("start"), F.col("variant.end").alias("end"), sample.alias("sampleId"), F.transform(F.split(F.coalesce(of("GT"), F.lit("./.")), "[/|]"), allele).alias("alleles"),
+        F.struct(*[F.col(f"_v_{x}").alias(x) for x in fields]).alias("variant"), F.col("_v_referenceName").alias("referenceName"), F.col("_v_start").alias("start"), F.col("_v_end").alias("end"), sample.alias("sampleId"), F.transform(F.split(F.coalesce(of("GT"), F.lit("./.")), "[/|]"), allele).alias("alleles"),
         F.get(ints("AD"), F.lit(0)).alias("referenceReadDepth"), F.get(ints("AD"), F.col("alt")).alias("alternateReadDepth"), of("DP").try_cast("int").alias("readDepth"), of("MIN_DP").try_cast("int").alias("minReadDepth"), of("GQ").try_cast("int").alias("genotypeQuality"),
         F.when(of("PL").isNotNull(), logs(mine)).alias("genotypeLikelihoods"), F.when(of("PL").isNotNull() & F.col("non_ref").isNotNull(), logs(with_reference(F.col("non_ref")))).alias("nonReferenceLikelihoods"), ints("SB").alias("strandBiasComponents"), F.coalesce(of("GT"), F.lit("")).contains("|").alias("phased"), of("PS").try_cast("int").alias("phaseSetId"), of("PQ").try_cast("int").alias("phaseQuality"),
         F.struct(ft.isNotNull().alias("filtersApplied"), (ft == "PASS").alias("filtersPassed"), F.when(ft.isNotNull() & (ft != "PASS"), F.split(ft, ";")).otherwise(F.array().cast("array<string>")).alias("filtersFailed"), of("FS").try_cast("float").alias("fisherStrandBiasPValue"), of("MQ").try_cast("float").alias("rmsMapQ"), of("MQ0").try_cast("int").alias("mapq0Reads"), F.map_filter("f", lambda k, v: ~k.isin(*FORMAT_KNOWN)).alias("attributes")).alias("variantCallingAnnotations"),

@@ -423,3 +423,14 @@ def test_streams(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("counts").agg(F.sum("n")).collect()[0][0] == 100 and spark.table("counts").count() == 20
+
+
+def test_genotypes_compute_only_what_is_read(spark):
+    """Fields of the variant that nobody reads are pruned, and lines of few splits are dealt out over the cores."""
+    lines = ["##fileformat=VCFv4.2", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2", "c\t5\t.\tA\tC,G\t.\t.\tAC=1,2\tGT\t0/1\t1|2"]
+    g = text.read_genotypes(spark, spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1))
+    few = g.select("start", "sampleId", "variant.alternateAllele")
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "referenceAllele" not in plan and "Repartition" in plan
+    assert sorted(map(tuple, few.collect())) == [(4, s, a) for s, a in (("s1", "C"), ("s1", "G"), ("s2", "C"), ("s2", "G"))]
+    assert sorted(g.select("variant.annotation.alleleCount", "phased").distinct().collect()) == [(n, p) for n in (1, 2) for p in (False, True)]
